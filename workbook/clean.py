@@ -11,14 +11,14 @@ from fareframe.operators.order_stats import equal_width_cut
 from workbook import views as V
 from workbook.registry import query, rounded
 
-TRIP_COUNTS = "count(*) AS n, round(sum(base_passenger_fare), 4) AS fare, round(sum(driver_pay), 4) AS pay"
+TRIP_COUNTS = "count(*) AS n, round(sum(base_passenger_fare), 6) AS fare, round(sum(driver_pay), 7) AS pay"
 
 
 def _totals(df, *keys):
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
-        F.round(F.sum("base_passenger_fare"), 4).alias("fare"),
-        F.round(F.sum("driver_pay"), 4).alias("pay"),
+        F.round(F.sum("base_passenger_fare"), 6).alias("fare"),
+        F.round(F.sum("driver_pay"), 7).alias("pay"),
     )
 
 
@@ -141,7 +141,7 @@ def in_range(spark, sf):
 )
 def predicate(spark, sf):
     df = clean.where_sql(V.trips(spark, sf), "commission < 0 AND PULocationID <> DOLocationID")
-    return _totals(df.withColumn("pickup_hour", F.hour("pickup_datetime").cast("bigint")), "pickup_hour")
+    return _totals(df.withColumn("pickup_hour", F.hour("pickup_datetime")), "pickup_hour")
 
 
 @query(
@@ -222,11 +222,11 @@ def bands(spark, sf):
 @query(
     "q_union_by_name",
     """SELECT yr, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM (
-      SELECT year(o_orderdate) AS yr, o_totalprice, CASE WHEN year(o_orderdate) >= 1998 THEN o_orderpriority END
+      SELECT CAST(year(o_orderdate) AS INTEGER) AS yr, o_totalprice, CASE WHEN year(o_orderdate) >= 1998 THEN o_orderpriority END
              AS o_orderpriority FROM orders) GROUP BY 1, 2""",
 )
 def union_by_name(spark, sf):
-    o = V.table(spark, sf, "orders").withColumn("yr", F.year("o_orderdate").cast("bigint"))
+    o = V.table(spark, sf, "orders").withColumn("yr", F.year("o_orderdate"))
     df = setops.union_years(o.where("yr < 1998").drop("o_orderpriority"), o.where("yr >= 1998"))
     return df.groupBy("yr", "o_orderpriority").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")

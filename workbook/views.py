@@ -117,7 +117,7 @@ trips AS (
          (base_passenger_fare - driver_pay) * 60.0::DOUBLE / trip_time AS commission_per_minute,
          driver_pay * 60.0::DOUBLE / trip_time AS driver_efficiency,
          CASE WHEN trip_miles > 0.1 THEN (base_passenger_fare - driver_pay) / trip_miles END AS y_cpm,
-         CAST(pickup_datetime AS DATE) AS pickup_date, hour(pickup_datetime) AS pickup_hour
+         CAST(pickup_datetime AS DATE) AS pickup_date, CAST(hour(pickup_datetime) AS INTEGER) AS pickup_hour
   FROM raw
   WHERE upper(trim(provider_code)) = 'N' AND trip_miles >= 0 AND trip_time > 0
     AND base_passenger_fare >= 0 AND driver_pay >= 0)"""
