@@ -77,10 +77,11 @@ def quantiles(df: DataFrame, cols: Sequence[str] | str, ps: Sequence[float]) ->
         if i + 1 < len(ps):
             slot = slot.when(value < F.col(f"lo{i + 1}"), F.lit(2 * i + 2))
     slot = slot.otherwise(F.lit(2 * len(ps)))
+    # A gap is one row with its count and extremes: a rank next to a bracket is read off those.
     counts = (
         tagged.select("column", "total", slot.alias("slot"), "value")
         .groupBy("column", "total", "slot", F.when(F.col("slot") % 2 == 1, value).alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
     )
     by_slot = counts.groupBy("column", "slot").agg(F.sum("n").alias("slot_n"))
     before = by_slot.select(
@@ -91,13 +92,16 @@ def quantiles(df: DataFrame, cols: Sequence[str] | str, ps: Sequence[float]) ->
         ).alias("before"),
     )
     # At most 2 * len(ps) + 1 rows per column.
-    inside = counts.where(F.col("slot") % 2 == 1).join(F.broadcast(before), ["column", "slot"])
+    placed = counts.join(F.broadcast(before), ["column", "slot"])
     run = Window.partitionBy("column", "slot").orderBy("value")
-    ranked = inside.withColumn("upto", F.col("before") + F.sum("n").over(run))
-    first, past = F.col("upto") - F.col("n"), F.col("upto")
+    ranked = placed.withColumn("upto", F.col("before") + F.sum("n").over(run))
+    first, last = F.col("upto") - F.col("n"), F.col("upto") - 1
 
     def at(rank: Column) -> Column:
-        return F.max(F.when((first <= rank) & (rank < past), value))
+        known = F.when((rank == first) | (F.col("least") == F.col("most")), F.col("least")).when(
+            rank == last, F.col("most")
+        )
+        return F.max(F.when((first <= rank) & (rank <= last), known))
 
     picked = ranked.groupBy("column").agg(
         *[at(F.floor(_rank(p, F.col("total")))).alias(f"a{i}") for i, p in enumerate(ps)],
@@ -121,20 +125,27 @@ def quantile_values(df: DataFrame, col: str, ps: Sequence[float]) -> dict[float,
     return {r["p"]: r["value"] for r in quantiles(df, col, ps).collect()}
 
 
+def quantile_struct(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> Column:
+    """Several quantiles, ``name -> (column, p)``, as one scalar subquery ``struct(name, ...)``.
+
+    Null fields stand for columns without values.
+    """
+    rows = quantiles(df, sorted({c for c, _ in wanted.values()}), [p for _, p in wanted.values()])
+    fields = [
+        F.max(F.when((F.col("column") == c) & (F.col("p") == float(p)), F.col("value"))).alias(name)
+        for name, (c, p) in wanted.items()
+    ]
+    return rows.agg(F.struct(*fields).alias("found")).scalar()
+
+
 def quantile_scalar(df: DataFrame, col: str, p: float) -> Column:
     """Exact quantile as a lazy scalar subquery; null when there are no values."""
     return quantiles(df, col, [p]).select("value").scalar()
 
 
 def quantile_pair(df: DataFrame, col: str, lo: float, hi: float) -> Column:
-    """Scalar subquery holding ``struct(lo, hi)``; a single scan for both ends."""
-    rows = quantiles(df, col, [lo, hi])
-    return rows.agg(
-        F.struct(
-            F.max(F.when(F.col("p") == float(lo), F.col("value"))).alias("lo"),
-            F.max(F.when(F.col("p") == float(hi), F.col("value"))).alias("hi"),
-        ).alias("bounds")
-    ).scalar()
+    """Scalar subquery ``struct(lo, hi)``."""
+    return quantile_struct(df, {"lo": (col, lo), "hi": (col, hi)})
 
 
 def ecdf(df: DataFrame, col: str) -> DataFrame:
@@ -197,11 +208,12 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
 
 def log_tail_histogram(df: DataFrame, col: str, p: float = 0.95, bins: int = 59, floor: float = 1e-2) -> DataFrame:
     """Counts of the tail ``>= p`` quantile in bins of equal width on the log10 axis."""
-    tail = df.where(F.col(col) >= quantile_scalar(df, col, p)).select(F.col(col).cast("double").alias("value"))
-    start = F.greatest(quantile_scalar(df, col, p), F.lit(floor))
-    tail = tail.where(F.col("value") >= start).select(F.log10("value").alias("value"))
-    ends = tail.agg(F.struct(F.max("value").alias("hi")).alias("range")).scalar()
-    lo, hi = F.log10(start), ends["hi"]
+    # The whole column's maximum is the tail's maximum.
+    ends = quantile_pair(df, col, p, 1.0)
+    start = F.greatest(ends["lo"], F.lit(floor))
+    value = F.col(col).cast("double")
+    tail = df.where(value >= start).select(F.log10(value).alias("value"))
+    lo, hi = F.log10(start), F.log10(ends["hi"])
     width = (hi - lo) / bins
     return _bin_counts(tail, F.col("value"), lo, hi, bins).select(
         "bin",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fareframe.functions.numbers import safe_pct
 from fareframe.operators.clean import all_present, provider_is, trip_is_valid, with_clock_duration
-from fareframe.operators.order_stats import probability_label, quantile_scalar, quantiles
+from fareframe.operators.order_stats import probability_label, quantile_struct, quantiles
 from fareframe.schemas import REQUIRED_TRIP_COLUMNS
 
 PROFILE_PS = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999)
@@ -208,15 +208,15 @@ def outlier_profile(df: DataFrame) -> DataFrame:
 
 def quality_indicators(df: DataFrame) -> DataFrame:
     """(indicator, n) rows: very short, very long, quick, slow, fast and zero-distance trips."""
-    long_miles = quantile_scalar(df, "trip_miles", 0.99)
-    long_hours = quantile_scalar(df, "duration_hours", 0.99)
-    high_speed = quantile_scalar(df, "mph", 0.95)
+    limit = quantile_struct(
+        df, {"miles": ("trip_miles", 0.99), "hours": ("duration_hours", 0.99), "mph": ("mph", 0.95)}
+    )
     rules = {
         "very_short": F.col("trip_miles") < 0.5,
-        "very_long": F.col("trip_miles") > long_miles,
+        "very_long": F.col("trip_miles") > limit["miles"],
         "quick": F.col("duration_hours") < 2 / 60,
-        "long": F.col("duration_hours") > long_hours,
-        "high_speed": F.col("mph") > high_speed,
+        "long": F.col("duration_hours") > limit["hours"],
+        "high_speed": F.col("mph") > limit["mph"],
         "zero_distance": F.col("trip_miles") == 0,
     }
     row = df.agg(*[F.count_if(rule).alias(name) for name, rule in rules.items()])

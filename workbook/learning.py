@@ -1,0 +1,132 @@
+"""Regression pipelines, their metrics and weight tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fareframe.operators import model
+from fareframe.operators.calendar import add_calendar
+from fareframe.operators.sampling import year_split
+from workbook import views as V
+from workbook.registry import query, rounded
+
+LOW = ["pickup_day_of_week", "trip_cbd_type", "rush_hour_label", "time_period"]
+HIGH = ["PULocationID", "DOLocationID", "PU_Zone", "DO_Zone"]
+NUMERIC = ["trip_miles", "trip_time", "avg_speed_mph", "pickup_month"]
+
+
+def _split(spark, sf):
+    df = V.labelled_trips(spark, sf).where("commission >= 0").withColumn("year", F.year("pickup_date"))
+    return year_split(df, 1997, 1998)
+
+
+def _lasso(spark, sf, bins: int = 256):
+    train, test = model.trim_by_train(*_split(spark, sf), "commission")
+    train = model.as_text(train, HIGH).persist()
+    fitted = model.lasso_pipeline(LOW, HIGH, NUMERIC, hash_bins=bins).fit(train)
+    return fitted, train, model.as_text(test, HIGH)
+
+
+@query("q_lasso")
+def lasso(spark, sf):
+    fitted, train, test = _lasso(spark, sf)
+    scores = model.eval_metrics(fitted.transform(test), "commission")
+    train.unpersist()
+    return scores
+
+
+@query("q_lasso_coefficients")
+def coefficients(spark, sf):
+    fitted, train, _ = _lasso(spark, sf)
+    weights = model.coefficients(fitted, train)
+    train.unpersist()
+    return weights
+
+
+def _forest(spark, sf):
+    train, test = (d.where("y_cpm is not null") for d in _split(spark, sf))
+    train, test = model.trim_by_train(train, test, "y_cpm")
+    train = train.drop("trip_key", "trip_part", "provider_code", "holiday_name").persist()
+    cols = model.forest_columns(train)
+    return model.forest_pipeline(**cols, trees=20, depth=6, bins=64).fit(train), train, test
+
+
+@query("q_random_forest")
+def forest(spark, sf):
+    fitted, train, test = _forest(spark, sf)
+    scores = model.eval_metrics(fitted.transform(test), "y_cpm")
+    train.unpersist()
+    return scores
+
+
+@query("q_forest_importances")
+def importances(spark, sf):
+    fitted, train, _ = _forest(spark, sf)
+    table = model.importances(fitted, train)
+    train.unpersist()
+    return table
+
+
+@query(
+    "q_eval_metrics",
+    f"""WITH {V.TRIPS_SQL}, e AS (SELECT commission AS y, commission - base_passenger_fare * 0.2::DOUBLE AS d FROM trips)
+    SELECT round(sqrt(sum(d * d) / count(*)), 6) AS rmse, round(sum(abs(d)) / count(*), 6) AS mae,
+    round(1 - sum(d * d) / (var_pop(y) * count(*)), 6) AS r2, count(*) AS n FROM e""",
+)
+def metrics(spark, sf):
+    df = V.trips(spark, sf).withColumn("prediction", F.col("base_passenger_fare") * 0.2)
+    return rounded(model.eval_metrics(df, "commission"), ["rmse", "mae", "r2"])
+
+
+@query(
+    "q_trim_by_train",
+    f"""WITH {V.TRIPS_SQL}, q AS (SELECT quantile_cont(commission, 0.98) AS hi FROM trips WHERE year(pickup_date) = 1997)
+    SELECT CAST(year(pickup_date) AS INTEGER) AS year, count(*) AS n, round(avg(commission), 6) AS mean FROM trips, q
+    WHERE commission <= hi AND year(pickup_date) IN (1997, 1998) GROUP BY 1""",
+)
+def trim(spark, sf):
+    train, test = year_split(V.trips(spark, sf).withColumn("year", F.year("pickup_date")), 1997, 1998)
+    train, test = model.trim_by_train(train, test, "commission")
+    out = train.unionByName(test).groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.avg("commission").alias("mean"))
+    return rounded(out, ["mean"])
+
+
+@query(
+    "q_group_weights",
+    f"""WITH {V.TRIPS_SQL}, {V.ZONES_SQL}, w AS (
+      SELECT PULocationID AS LocationID, round(avg(commission), 6) AS weight FROM trips GROUP BY 1)
+    SELECT CASE WHEN service_zone = 'Airports' THEN 'airport' WHEN Borough IS NULL THEN 'other' ELSE Borough END AS theme,
+    round(sum(weight), 6) AS weight_sum, count(*) AS n FROM w LEFT JOIN (SELECT * FROM zones WHERE Zone <> 'NATION_7')
+    USING (LocationID) GROUP BY 1""",
+)
+def group_weights(spark, sf):
+    weights = V.trips(spark, sf).groupBy(F.col("PULocationID").alias("LocationID")).agg(
+        F.round(F.avg("commission"), 6).alias("weight")
+    )
+    themes = V.zones(spark, sf).where("Zone <> 'NATION_7'").select(
+        "LocationID", F.when(F.col("service_zone") == "Airports", "airport").otherwise(F.col("Borough")).alias("theme")
+    )
+    return rounded(model.group_weights(weights, themes, "LocationID", "theme", "weight"), ["weight_sum"])
+
+
+@query("q_model_round_trip")
+def round_trip(spark, sf):
+    """Weights of a saved and reloaded pipeline."""
+    from fareframe.sources.lake import load_model, save_model, scratch_dir
+
+    fitted, train, test = _lasso(spark, sf, bins=64)
+    path = scratch_dir(spark, "model")
+    save_model(fitted, path)
+    scores = model.eval_metrics(load_model(path).transform(test), "commission")
+    train.unpersist()
+    return scores
+
+
+@query("q_numeric_features", f"""WITH {V.TRIPS_SQL} SELECT count(trip_miles) AS trip_miles, count(trip_time) AS trip_time,
+    count(driver_efficiency) AS driver_efficiency FROM trips""")
+def numeric(spark, sf):
+    from fareframe.operators.features import numeric_features
+
+    df = add_calendar(V.trips(spark, sf)).select("trip_miles", "trip_time", "driver_efficiency", "commission", "pickup_date")
+    names = numeric_features(df, exclude=["commission"])
+    return df.agg(*[F.count(n).alias(n) for n in names])

@@ -1,0 +1,172 @@
+"""Reads and writes of the trip lake. Each query writes below a scratch folder and reads back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fareframe.operators import quality
+from fareframe.plans import mart
+from fareframe.sources import dims, lake
+from workbook import views as V
+from workbook.registry import query, rounded
+
+
+def _monthly(spark, sf):
+    return V.raw_trips(spark, sf).withColumns(
+        {"year": F.year("pickup_datetime"), "month": F.month("pickup_datetime")}
+    )
+
+
+@query(
+    "q_write_read_partitioned",
+    f"""WITH {V.RAW_SQL} SELECT CAST(year(pickup_datetime) AS INTEGER) AS year, CAST(month(pickup_datetime) AS INTEGER) AS month,
+    count(*) AS n, round(sum(base_passenger_fare), 6) AS fare FROM raw
+    WHERE year(pickup_datetime) IN (1996, 1997) AND month(pickup_datetime) <= 6 GROUP BY 1, 2""",
+)
+def write_read(spark, sf):
+    path = lake.scratch_dir(spark, "trips")
+    df = _monthly(spark, sf)
+    lake.write_partitioned(df, path)
+    # A second, partial write replaces its own months only.
+    lake.write_partitioned(df.where("year = 1996 and month = 3"), path)
+    back = lake.read_lake(spark, path, years=[1996, 1997], months=range(1, 7))
+    return back.groupBy("year", "month").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("base_passenger_fare"), 6).alias("fare")
+    )
+
+
+@query(
+    "q_list_partitions",
+    f"""WITH {V.RAW_SQL} SELECT DISTINCT CAST(year(pickup_datetime) AS INTEGER) AS year,
+    CAST(month(pickup_datetime) AS INTEGER) AS month FROM raw""",
+)
+def partitions(spark, sf):
+    path = lake.scratch_dir(spark, "parts")
+    lake.write_partitioned(_monthly(spark, sf), path)
+    return lake.list_partitions(spark, path)
+
+
+@query(
+    "q_read_month",
+    f"""WITH {V.RAW_SQL} SELECT provider_code, count(*) AS n, round(sum(base_passenger_fare), 6) AS fare FROM raw
+    WHERE year(pickup_datetime) = 1996 AND month(pickup_datetime) = 5 GROUP BY 1""",
+)
+def one_month(spark, sf):
+    path = lake.scratch_dir(spark, "months")
+    lake.write_partitioned(_monthly(spark, sf).where("year = 1996"), path)
+    if not lake.month_available(spark, path, 1996, 5) or lake.month_available(spark, path, 1990, 5):
+        raise ValueError("month probe is wrong")
+    return lake.read_month(spark, path, 1996, 5).groupBy("provider_code").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("base_passenger_fare"), 6).alias("fare")
+    )
+
+
+@query(
+    "q_report_round_trip",
+    f"""WITH {V.TRIPS_SQL} SELECT 'commission' AS "column", count(*) AS n, min(commission) AS min, max(commission) AS max
+    FROM trips""",
+)
+def report(spark, sf):
+    path = lake.scratch_dir(spark, "report")
+    lake.write_report(quality.basic_stats(V.trips(spark, sf), ["commission"]), path)
+    return spark.read.parquet(path).select("column", "n", "min", "max")
+
+
+@query(
+    "q_thresholds_round_trip",
+    f"""WITH {V.TRIPS_SQL} SELECT count(*) AS n FROM trips
+    WHERE trip_miles BETWEEN (SELECT quantile_cont(trip_miles, 0.01) FROM trips) AND (SELECT quantile_cont(trip_miles, 0.99) FROM trips)""",
+)
+def thresholds(spark, sf):
+    from fareframe.operators.clean import within
+
+    df = V.trips(spark, sf)
+    path = lake.scratch_dir(spark, "limits")
+    table = quality.thresholds(df, {"trip_miles": {"method": "percentile", "lower": 1, "upper": 99}})
+    lake.write_thresholds(table, path, generated_from="training")
+    return within(df, lake.read_thresholds(spark, path)).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("q_zone_csv", f"WITH {V.ZONES_SQL}, {V.RAW_SQL} SELECT Borough, count(*) AS n FROM raw JOIN zones ON PULocationID = LocationID GROUP BY 1")
+def zone_csv(spark, sf):
+    from fareframe.operators.joins import join_zone_roles
+
+    path = lake.scratch_dir(spark, "zones")
+    dim = V.zones(spark, sf)
+    dim.unionByName(dim).write.option("header", True).csv(path)
+    df = join_zone_roles(V.raw_trips(spark, sf), dims.read_zone_dim(spark, path))
+    return df.groupBy(F.col("PU_Borough").alias("Borough")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "q_weather_csv",
+    f"""WITH {V.IMPERIAL_SQL} SELECT season, count(*) AS days, round(sum(precipitation_mm), 6) AS precip_sum FROM weather GROUP BY 1""",
+)
+def weather_csv(spark, sf):
+    from fareframe.operators.weather import clean_imperial, season_profile
+
+    path = lake.scratch_dir(spark, "stations")
+    V.station_records(spark, sf).write.option("header", True).csv(path)
+    df = season_profile(clean_imperial(dims.read_weather_raw(spark, path)))
+    return rounded(df.select("season", "days", "precip_sum"), ["precip_sum"])
+
+
+@query(
+    "q_ingest",
+    f"""WITH {V.RAW_SQL} SELECT CAST(year(pickup_datetime) AS INTEGER) AS year, count(*) AS n,
+    round(sum(driver_pay), 7) AS pay, count(*) AS stamped FROM raw GROUP BY 1""",
+)
+def ingest(spark, sf):
+    from fareframe.plans.ingest import ingest_trips
+
+    path = lake.scratch_dir(spark, "raw")
+    ingest_trips(V.raw_trips(spark, sf), path)
+    return spark.read.parquet(path).groupBy("year").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("driver_pay"), 7).alias("pay"), F.count("ingest_ts").alias("stamped")
+    )
+
+
+MART_SQL = f"""WITH {V.WEATHER_TRIPS_SQL}, {V.ZONES_SQL},
+kept AS (SELECT * FROM wtrips WHERE commission >= 0),
+bounds AS (SELECT year(pickup_date) AS y, month(pickup_date) AS m, quantile_cont(commission, 0.01) AS lo,
+           quantile_cont(commission, 0.99) AS hi FROM kept GROUP BY 1, 2),
+mart AS (SELECT kept.* EXCLUDE (commission), least(greatest(commission, lo), hi) AS commission
+         FROM kept JOIN bounds ON y = year(pickup_date) AND m = month(pickup_date) WHERE y = 1997 AND m = 6)"""
+
+
+@query(
+    "q_month_mart",
+    f"""{MART_SQL} SELECT p.Borough AS PU_Borough, t.season, count(*) AS n, round(avg(commission), 6) AS commission,
+    round(avg(commission / trip_miles), 6) AS commission_per_mile FROM mart t JOIN zones p ON PULocationID = p.LocationID
+    GROUP BY 1, 2""",
+)
+def month_mart(spark, sf):
+    sources = mart.Sources(
+        trips=_monthly(spark, sf).withColumnRenamed("provider_code", "hvfhs_license_num"),
+        zones=V.zones(spark, sf),
+        calendar=V.calendar(spark, sf),
+        weather=V.daily_weather(spark, sf),
+    )
+    built = mart.build_month(sources, 1997, 6, mart.Settings(provider="N"))
+    out = built.trips.groupBy("PU_Borough", "season").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg("commission").alias("commission"),
+        F.avg("commission_per_mile").alias("commission_per_mile"),
+    )
+    return rounded(out, ["commission", "commission_per_mile"])
+
+
+@query(
+    "q_month_batch",
+    f"""WITH {V.TRIPS_SQL} SELECT CAST(year(pickup_date) AS INTEGER) AS year, CAST(month(pickup_date) AS INTEGER) AS month,
+    count(*) FILTER (commission >= 0) AS n FROM trips WHERE year(pickup_date) = 1998 AND month(pickup_date) IN (1, 2) GROUP BY 1, 2""",
+)
+def month_batch(spark, sf):
+    sources = mart.Sources(
+        trips=_monthly(spark, sf).withColumnRenamed("provider_code", "hvfhs_license_num"), zones=V.zones(spark, sf)
+    )
+    path = lake.scratch_dir(spark, "mart")
+    states = mart.run_batch(sources, [(1998, 1), (1998, 2), (1890, 1)], path, mart.Settings(provider="N"))
+    if [s["status"] for s in states] != ["success", "success", "skipped"]:
+        raise ValueError(f"unexpected batch outcome {states}")
+    return lake.read_lake(spark, path).groupBy("year", "month").agg(F.count(F.lit(1)).alias("n"))
