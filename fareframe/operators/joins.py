@@ -59,9 +59,11 @@ def join_zone_roles(
     """Zone attributes for both trip ends, each under its prefix. The zone key is detected."""
     key = detect_key(dim, ZONE_KEYS)
     features = [c for c in dim.columns if c != key]
+    # Checked once; both roles read the same exchange.
+    dim = require_unique(dim, [key])
     for prefix, trip_key in zip(prefixes, keys):
         role = dim.select(F.col(key).alias(trip_key), *[F.col(c).alias(f"{prefix}{c}") for c in features])
-        df = left_enrich(df, role, [trip_key])
+        df = left_enrich(df, role, [trip_key], unique=False)
     return df
 
 

@@ -61,8 +61,9 @@ def clip(value: Column, lo: Column, hi: Column) -> Column:
 
 def winsorize(df: DataFrame, col: str, lo: float = 0.01, hi: float = 0.99) -> DataFrame:
     """Clip a column to its exact quantiles, in one lazy plan."""
-    bounds = quantile_pair(df, col, lo, hi)
-    return df.withColumn(col, clip(F.col(col), bounds["lo"], bounds["hi"]))
+    # One subquery column, so that the bounds are planned once however often they are read.
+    bounded = df.withColumn("_bounds", quantile_pair(df, col, lo, hi))
+    return bounded.withColumn(col, clip(F.col(col), F.col("_bounds.lo"), F.col("_bounds.hi"))).drop("_bounds")
 
 
 def winsorize_commission(
@@ -73,12 +74,13 @@ def winsorize_commission(
     The unclipped commission stays as ``<commission>_raw``.
     """
     n = {**METRIC_NAMES, **(names or {})}
-    if isinstance(bounds, Column):
-        lo, hi = bounds["lo"], bounds["hi"]
-    else:
-        lo, hi = F.lit(float(bounds[0])), F.lit(float(bounds[1]))
+    if not isinstance(bounds, Column):
+        bounds = F.struct(F.lit(float(bounds[0])).alias("lo"), F.lit(float(bounds[1])).alias("hi"))
     raw = F.col(n["commission"])
-    clipped = df.withColumns({f"{n['commission']}_raw": raw, n["commission"]: clip(raw, lo, hi)})
+    bounded = df.withColumn("_bounds", bounds)
+    clipped = bounded.withColumns(
+        {f"{n['commission']}_raw": raw, n["commission"]: clip(raw, F.col("_bounds.lo"), F.col("_bounds.hi"))}
+    ).drop("_bounds")
     return clipped.withColumns(_ratios(F.col(n["commission"]), n))
 
 

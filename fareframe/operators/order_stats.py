@@ -38,12 +38,11 @@ def _rank(p: float, total: Column) -> Column:
     return F.lit(float(p)) * (total - 1)
 
 
-def quantiles(df: DataFrame, cols: Sequence[str] | str, ps: Sequence[float]) -> DataFrame:
-    """Exact quantiles with linear interpolation, as rows ``(column, p, value)``.
+def neighbours(df: DataFrame, cols: Sequence[str], ps: Sequence[float]) -> DataFrame:
+    """The two order statistics around each quantile: ``(column, p, low, high, part)``.
 
-    Null values are ignored. A column without values gives no rows.
+    The quantile is ``low + (high - low) * part``. A column without values gives no rows.
     """
-    cols = [cols] if isinstance(cols, str) else list(cols)
     ps = sorted({float(p) for p in ps})
     if not ps or ps[0] < 0 or ps[-1] > 1:
         raise ValueError("quantile probabilities must lie in [0, 1]")
@@ -109,15 +108,25 @@ def quantiles(df: DataFrame, cols: Sequence[str] | str, ps: Sequence[float]) ->
         F.max("total").alias("total"),
     )
 
-    def exact(i: int, p: float) -> Column:
-        low, high = F.col(f"a{i}"), F.col(f"b{i}")
+    def around(i: int, p: float) -> Column:
         rank = _rank(p, F.col("total"))
-        between = low + (high - low) * (rank - F.floor(rank))
         missed = F.raise_error(F.lit(f"sketch bracket missed the rank of p={p}")).cast("double")
-        return F.when(low.isNull() | high.isNull(), missed).otherwise(between)
+        low, high = F.coalesce(F.col(f"a{i}"), missed), F.coalesce(F.col(f"b{i}"), missed)
+        return F.struct(
+            F.lit(p).alias("p"), low.alias("low"), high.alias("high"), (rank - F.floor(rank)).alias("part")
+        )
 
-    rows = F.array(*[F.struct(F.lit(p).alias("p"), exact(i, p).alias("value")) for i, p in enumerate(ps)])
-    return picked.select("column", F.inline(rows))
+    return picked.select("column", F.inline(F.array(*[around(i, p) for i, p in enumerate(ps)])))
+
+
+def quantiles(df: DataFrame, cols: Sequence[str] | str, ps: Sequence[float]) -> DataFrame:
+    """Exact quantiles with linear interpolation, as rows ``(column, p, value)``.
+
+    Null values are ignored. A column without values gives no rows.
+    """
+    found = neighbours(df, [cols] if isinstance(cols, str) else list(cols), ps)
+    between = F.col("low") + (F.col("high") - F.col("low")) * F.col("part")
+    return found.select("column", "p", between.alias("value"))
 
 
 def quantile_values(df: DataFrame, col: str, ps: Sequence[float]) -> dict[float, float]:
@@ -181,44 +190,45 @@ def ecdf(df: DataFrame, col: str) -> DataFrame:
     )
 
 
-def value_range(df: DataFrame, col: str) -> Column:
-    """Scalar subquery ``struct(lo, hi)`` of the column's extremes."""
+def with_range(df: DataFrame, col: str, out: str = "_range") -> DataFrame:
+    """Adds the column's extremes ``struct(lo, hi)`` to every row, from one scalar subquery."""
     value = F.col(col).cast("double")
-    return df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("range")).scalar()
+    ends = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("range")).scalar()
+    return df.withColumn(out, ends)
 
 
-def _bin_counts(df: DataFrame, value: Column, lo: Column, hi: Column, bins: int) -> DataFrame:
-    return (
-        df.select(equal_width_bin(value, lo, hi, bins).alias("bin"))
-        .where(F.col("bin").isNotNull())
-        .groupBy("bin")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+def _binned(df: DataFrame, value: Column, lo: Column, hi: Column, bins: int) -> DataFrame:
+    """Row counts per bin with the range they share."""
+    placed = df.select(equal_width_bin(value, lo, hi, bins).alias("bin"), lo.alias("lo"), hi.alias("hi"))
+    counts = placed.where(F.col("bin").isNotNull()).groupBy("bin", "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("width", (F.col("hi") - F.col("lo")) / bins)
 
 
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     """Equal-width counts over the column's range; empty bins are absent."""
-    ends = value_range(df, col)
-    lo, hi = ends["lo"], ends["hi"]
-    width = (hi - lo) / bins
-    return _bin_counts(df, F.col(col).cast("double"), lo, hi, bins).select(
-        "bin", (lo + F.col("bin") * width).alias("bin_lo"), (lo + (F.col("bin") + 1) * width).alias("bin_hi"), "n"
+    value = F.col(col).cast("double")
+    counts = _binned(with_range(df, col), value, F.col("_range.lo"), F.col("_range.hi"), bins)
+    return counts.select(
+        "bin",
+        (F.col("lo") + F.col("bin") * F.col("width")).alias("bin_lo"),
+        (F.col("lo") + (F.col("bin") + 1) * F.col("width")).alias("bin_hi"),
+        "n",
     )
 
 
 def log_tail_histogram(df: DataFrame, col: str, p: float = 0.95, bins: int = 59, floor: float = 1e-2) -> DataFrame:
     """Counts of the tail ``>= p`` quantile in bins of equal width on the log10 axis."""
     # The whole column's maximum is the tail's maximum.
-    ends = quantile_pair(df, col, p, 1.0)
-    start = F.greatest(ends["lo"], F.lit(floor))
-    value = F.col(col).cast("double")
-    tail = df.where(value >= start).select(F.log10(value).alias("value"))
-    lo, hi = F.log10(start), F.log10(ends["hi"])
-    width = (hi - lo) / bins
-    return _bin_counts(tail, F.col("value"), lo, hi, bins).select(
+    values = df.select(F.col(col).cast("double").alias("value"))
+    tail = values.withColumn("ends", quantile_pair(values, "value", p, 1.0)).select(
+        "value", F.greatest(F.col("ends.lo"), F.lit(floor)).alias("start"), F.col("ends.hi").alias("most")
+    )
+    tail = tail.where(F.col("value") >= F.col("start"))
+    counts = _binned(tail, F.log10("value"), F.log10("start"), F.log10("most"), bins)
+    return counts.select(
         "bin",
-        F.pow(F.lit(10.0), lo + F.col("bin") * width).alias("bin_lo"),
-        F.pow(F.lit(10.0), lo + (F.col("bin") + 1) * width).alias("bin_hi"),
+        F.pow(F.lit(10.0), F.col("lo") + F.col("bin") * F.col("width")).alias("bin_lo"),
+        F.pow(F.lit(10.0), F.col("lo") + (F.col("bin") + 1) * F.col("width")).alias("bin_hi"),
         "n",
     )
 
@@ -228,15 +238,15 @@ def equal_width_cut(df: DataFrame, col: str, labels: Sequence[str], out: str) ->
 
     Intervals are right-closed; the lowest one also holds the minimum.
     """
-    ends = value_range(df, col)
-    lo, hi = ends["lo"], ends["hi"]
+    lo, hi = F.col("_range.lo"), F.col("_range.hi")
     bins = len(labels)
     position = F.ceil((F.col(col) - lo) / (hi - lo) * bins)
     number = F.when(hi > lo, F.greatest(F.least(position, F.lit(bins)), F.lit(1))).otherwise(
         F.lit((bins + 1) // 2)
     )
     names = F.array(*[F.lit(x) for x in labels])
-    return df.withColumn(out, F.when(F.col(col).isNotNull(), F.element_at(names, number.cast("int"))))
+    label = F.when(F.col(col).isNotNull(), F.element_at(names, number.cast("int")))
+    return with_range(df, col).withColumn(out, label).drop("_range")
 
 
 def capped_bins(
@@ -248,27 +258,46 @@ def capped_bins(
     merge; the outer edges are padded by 0.01, or by 0.1 when all capped values are equal.
     """
     valid = df.where(F.col(col) > 0)
-    limits = quantile_pair(valid, col, cap_p, outlier_p)
-    capped = valid.withColumns(
-        {
-            "capped": F.least(F.col(col).cast("double"), limits["lo"]),
-            "is_outlier": F.when(F.col(col) > limits["hi"], F.lit(1)).otherwise(F.lit(0)),
-        }
+    found = neighbours(valid, [col], [*ps, cap_p, outlier_p])
+    low, high, part = F.col("low"), F.col("high"), F.col("part")
+    exact = low + (high - low) * part
+
+    def only(p: float) -> Column:
+        return F.max(F.when(F.col("p") == float(p), exact))
+
+    limits = found.agg(
+        only(cap_p).alias("cap"),
+        only(outlier_p).alias("far"),
+        F.collect_list(F.when(F.col("p").isin([float(p) for p in ps]), F.struct("low", "high", "part"))).alias("around"),
+    )
+
+    def capped_quantile(o: Column) -> Column:
+        # Capping each order statistic gives the quantiles of the capped column without another pass.
+        under, over = F.least(o["low"], F.col("cap")), F.least(o["high"], F.col("cap"))
+        return under + (over - under) * o["part"]
+
+    edges = limits.select(
+        "cap", "far", F.sort_array(F.array_distinct(F.transform("around", capped_quantile))).alias("edges")
     )
-    raw_edges = quantiles(capped, "capped", ps).agg(F.sort_array(F.collect_set("value")).alias("edges"))
-    single = F.size("edges") == 1
     one, last = F.col("edges")[0], F.element_at("edges", -1)
     inner = F.when(F.size("edges") > 2, F.slice("edges", 2, F.size("edges") - 2)).otherwise(
         F.array().cast("array<double>")
     )
-    padded = F.when(single, F.array(one - 0.1, one, one + 0.1)).otherwise(
+    padded = F.when(F.size("edges") == 1, F.array(one - 0.1, one, one + 0.1)).otherwise(
         F.concat(F.array(one - 0.01), inner, F.array(last + 0.01))
     )
-    edges = raw_edges.select(padded).scalar()
+    bounds = edges.select(F.struct("cap", "far", padded.alias("edges")).alias("bounds")).scalar()
+    value = F.col(col).cast("double")
     return (
-        capped.withColumn("edges", edges)
-        .withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col("capped"))))
-        .drop("edges")
+        valid.withColumn("_bounds", bounds)
+        .withColumns(
+            {
+                "capped": F.least(value, F.col("_bounds.cap")),
+                "is_outlier": F.when(value > F.col("_bounds.far"), F.lit(1)).otherwise(F.lit(0)),
+            }
+        )
+        .withColumn("bin", F.size(F.filter("_bounds.edges", lambda e: e <= F.col("capped"))))
+        .drop("_bounds")
     )
 
 

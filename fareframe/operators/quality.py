@@ -208,9 +208,11 @@ def outlier_profile(df: DataFrame) -> DataFrame:
 
 def quality_indicators(df: DataFrame) -> DataFrame:
     """(indicator, n) rows: very short, very long, quick, slow, fast and zero-distance trips."""
-    limit = quantile_struct(
+    limits = quantile_struct(
         df, {"miles": ("trip_miles", 0.99), "hours": ("duration_hours", 0.99), "mph": ("mph", 0.95)}
     )
+    df = df.withColumn("_limit", limits)
+    limit = F.col("_limit")
     rules = {
         "very_short": F.col("trip_miles") < 0.5,
         "very_long": F.col("trip_miles") > limit["miles"],

@@ -9,10 +9,12 @@ MAX_BYTES = 64 * 1024 * 1024
 MAX_ROWS = 1_000_000
 
 
-def planned_bytes(df: DataFrame) -> int | None:
+def planned_bytes(df: DataFrame, optimized: bool = True) -> int | None:
     """Catalyst's size estimate for the frame, or None where it is not reachable."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+        plans = df._jdf.queryExecution()
+        plan = plans.optimizedPlan() if optimized else plans.analyzed()
+        return int(plan.stats().sizeInBytes().longValue())
     except Exception:  # no JVM handle, e.g. a remote session
         return None
 
@@ -20,12 +22,14 @@ def planned_bytes(df: DataFrame) -> int | None:
 def is_small(df: DataFrame, max_bytes: int = MAX_BYTES, max_rows: int = MAX_ROWS) -> bool:
     """True when Catalyst's estimate fits, else when a capped count of the frame itself fits.
 
-    The count is a job on the dimension side only and runs only for frames whose estimate is
-    loose, such as an aggregate over a large table.
+    The estimate of the plain plan comes first, as it costs nothing; then that of the optimized
+    plan. The count is a job on the dimension side only and runs only for frames whose estimates
+    are loose, such as an aggregate over a large table.
     """
-    size = planned_bytes(df)
-    if size is not None and size <= max_bytes:
-        return True
+    for optimized in (False, True):
+        size = planned_bytes(df, optimized)
+        if size is not None and size <= max_bytes:
+            return True
     return df.limit(max_rows + 1).count() <= max_rows
 
 

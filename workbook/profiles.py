@@ -285,14 +285,16 @@ def log_histogram(spark, sf):
 
 @query(
     "q_capped_bins",
-    f"""WITH {V.TRIPS_SQL}, z AS (SELECT trip_key, round(avg(y_cpm), 6) AS v FROM trips WHERE y_cpm > 0 GROUP BY 1),
+    f"""WITH {V.TRIPS_SQL}, z AS (SELECT PULocationID, DOLocationID, round(avg(y_cpm), 6) AS v FROM trips WHERE y_cpm > 0 GROUP BY 1, 2),
     q AS (SELECT quantile_cont(v, 0.95) AS cap, quantile_cont(v, 0.99) AS far FROM z),
-    c AS (SELECT trip_key, v, least(v, cap) AS capped, CASE WHEN v > far THEN 1 ELSE 0 END AS is_outlier FROM z, q),
+    c AS (SELECT PULocationID, DOLocationID, v, least(v, cap) AS capped, CASE WHEN v > far THEN 1 ELSE 0 END AS is_outlier FROM z, q),
     e AS (SELECT list_sort(list_distinct(quantile_cont(capped, [0, 0.2, 0.4, 0.6, 0.8, 1]))) AS x FROM c),
     pad AS (SELECT list_concat([x[1] - 0.01::DOUBLE], x[2:-2], [x[-1] + 0.01::DOUBLE]) AS x FROM e)
-    SELECT trip_key, round(capped, 6) AS capped, is_outlier,
+    SELECT PULocationID, DOLocationID, round(capped, 6) AS capped, is_outlier,
            CAST(len(list_filter(x, lambda b: b <= capped)) AS INTEGER) AS bin FROM c, pad""",
 )
 def capped(spark, sf):
-    zones = positive(V.trips(spark, sf), "y_cpm").groupBy("trip_key").agg(F.round(F.avg("y_cpm"), 6).alias("v"))
+    zones = positive(V.trips(spark, sf), "y_cpm").groupBy("PULocationID", "DOLocationID").agg(
+        F.round(F.avg("y_cpm"), 6).alias("v")
+    )
     return rounded(order_stats.capped_bins(zones, "v").drop("v"), ["capped"])

@@ -23,8 +23,15 @@ HOLIDAYS = [
 ]
 
 
+_OPENED: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table; its file listing and schema are read once per application."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _OPENED:
+        _OPENED[key] = spark.read.parquet(f"{sf}/{name}.parquet")
+    return _OPENED[key]
 
 
 def zones(spark: SparkSession, sf: str) -> DataFrame:
