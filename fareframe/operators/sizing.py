@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_BYTES = 64 * 1024 * 1024
+MAX_BYTES = 32 * 1024 * 1024
 MAX_ROWS = 1_000_000
 
 
 def planned_bytes(df: DataFrame, optimized: bool = True) -> int | None:
-    """Catalyst's size estimate for the frame, or None where it is not reachable."""
+    """Catalyst's size estimate for the frame, or None where it has none that can be trusted.
+
+    Estimates do not see how many rows an explode adds, so plans with one have none.
+    """
     try:
         plans = df._jdf.queryExecution()
         plan = plans.optimizedPlan() if optimized else plans.analyzed()
+        if "Generate " in plan.toString():
+            return None
         return int(plan.stats().sizeInBytes().longValue())
-    except Exception:  # no JVM handle, e.g. a remote session
+    except AttributeError:  # no JVM handle, e.g. a remote session
         return None
 
 
