@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fareframe.functions.weather import fog_flag
@@ -36,7 +36,7 @@ SCREENED = (
 )
 COMMONLY_REDUNDANT = ("trip_duration_minutes", "avg_speed_mph", *FARE_METRIC_COLUMNS)
 EARLY_DROPS = (*ID_COLUMNS, *FEE_COLUMNS, *FARE_METRIC_COLUMNS)
-PAIRS_PER_PASS = 200
+PAIRS_PER_PASS = 100
 
 
 def label_pair_counts(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -84,6 +84,16 @@ def numeric_features(df: DataFrame, exclude: Sequence[str]) -> list[str]:
     return [c for c, t in df.dtypes if t in NUMERIC_TYPES and c not in set(exclude)]
 
 
+def _pearson(a: str, b: str) -> Column:
+    """Pearson correlation over rows with both values; null for a constant column.
+
+    The built-in ``corr`` divides by zero there under ANSI rules.
+    """
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    spread = F.stddev_pop(F.when(both, F.col(a))) * F.stddev_pop(F.when(both, F.col(b)))
+    return F.when(spread > 0, F.covar_pop(a, b) / spread)
+
+
 def correlations(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every column pair over all rows, as ``(a, b, r)``.
 
@@ -97,7 +107,7 @@ def correlations(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     # Wide aggregates are cut so that their buffers stay within generated code.
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         chunk = pairs[start : start + PAIRS_PER_PASS]
-        row = df.agg(*[F.corr(a, b).alias(f"_{i}") for i, (a, b) in enumerate(chunk)])
+        row = df.agg(*[_pearson(a, b).alias(f"_{i}") for i, (a, b) in enumerate(chunk)])
         rows = row.select(
             F.inline(
                 F.array(

@@ -14,16 +14,31 @@ from fareframe.operators.zones import build_od_features
 from fareframe.sources.lake import write_build_manifest, write_partitioned
 
 
-def _manifest(spark: SparkSession, path: str, df: DataFrame) -> None:
-    write_build_manifest(spark, f"{path}_manifest", path=path, features=",".join(df.columns), feature_count=len(df.columns))
+def _finish(spark: SparkSession, path: str, months: bool) -> DataFrame:
+    """Reads the written features back and describes them in ``<path>_manifest``."""
+    built = spark.read.parquet(path)
+    features = [c for c in built.columns if c not in ("year", "month")]
+    counts = built.select(
+        F.count(F.lit(1)).alias("rows"),
+        (F.count_distinct("year", "month") if months else F.lit(0).cast("bigint")).alias("months"),
+    ).first()
+    write_build_manifest(
+        spark,
+        f"{path}_manifest",
+        location=path,
+        features=",".join(features),
+        feature_count=len(features),
+        rows=counts["rows"],
+        months=counts["months"],
+    )
+    return built
 
 
 def build_spatial(zones: DataFrame, cbd: DataFrame | None, path: str, **flags) -> DataFrame:
     """Write the zone-pair lookup once; it does not change by month."""
     od = build_od_features(require_unique(zones, ["LocationID"]), cbd, **flags)
     od.write.mode("overwrite").parquet(path)
-    _manifest(zones.sparkSession, path, od)
-    return zones.sparkSession.read.parquet(path)
+    return _finish(zones.sparkSession, path, months=False)
 
 
 def build_temporal(spark: SparkSession, start: str, end: str, holidays: DataFrame, path: str) -> DataFrame:
@@ -31,8 +46,7 @@ def build_temporal(spark: SparkSession, start: str, end: str, holidays: DataFram
     grid = add_calendar(hour_grid(spark, start, end), holidays=holidays)
     grid = grid.withColumns({"year": F.col("pickup_year"), "month": F.col("pickup_month")})
     write_partitioned(grid, path)
-    _manifest(spark, path, grid)
-    return spark.read.parquet(path)
+    return _finish(spark, path, months=True)
 
 
 def build_weather(
@@ -46,5 +60,4 @@ def build_weather(
         daily = daily.where(F.col("year").isin(*years))
     core = select_weather_core(daily)
     write_partitioned(core, path)
-    _manifest(raw.sparkSession, path, core)
-    return raw.sparkSession.read.parquet(path)
+    return _finish(raw.sparkSession, path, months=True)
