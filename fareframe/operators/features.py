@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fareframe.functions.weather import fog_flag
@@ -36,7 +37,8 @@ SCREENED = (
 )
 COMMONLY_REDUNDANT = ("trip_duration_minutes", "avg_speed_mph", *FARE_METRIC_COLUMNS)
 EARLY_DROPS = (*ID_COLUMNS, *FEE_COLUMNS, *FARE_METRIC_COLUMNS)
-PAIRS_PER_PASS = 100
+# Squared relative spread below which a column counts as constant.
+CONSTANT = 1e-24
 
 
 def label_pair_counts(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -44,7 +46,8 @@ def label_pair_counts(df: DataFrame, a: str, b: str) -> DataFrame:
 
     The scan reduces to the distinct combinations before the three counts.
     """
-    pairs = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+    # A plain distinct lets Catalyst drop left joins that do not feed the two labels.
+    pairs = df.select(a, b).distinct()
     # A null label is a value of its own, as it is for DISTINCT.
     left = F.count_distinct(F.struct(a))
     right = F.count_distinct(F.struct(b))
@@ -84,42 +87,87 @@ def numeric_features(df: DataFrame, exclude: Sequence[str]) -> list[str]:
     return [c for c, t in df.dtypes if t in NUMERIC_TYPES and c not in set(exclude)]
 
 
-def _pearson(a: str, b: str) -> Column:
-    """Pearson correlation over rows with both values; null for a constant column.
-
-    The built-in ``corr`` divides by zero there under ANSI rules.
-    """
-    both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    spread = F.stddev_pop(F.when(both, F.col(a))) * F.stddev_pop(F.when(both, F.col(b)))
-    return F.when(spread > 0, F.covar_pop(a, b) / spread)
+def _moments(x: np.ndarray) -> dict[str, np.ndarray]:
+    """Pairwise counts, means and centred moments of a block; entry (i, j) uses rows with both values."""
+    present = ~np.isnan(x)
+    start = x[present.argmax(axis=0), np.arange(x.shape[1])]
+    start = np.where(np.isnan(start), 0.0, start)
+    # Shifting by a value of the column itself keeps a constant column exactly at zero.
+    z, m = np.where(present, x - start, 0.0), present.astype(float)
+    n = m.T @ m
+    total, some = z.T @ m, np.maximum(n, 1.0)
+    return {
+        "n": n,
+        "mean": start[:, None] + total / some,
+        "var": (z * z).T @ m - total * total / some,
+        "cov": z.T @ z - total * total.T / some,
+    }
+
+
+def _merged(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    n = a["n"] + b["n"]
+    some = np.maximum(n, 1.0)
+    gap = np.where((a["n"] > 0) & (b["n"] > 0), b["mean"] - a["mean"], 0.0)
+    weight = a["n"] * b["n"] / some
+    return {
+        "n": n,
+        "mean": (a["mean"] * a["n"] + b["mean"] * b["n"]) / some,
+        "var": a["var"] + b["var"] + gap * gap * weight,
+        "cov": a["cov"] + b["cov"] + gap * gap.T * weight,
+    }
 
 
 def correlations(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every column pair over all rows, as ``(a, b, r)``.
 
-    A pair uses the rows where both are present. A constant column gives null.
+    A pair uses the rows where both are present; a constant column gives null. Each task reduces
+    its Arrow batches to one moment matrix, so any number of columns takes one scan and shuffles
+    one row per pair and task. Built-in aggregates would keep three buffers per pair and row.
     """
-    cols = list(cols or numeric_columns(df))
-    pairs = list(combinations(cols, 2))
-    if not pairs:
+    names = list(cols or numeric_columns(df))
+    if len(names) < 2:
         raise ValueError("need at least two numeric columns")
-    out = None
-    # Wide aggregates are cut so that their buffers stay within generated code.
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        chunk = pairs[start : start + PAIRS_PER_PASS]
-        row = df.agg(*[_pearson(a, b).alias(f"_{i}") for i, (a, b) in enumerate(chunk)])
-        rows = row.select(
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("r"))
-                        for i, (a, b) in enumerate(chunk)
-                    ]
-                )
-            )
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    rows, others = np.triu_indices(len(names), 1)
+
+    def reduce_task(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                block = _moments(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]))
+                total = block if total is None else _merged(total, block)
+        if total is not None:
+            fields = {
+                "a": [names[i] for i in rows],
+                "b": [names[j] for j in others],
+                "n": total["n"][rows, others],
+                "ma": total["mean"][rows, others],
+                "mb": total["mean"][others, rows],
+                "va": total["var"][rows, others],
+                "vb": total["var"][others, rows],
+                "c": total["cov"][rows, others],
+            }
+            yield pa.RecordBatch.from_pydict(fields)
+
+    parts = df.select([F.col(c).cast("double").alias(c) for c in names]).mapInArrow(
+        reduce_task, "a string, b string, n double, ma double, mb double, va double, vb double, c double"
+    )
+    # One row per pair and task meets here.
+    pair = Window.partitionBy("a", "b")
+    n, weight = F.col("n"), F.sum("n").over(pair)
+    known = parts.where(n > 0).withColumns(
+        {"da": F.col("ma") - F.sum(n * F.col("ma")).over(pair) / weight,
+         "db": F.col("mb") - F.sum(n * F.col("mb")).over(pair) / weight}
+    )
+    sums = known.groupBy("a", "b").agg(
+        F.sum(F.col("va") + n * F.col("da") * F.col("da")).alias("va"),
+        F.sum(F.col("vb") + n * F.col("db") * F.col("db")).alias("vb"),
+        F.sum(F.col("c") + n * F.col("da") * F.col("db")).alias("c"),
+        F.sum(n * F.col("ma") * F.col("ma")).alias("ma2"),
+        F.sum(n * F.col("mb") * F.col("mb")).alias("mb2"),
+    )
+    # A spread at rounding level is that of a constant column.
+    varies = (F.col("va") > F.col("ma2") * CONSTANT) & (F.col("vb") > F.col("mb2") * CONSTANT)
+    return sums.select("a", "b", F.when(varies, F.col("c") / F.sqrt(F.col("va") * F.col("vb"))).alias("r"))
 
 
 def correlation_pairs(df: DataFrame, cols: Sequence[str] | None = None, threshold: float = 0.9) -> DataFrame:

@@ -82,10 +82,15 @@ def neighbours(df: DataFrame, cols: Sequence[str], ps: Sequence[float]) -> DataF
         .groupBy("column", "total", "slot", F.when(F.col("slot") % 2 == 1, value).alias("value"))
         .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
     )
-    by_slot = counts.groupBy("column", "slot").agg(F.sum("n").alias("slot_n"))
+    # Both reads of ``counts`` use all its columns, so that they share one shuffle.
+    by_slot = counts.groupBy("column", "slot").agg(
+        F.sum("n").alias("slot_n"), F.min("least").alias("slot_least"), F.max("most").alias("slot_most")
+    )
     before = by_slot.select(
         "column",
         "slot",
+        "slot_least",
+        "slot_most",
         (
             F.sum("slot_n").over(Window.partitionBy("column").orderBy("slot")) - F.col("slot_n")
         ).alias("before"),
@@ -96,10 +101,11 @@ def neighbours(df: DataFrame, cols: Sequence[str], ps: Sequence[float]) -> DataF
     ranked = placed.withColumn("upto", F.col("before") + F.sum("n").over(run))
     first, last = F.col("upto") - F.col("n"), F.col("upto") - 1
 
+    least = F.greatest("least", "slot_least")
+    most = F.least("most", "slot_most")
+
     def at(rank: Column) -> Column:
-        known = F.when((rank == first) | (F.col("least") == F.col("most")), F.col("least")).when(
-            rank == last, F.col("most")
-        )
+        known = F.when((rank == first) | (least == most), least).when(rank == last, most)
         return F.max(F.when((first <= rank) & (rank <= last), known))
 
     picked = ranked.groupBy("column").agg(

@@ -235,9 +235,16 @@ def test_correlation_rules(spark):
     assert features.numeric_features(df, ["flat"]) == ["trip_time", "duration_minutes", "revenue_per_x", "gap"]
 
 
-def test_correlations_in_several_passes(spark, monkeypatch):
-    df = spark.range(50).select([(F.rand(i) + F.col("id")).alias(f"c{i}") for i in range(6)])
-    df = spark.createDataFrame(df.collect(), df.schema)
-    whole = sorted(features.correlations(df).collect())
-    monkeypatch.setattr(features, "PAIRS_PER_PASS", 4)
-    assert sorted(features.correlations(df).collect()) == whole and len(whole) == 15
+def test_correlations_match_pandas(spark):
+    df = spark.range(3000).select(
+        *[(F.xxhash64("id", F.lit(i)) % 1000 / 10 + 1e6 * i).alias(f"c{i}") for i in range(4)],
+        F.when(F.col("id") % 3 > 0, F.col("id") / 7 + F.xxhash64("id") % 50).alias("gaps"),
+        F.lit(0.1).alias("flat"), F.lit(None).cast("double").alias("empty"),
+    )
+    want = df.toPandas().astype(float).corr()
+    got = {(r["a"], r["b"]): r["r"] for r in features.correlations(df.repartition(9)).collect()}
+    assert all(r is None for (a, b), r in got.items() if "flat" in (a, b))
+    known = {k: v for k, v in got.items() if "flat" not in k}
+    assert len(known) == 10
+    for (a, b), r in known.items():
+        assert r == pytest.approx(want.loc[a, b], abs=1e-9)

@@ -195,8 +195,23 @@ def points(spark, sf):
     return hits.select("o_orderkey", "LocationID")
 
 
-# The triangle's height at x is a single interval, so the oracle integrates the overlap over fine strips.
-@query("q_zone_overlap")
+# The height of a triangle's overlap with a rectangle is piecewise linear in x, so the oracle sums exact
+# trapezoids between all its breakpoints, for each of the two rectangles that make up an L.
+OVERLAP_SQL = """WITH l AS (SELECT s_suppkey, (s_suppkey % 20 * 10)::DOUBLE AS x0, (floor(s_suppkey / 20) * 10)::DOUBLE AS y0 FROM supplier),
+rect AS (SELECT s_suppkey, x0 AS a, x0 + 8 AS b, y0 AS lo, y0 + 3 AS hi FROM l
+         UNION ALL SELECT s_suppkey, x0, x0 + 4, y0 + 3, y0 + 7 FROM l),
+tri AS (SELECT (n_nationkey % 5 * 40 + 3)::DOUBLE AS tx, (n_nationkey // 5 * 40 + 2)::DOUBLE AS ty FROM nation),
+hit AS (SELECT *, greatest(a, tx) AS x0, least(b, tx + 30) AS x1 FROM rect JOIN tri ON a < tx + 30 AND b > tx AND lo < ty + 30 AND hi > ty),
+pts AS (SELECT *, list_sort([greatest(x0, least(x1, v)) FOR v IN
+    [x0, x1, tx + 2 * (lo - ty), tx + 2 * (hi - ty), tx + 2 * (ty + 30 - lo), tx + 2 * (ty + 30 - hi)]]) AS xs FROM hit),
+fx AS (SELECT s_suppkey, xs, [greatest(0, least(ty + 30 - (v - tx) / 2, hi) - greatest(ty + (v - tx) / 2, lo)) FOR v IN xs] AS f FROM pts),
+area AS (SELECT s_suppkey, sum(list_sum([(xs[i + 1] - xs[i]) * (f[i] + f[i + 1]) / 2 FOR i IN range(1, 6)])) AS v FROM fx GROUP BY 1)
+SELECT s_suppkey AS LocationID, 40.0::DOUBLE AS area, round(coalesce(v, 0), 6) AS overlap_area,
+       round(coalesce(v, 0) / 40, 6) AS overlap_ratio, CASE WHEN coalesce(v, 0) / 40 > 0.25 THEN 1 ELSE 0 END AS in_cbd
+FROM supplier LEFT JOIN area USING (s_suppkey)"""
+
+
+@query("q_zone_overlap", OVERLAP_SQL)
 def overlap(spark, sf):
     df = geo.zone_overlap(_supplier_shapes(spark, sf), _nation_shapes(spark, sf), cell=10)
     return rounded(geo.overlap_flag(df, 0.25), ["area", "overlap_area", "overlap_ratio"])
