@@ -28,11 +28,11 @@ def provider_filter(spark, sf):
     return _totals(clean.filter_provider(raw, "provider_code", "N"), "PULocationID")
 
 
-# Some required values are blanked out by key so that the filter has work to do.
+# Some required values are blanked out by their toll so that the filter has work to do.
 BLANKED_SQL = """blanked AS (
   SELECT provider_code, trip_miles, DOLocationID,
-         CASE WHEN trip_key % 10 <> 0 THEN base_passenger_fare END AS base_passenger_fare,
-         CASE WHEN trip_key % 7 <> 0 THEN driver_pay END AS driver_pay FROM raw)"""
+         CASE WHEN tolls <> 0.05 THEN base_passenger_fare END AS base_passenger_fare,
+         CASE WHEN tolls > 0 THEN driver_pay END AS driver_pay FROM raw)"""
 
 
 @query(
@@ -43,8 +43,8 @@ BLANKED_SQL = """blanked AS (
 def required_not_null(spark, sf):
     raw = V.raw_trips(spark, sf).withColumns(
         {
-            "base_passenger_fare": F.when(F.col("trip_key") % 10 != 0, F.col("base_passenger_fare")),
-            "driver_pay": F.when(F.col("trip_key") % 7 != 0, F.col("driver_pay")),
+            "base_passenger_fare": F.when(F.col("tolls") != 0.05, F.col("base_passenger_fare")),
+            "driver_pay": F.when(F.col("tolls") > 0, F.col("driver_pay")),
         }
     )
     return _totals(clean.require_not_null(raw), "provider_code")
@@ -53,19 +53,19 @@ def required_not_null(spark, sf):
 @query(
     "q_valid_trips",
     f"""WITH {V.RAW_SQL}, shifted AS (
-      SELECT provider_code, trip_miles - CASE WHEN trip_key % 4 = 0 THEN 2 ELSE 0 END AS trip_miles,
-             trip_time - CASE WHEN trip_key % 5 = 0 THEN 300 ELSE 0 END AS trip_time,
-             base_passenger_fare, driver_pay - CASE WHEN trip_key % 3 = 0 THEN 5 ELSE 0 END AS driver_pay FROM raw)
+      SELECT provider_code, trip_miles - CASE WHEN trip_part = 1 THEN 2 ELSE 0 END AS trip_miles,
+             trip_time - CASE WHEN trip_part = 2 THEN 300 ELSE 0 END AS trip_time,
+             base_passenger_fare, driver_pay - CASE WHEN trip_part = 3 THEN 5 ELSE 0 END AS driver_pay FROM raw)
     SELECT provider_code, {TRIP_COUNTS} FROM shifted
     WHERE trip_miles >= 0 AND trip_time > 0 AND base_passenger_fare >= 0 AND driver_pay >= 0 GROUP BY 1""",
 )
 def valid(spark, sf):
-    key = F.col("trip_key")
+    part = F.col("trip_part")
     raw = V.raw_trips(spark, sf).withColumns(
         {
-            "trip_miles": F.col("trip_miles") - F.when(key % 4 == 0, 2).otherwise(0),
-            "trip_time": F.col("trip_time") - F.when(key % 5 == 0, 300).otherwise(0),
-            "driver_pay": F.col("driver_pay") - F.when(key % 3 == 0, 5).otherwise(0),
+            "trip_miles": F.col("trip_miles") - F.when(part == 1, 2).otherwise(0),
+            "trip_time": F.col("trip_time") - F.when(part == 2, 300).otherwise(0),
+            "driver_pay": F.col("driver_pay") - F.when(part == 3, 5).otherwise(0),
         }
     )
     return _totals(clean.valid_trips(raw), "provider_code")
@@ -155,15 +155,15 @@ def positive(spark, sf):
 @query(
     "q_drop_na_zones",
     f"""WITH {V.LABELLED_SQL}, marked AS (
-      SELECT base_passenger_fare, driver_pay, CASE WHEN PULocationID % 6 = 0 THEN 'N/A' ELSE PU_Borough END AS p,
-             CASE WHEN DOLocationID % 9 <> 0 THEN DO_Borough END AS d FROM labelled)
+      SELECT base_passenger_fare, driver_pay, CASE WHEN PU_Borough = 'AFRICA' THEN 'N/A' ELSE PU_Borough END AS p,
+             CASE WHEN DO_Borough <> 'EUROPE' THEN DO_Borough END AS d FROM labelled)
     SELECT p AS PU_Borough, {TRIP_COUNTS} FROM marked WHERE p <> 'N/A' AND d <> 'N/A' GROUP BY 1""",
 )
 def na_zones(spark, sf):
     df = V.labelled_trips(spark, sf).withColumns(
         {
-            "PU_Borough": F.when(F.col("PULocationID") % 6 == 0, "N/A").otherwise(F.col("PU_Borough")),
-            "DO_Borough": F.when(F.col("DOLocationID") % 9 != 0, F.col("DO_Borough")),
+            "PU_Borough": F.when(F.col("PU_Borough") == "AFRICA", "N/A").otherwise(F.col("PU_Borough")),
+            "DO_Borough": F.when(F.col("DO_Borough") != "EUROPE", F.col("DO_Borough")),
         }
     )
     return _totals(clean.drop_na_zones(df), "PU_Borough")

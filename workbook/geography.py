@@ -144,16 +144,17 @@ def with_flags(spark, sf):
 
 @query(
     "q_dim_left_profile",
-    f"""WITH {V.TRIPS_SQL} SELECT s_suppkey, s_nationkey AS PULocationID, pu_n_trips, pu_avg_cpm FROM supplier LEFT JOIN (
-      SELECT PULocationID, count(*) AS pu_n_trips, round(avg(y_cpm), 6) AS pu_avg_cpm FROM trips
-      WHERE y_cpm > 0 AND PULocationID < 20 GROUP BY 1) ON s_nationkey = PULocationID""",
+    """SELECT c_custkey, c_nationkey, n, spent FROM customer LEFT JOIN (
+      SELECT o_custkey, count(*) AS n, round(avg(o_totalprice), 6) AS spent FROM orders WHERE o_totalprice > 400000 GROUP BY 1)
+    ON c_custkey = o_custkey""",
 )
 def left_profile(spark, sf):
-    from fareframe.operators.profile import zone_profile
-
-    p = zone_profile(V.trips(spark, sf).where("PULocationID < 20"), "PULocationID", "pu")
-    dim = V.table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("PULocationID"))
-    return joins.dim_left_profile(dim, rounded(p, ["pu_avg_cpm"]), "PULocationID")
+    large = V.table(spark, sf, "orders").where("o_totalprice > 400000")
+    profile = large.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("spent")
+    )
+    dim = V.table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    return joins.dim_left_profile(dim, rounded(profile, ["spent"]), "c_custkey")
 
 
 # Each supplier is an L-shaped polygon on a 10-wide lattice; every nation is a triangle on the same plane.

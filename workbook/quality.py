@@ -244,8 +244,8 @@ def outliers(spark, sf):
 FUNNEL_SQL = f"""{V.RAW_SQL}, steps AS (
   SELECT CAST(year(pickup_datetime) AS INTEGER) AS year, CAST(month(pickup_datetime) AS INTEGER) AS month,
          count(*) AS raw_count, count(*) FILTER (own) AS provider_count, count(*) FILTER (own AND ok) AS quality_count,
-         count(*) FILTER (own AND ok AND trip_key % 3 <> 0) AS sampled_count,
-         count(*) FILTER (own AND ok AND trip_key % 3 <> 0 AND base_passenger_fare - driver_pay >= 0) AS final_rows
+         count(*) FILTER (own AND ok AND tolls >= 0.02) AS sampled_count,
+         count(*) FILTER (own AND ok AND tolls >= 0.02 AND base_passenger_fare - driver_pay >= 0) AS final_rows
   FROM (SELECT *, provider_code = 'N' AS own, trip_miles >= 0 AND trip_time > 0 AND base_passenger_fare >= 0
           AND driver_pay >= 0 AS ok FROM raw) GROUP BY 1, 2),
 monthly AS (
@@ -255,8 +255,8 @@ monthly AS (
 
 def _funnel(spark, sf):
     raw = V.raw_trips(spark, sf).withColumns({"year": F.year("pickup_datetime"), "month": F.month("pickup_datetime")})
-    # A fixed share by key stands for the sample, so that both sides agree on its rows.
-    return quality.removal_funnel(raw, "provider_code", "N", sampled=F.col("trip_key") % 3 != 0)
+    # A toll rule stands for the sample, so that both sides agree on its rows.
+    return quality.removal_funnel(raw, "provider_code", "N", sampled=F.col("tolls") >= 0.02)
 
 
 @query("q_removal_funnel", f"WITH {FUNNEL_SQL} SELECT * FROM monthly")

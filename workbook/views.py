@@ -98,7 +98,7 @@ RAW_SQL = """raw AS (
          l_extendedprice / 1000 AS base_passenger_fare,
          l_extendedprice / 1000 * (0.75::DOUBLE + 3 * l_discount) AS driver_pay,
          l_linestatus = 'F' AS shared_match_flag,
-         CASE WHEN l_linestatus = 'F' THEN 'Y' ELSE 'n' END AS shared_request_flag
+         CASE WHEN l_linestatus = 'F' THEN 'Y' ELSE 'n' END AS shared_request_flag, l_tax AS tolls
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
   JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey)"""
 

@@ -202,14 +202,14 @@ def completeness(spark, sf):
 
 @query(
     "q_monthly_weather",
-    f"""WITH {V.IMPERIAL_SQL} SELECT strftime(weather_date, '%Y-%m') AS ym, round(avg(tmax_c), 6) AS tmax_c,
-    round(avg(tmin_c), 6) AS tmin_c, round(avg(temp_avg_calculated), 6) AS temp_avg,
-    round(sum(precipitation_mm), 6) AS precipitation_mm, round(avg(weather_comfort_index), 6) AS comfort,
+    f"""WITH {V.IMPERIAL_SQL} SELECT strftime(weather_date, '%Y-%m') AS ym, round(avg(tmax_c), 9) AS tmax_c,
+    round(avg(tmin_c), 9) AS tmin_c, round(avg(temp_avg_calculated), 9) AS temp_avg,
+    round(sum(precipitation_mm), 9) AS precipitation_mm, round(avg(weather_comfort_index), 9) AS comfort,
     CAST(sum(is_snow) AS BIGINT) AS snow_days FROM weather GROUP BY 1""",
 )
 def monthly(spark, sf):
     df = W.monthly_weather(V.station_weather(spark, sf))
-    return rounded(df, ["tmax_c", "tmin_c", "temp_avg", "precipitation_mm", "comfort"])
+    return rounded(df, ["tmax_c", "tmin_c", "temp_avg", "precipitation_mm", "comfort"], 9)
 
 
 @query(
