@@ -69,6 +69,17 @@ def test_reports_and_thresholds(spark, trips, tmp_path):
     assert json.loads((tmp_path / "t" / part).read_text())["generated_from"] == "test"
 
 
+def test_feature_sets_and_backfill(spark, trips, tmp_path):
+    base = str(tmp_path)
+    trips.write.parquet(f"{base}/weather/year=2024/month=01")
+    trips.limit(7).write.parquet(f"{base}/weather/year=2024/month=02")
+    assert lake.load_features(spark, base, "weather").count() == 407
+    assert lake.load_features(spark, base, "weather", 2024, 2).count() == 7
+    sources = [f"{base}/weather/year=2024/month=0{m}" for m in (1, 2)]
+    assert ingest.backfill(spark, sources, f"{base}/raw") == 407
+    assert spark.read.parquet(f"{base}/raw").where("month = 2").count() >= 200
+
+
 def test_schema_drift_over_paths(spark, trips, tmp_path):
     trips.write.parquet(str(tmp_path / "a"))
     trips.drop("tolls").write.parquet(str(tmp_path / "b"))

@@ -248,3 +248,22 @@ def test_correlations_match_pandas(spark):
     assert len(known) == 10
     for (a, b), r in known.items():
         assert r == pytest.approx(want.loc[a, b], abs=1e-9)
+
+
+def test_outlier_profile_and_indicators(spark):
+    df = make(spark, {}, {"trip_miles": 0.0}, {"trip_miles": 150.0}, {"dropoff_datetime": T0}, {"trip_miles": -1.0})
+    got = {r["metric"]: r["value"] for r in quality.outlier_profile(df).collect()}
+    assert (got["over_100_miles"], got["zero_miles"], got["negative_miles"], got["zero_or_negative"]) == (1, 1, 1, 1)
+    assert (got["trip_miles_n"], got["mph_n"], got["trip_miles_p50"]) == (5, 4, 2.0)
+    rows = {r["indicator"]: r["n"] for r in quality.quality_indicators(clean.analysis_extract(df)).collect()}
+    assert (rows["very_short"], rows["very_long"], rows["zero_distance"], rows["quick"]) == (2, 1, 1, 0)
+
+
+def test_summaries_and_contract(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(101)], "v double")
+    both = quality.compare_summaries(quality.summary(df, "v"), quality.summary(df.where("v < 51"), "v"))
+    assert {r["percentile"]: (r["value_train"], r["value_test"]) for r in both.collect()}["p50"] == (50.0, 25.0)
+    assert quality.check_mart(df, ["v", "w"], ["v"]) == {"missing": ["w"], "unwanted": ["v"]}
+    stats = quality.basic_stats(df, ["v"]).first()
+    assert (stats["n"], stats["mean"], stats["min"], stats["max"]) == (101, 50.0, 0.0, 100.0)
+    assert tuple(quality.extent(df, "v").first()) == (0.0, 100.0, 101)

@@ -60,10 +60,10 @@ def raw_trips(spark: SparkSession, sf: str) -> DataFrame:
     li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
     s = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
     c = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
-    rows = (
-        li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(c, F.col("o_custkey") == F.col("c_custkey"))
+    # Orders meet their customers first, so that the far larger line items move once less.
+    placed = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
+    rows = li.join(placed, F.col("l_orderkey") == F.col("o_orderkey")).join(
+        s, F.col("l_suppkey") == F.col("s_suppkey")
     )
     fare = F.col("l_extendedprice") / 1000
     trips = rows.select(
