@@ -11,14 +11,16 @@ from fareframe.operators.order_stats import equal_width_cut
 from workbook import views as V
 from workbook.registry import query, rounded
 
-TRIP_COUNTS = "count(*) AS n, round(sum(base_passenger_fare), 6) AS fare, round(sum(driver_pay), 7) AS pay"
+# Money has at most 5 and 7 decimals here, so decimal sums are exact and free of summation order.
+TRIP_COUNTS = """count(*) AS n, CAST(sum(CAST(base_passenger_fare AS DECIMAL(18, 5))) AS DOUBLE) AS fare,
+    CAST(sum(CAST(driver_pay AS DECIMAL(18, 7))) AS DOUBLE) AS pay"""
 
 
 def _totals(df, *keys):
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
-        F.round(F.sum("base_passenger_fare"), 6).alias("fare"),
-        F.round(F.sum("driver_pay"), 7).alias("pay"),
+        F.sum(F.col("base_passenger_fare").cast("decimal(18,5)")).cast("double").alias("fare"),
+        F.sum(F.col("driver_pay").cast("decimal(18,7)")).cast("double").alias("pay"),
     )
 
 
