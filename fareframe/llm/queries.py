@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fareframe.llm import bpe, fingerprints, language, line_runs, minhash, mixing, token_counts
+from fareframe.llm import bpe, fingerprints, language, line_runs, minhash, mixing, substrings, suffix_index, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -44,6 +44,11 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf), public_tokenizers.path(VOCABULARY))
 
 
+@query("op4_suffix_dedup")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_index.digests(documents(spark, sf))
+
+
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, unnest(range(len(lines))) AS i, unnest(lines) AS x FROM d),
@@ -77,6 +82,11 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     return language.identify(documents(spark, sf))
 
 
+@query("op7_substring_dedup")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.digests(documents(spark, sf))
+
+
 @query("op8_fingerprints")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.edited_fingerprints(documents(spark, sf))
