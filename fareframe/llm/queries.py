@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fareframe.llm import bpe, fingerprints, language, line_runs, minhash, mixing, substrings, suffix_index, token_counts
+from fareframe.llm import bpe, embeddings, fingerprints, language, line_runs, minhash, mixing, substrings, suffix_index, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -92,6 +92,11 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.edited_fingerprints(documents(spark, sf))
 
 
+@query("op9_embedding_duplicates")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return embeddings.near_duplicates(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
