@@ -26,10 +26,18 @@ def extended(df: DataFrame, columns: str) -> T.StructType:
 
 
 _SHIPPED: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Hands the package's code to Spark, which delivers it to every Python worker; once per application."""
+    """Hands the package's code to Spark, which delivers it to every Python worker; once per application.
+
+    Also keeps the Arrow batches between the JVM and the workers small: batches of long texts otherwise take tens of
+    megabytes several times over. A limit that the session has set itself stays.
+    """
+    if spark.conf.get(_BATCH) in (None, "67108864b"):  # Spark's own default
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
