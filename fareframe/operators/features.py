@@ -68,14 +68,13 @@ def drop_redundant(df: DataFrame, groups: Sequence[str] = tuple(REDUNDANT)) -> D
     return df.drop(*[c for g in groups for c in REDUNDANT[g]])
 
 
-def prune_features(df: DataFrame) -> DataFrame:
-    """``drop_redundant``, then ``time_period`` too if the rush label already determines it (one job)."""
-    df = drop_redundant(df)
-    if {"time_period", "rush_hour_label"} <= set(df.columns) and is_redundant_label(
-        df, "time_period", "rush_hour_label"
-    ):
-        df = df.drop("time_period")
-    return df
+def prune_features(df: DataFrame, labels: Sequence[str] = ()) -> DataFrame:
+    """``drop_redundant``, and the labels that the caller has found redundant for the whole lake.
+
+    Nothing depends on the rows at hand, so all months of a lake get one schema. ``is_redundant_label`` over all of
+    them tells whether ``time_period`` can go.
+    """
+    return drop_redundant(df).drop(*labels)
 
 
 def screen_features(df: DataFrame, names: Sequence[str] = SCREENED) -> DataFrame:
@@ -179,13 +178,12 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str] | None = None, threshol
 def suggest_removals(pairs: DataFrame) -> DataFrame:
     """(a, b, r, remove): which column of each correlated pair to drop.
 
-    Derived revenue ratios go first, then unit copies and speeds, else the second column.
+    Derived revenue ratios go first, else the second column.
     """
     a, b = F.col("a"), F.col("b")
     remove = (
         F.when(b.contains("revenue_per"), b)
         .when(a.contains("revenue_per"), a)
-        .when(b.contains("duration_minutes") & a.contains("trip_time"), b)
         .otherwise(b)
     )
     return pairs.withColumn("remove", remove)

@@ -1,9 +1,9 @@
 """Exact quantiles, cumulative distributions and histograms over a whole table.
 
-``percentile`` would gather every distinct value in one task. Here a mergeable sketch first
-brackets each wanted rank; one more pass then counts the rows outside the brackets and keeps only
-the few values inside them, which yields the exact order statistics. A bracket that misses its
-rank fails the query instead of returning an approximate value.
+``percentile`` would gather every distinct value in one task, and a merged sketch meets in one task too. Here one pass
+counts rows in cells of about equal relative width. The few cells that hold a wanted rank are read in a second pass;
+their distinct values are counted, cut finer once more, and only then ordered. All counts combine before they are
+shuffled, no rank can be missed, and no task orders more than a cell's share of a cell.
 """
 
 from __future__ import annotations
@@ -16,21 +16,25 @@ from pyspark.sql import functions as F
 
 from fareframe.functions.numbers import equal_width_bin
 
-# A bracket spans 2 * MARGIN / ACCURACY of the ranks; the sketch error is 1 / ACCURACY.
-ACCURACY = 50_000
-MARGIN = 4
-# Rows per running-sum partition of a cumulative distribution, and the most partitions used.
-RUN_ROWS = 250_000
-RUN_PARTS = 1024
+# Cells per unit of the natural logarithm, the magnitude below which cells are of equal width, and the parts of a cell.
+CELLS = 512
+LEAST = 1e-6
+PARTS = 65_536
 
 
-def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, value) rows of the numeric columns, without nulls and NaN."""
-    numeric = df.select([F.col(c).cast("double").alias(c) for c in cols])
+def cell_of(value: Column) -> Column:
+    """Number of the value's cell: never falls as the value rises, and bounded whatever the values."""
+    size = F.least(F.log1p(F.abs(value) / F.lit(LEAST)), F.lit(1e4))
+    return (F.signum(value) * F.floor(size * CELLS)).cast("long")
+
+
+def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by, column, value) rows of the numeric columns, without nulls and NaN."""
+    numeric = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
     if len(cols) == 1:
-        long = numeric.select(F.lit(cols[0]).alias("column"), F.col(cols[0]).alias("value"))
+        long = numeric.select(*by, F.lit(cols[0]).alias("column"), F.col(cols[0]).alias("value"))
     else:
-        long = numeric.unpivot([], list(cols), "column", "value")
+        long = numeric.unpivot(list(by), list(cols), "column", "value")
     return long.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
@@ -38,77 +42,60 @@ def _rank(p: float, total: Column) -> Column:
     return F.lit(float(p)) * (total - 1)
 
 
-def neighbours(df: DataFrame, cols: Sequence[str], ps: Sequence[float]) -> DataFrame:
-    """The two order statistics around each quantile: ``(column, p, low, high, part)``.
+def _same(keys: Sequence[str]) -> Column:
+    """Null-safe equality of the group keys of two frames, those of the second with a leading underscore."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return out
+
+
+def neighbours(df: DataFrame, cols: Sequence[str], ps: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """The two order statistics around each quantile: ``(*by, column, p, low, high, part)``.
 
-    The quantile is ``low + (high - low) * part``. A column without values gives no rows.
+    The quantile is ``low + (high - low) * part``, within each group of the ``by`` columns. A group and column without
+    values gives no rows.
     """
     ps = sorted({float(p) for p in ps})
     if not ps or ps[0] < 0 or ps[-1] > 1:
         raise ValueError("quantile probabilities must lie in [0, 1]")
-    long = _long(df, cols)
-    reach = MARGIN / ACCURACY
-    lows = [max(p - reach, 0.0) for p in ps]
-    highs = [min(p + reach, 1.0) for p in ps]
-    sketch = long.groupBy("column").agg(
-        F.percentile_approx("value", lows + highs, ACCURACY).alias("q"),
-        F.min("value").alias("least"),
-        F.max("value").alias("most"),
-        F.count(F.lit(1)).alias("total"),
+    keys = [*by, "column"]
+    long = _long(df, cols, by).withColumn("cell", cell_of(F.col("value")))
+    cells = long.groupBy(*keys, "cell").agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most")
     )
-    # At a clipped end the sketch is not needed: the true extreme closes the bracket.
-    edges = sketch.select(
-        "column",
-        "total",
-        *[(F.col("q")[i] if lows[i] > 0 else F.col("least")).alias(f"lo{i}") for i in range(len(ps))],
-        *[
-            (F.col("q")[len(ps) + i] if highs[i] < 1 else F.col("most")).alias(f"hi{i}")
-            for i in range(len(ps))
-        ],
+    # The number of cells is bounded by CELLS, not by the rows.
+    group = Window.partitionBy(*keys)
+    cells = cells.withColumns(
+        {"before": F.sum("n").over(group.orderBy("cell")) - F.col("n"), "total": F.sum("n").over(group)}
     )
-    # One row per column, so the broadcast is bounded by the argument list.
-    tagged = long.join(F.broadcast(edges), "column")
-    value = F.col("value")
-    # Odd slots are brackets, even slots the gaps between them; slots follow value order.
-    slot = F.when(value < F.col("lo0"), F.lit(0))
-    for i in range(len(ps)):
-        slot = slot.when(value <= F.col(f"hi{i}"), F.lit(2 * i + 1))
-        if i + 1 < len(ps):
-            slot = slot.when(value < F.col(f"lo{i + 1}"), F.lit(2 * i + 2))
-    slot = slot.otherwise(F.lit(2 * len(ps)))
-    # A gap is one row with its count and extremes: a rank next to a bracket is read off those.
-    counts = (
-        tagged.select("column", "total", slot.alias("slot"), "value")
-        .groupBy("column", "total", "slot", F.when(F.col("slot") % 2 == 1, value).alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+    ranks = [f(_rank(p, F.col("total"))) for p in ps for f in (F.floor, F.ceil)]
+    wanted = F.lit(False)
+    for r in ranks:
+        wanted = wanted | ((F.col("before") <= r) & (r < F.col("before") + F.col("n")))
+    wanted = cells.where(wanted)
+    open_ = wanted.where("least < most").select(
+        *[F.col(k).alias(f"_{k}") for k in [*keys, "cell"]], "least", "most", "before", "total"
     )
-    # Both reads of ``counts`` use all its columns, so that they share one shuffle.
-    by_slot = counts.groupBy("column", "slot").agg(
-        F.sum("n").alias("slot_n"), F.min("least").alias("slot_least"), F.max("most").alias("slot_most")
+    # Without groups there are at most two cells per quantile and column.
+    inside = long.join(open_ if by else F.broadcast(open_), _same(keys) & (F.col("cell") == F.col("_cell")))
+    part = F.floor((F.col("value") - F.col("least")) / (F.col("most") - F.col("least")) * PARTS).cast("long")
+    counts = inside.groupBy(*keys, "cell", "before", "total", part.alias("sub"), "value").agg(F.count(F.lit(1)).alias("n"))
+    subs = counts.groupBy(*keys, "cell", "before", "sub").agg(F.sum("n").alias("n"))
+    run = Window.partitionBy(*keys, "cell").orderBy("sub")
+    subs = subs.select(
+        *[F.col(k).alias(f"_{k}") for k in [*keys, "cell", "sub"]], (F.col("before") + F.sum("n").over(run) - F.col("n")).alias("start")
     )
-    before = by_slot.select(
-        "column",
-        "slot",
-        "slot_least",
-        "slot_most",
-        (
-            F.sum("slot_n").over(Window.partitionBy("column").orderBy("slot")) - F.col("slot_n")
-        ).alias("before"),
-    )
-    # At most 2 * len(ps) + 1 rows per column.
-    placed = counts.join(F.broadcast(before), ["column", "slot"])
-    run = Window.partitionBy("column", "slot").orderBy("value")
-    ranked = placed.withColumn("upto", F.col("before") + F.sum("n").over(run))
-    first, last = F.col("upto") - F.col("n"), F.col("upto") - 1
-
-    least = F.greatest("least", "slot_least")
-    most = F.least("most", "slot_most")
+    fine = counts.join(subs, _same(keys) & (F.col("cell") == F.col("_cell")) & (F.col("sub") == F.col("_sub")))
+    run = Window.partitionBy(*keys, "cell", "sub").orderBy("value")
+    fine = fine.select(*keys, "value", "total", (F.col("start") + F.sum("n").over(run) - F.col("n")).alias("first"), "n")
+    whole = wanted.where("least = most").select(*keys, F.col("least").alias("value"), "total", F.col("before").alias("first"), "n")
+    first, last = F.col("first"), F.col("first") + F.col("n") - 1
 
     def at(rank: Column) -> Column:
-        known = F.when((rank == first) | (least == most), least).when(rank == last, most)
-        return F.max(F.when((first <= rank) & (rank <= last), known))
+        return F.max(F.when((first <= rank) & (rank <= last), F.col("value")))
 
-    picked = ranked.groupBy("column").agg(
+    picked = fine.unionByName(whole).groupBy(*keys).agg(
         *[at(F.floor(_rank(p, F.col("total")))).alias(f"a{i}") for i, p in enumerate(ps)],
         *[at(F.ceil(_rank(p, F.col("total")))).alias(f"b{i}") for i, p in enumerate(ps)],
         F.max("total").alias("total"),
@@ -116,23 +103,21 @@ def neighbours(df: DataFrame, cols: Sequence[str], ps: Sequence[float]) -> DataF
 
     def around(i: int, p: float) -> Column:
         rank = _rank(p, F.col("total"))
-        missed = F.raise_error(F.lit(f"sketch bracket missed the rank of p={p}")).cast("double")
-        low, high = F.coalesce(F.col(f"a{i}"), missed), F.coalesce(F.col(f"b{i}"), missed)
         return F.struct(
-            F.lit(p).alias("p"), low.alias("low"), high.alias("high"), (rank - F.floor(rank)).alias("part")
+            F.lit(p).alias("p"), F.col(f"a{i}").alias("low"), F.col(f"b{i}").alias("high"), (rank - F.floor(rank)).alias("part")
         )
 
-    return picked.select("column", F.inline(F.array(*[around(i, p) for i, p in enumerate(ps)])))
+    return picked.select(*keys, F.inline(F.array(*[around(i, p) for i, p in enumerate(ps)])))
 
 
-def quantiles(df: DataFrame, cols: Sequence[str] | str, ps: Sequence[float]) -> DataFrame:
-    """Exact quantiles with linear interpolation, as rows ``(column, p, value)``.
+def quantiles(df: DataFrame, cols: Sequence[str] | str, ps: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact quantiles with linear interpolation, as rows ``(*by, column, p, value)``.
 
-    Null values are ignored. A column without values gives no rows.
+    Null values are ignored. A group and column without values gives no rows.
     """
-    found = neighbours(df, [cols] if isinstance(cols, str) else list(cols), ps)
+    found = neighbours(df, [cols] if isinstance(cols, str) else list(cols), ps, by)
     between = F.col("low") + (F.col("high") - F.col("low")) * F.col("part")
-    return found.select("column", "p", between.alias("value"))
+    return found.select(*by, "column", "p", between.alias("value"))
 
 
 def quantile_values(df: DataFrame, col: str, ps: Sequence[float]) -> dict[float, float]:
@@ -166,32 +151,27 @@ def quantile_pair(df: DataFrame, col: str, lo: float, hi: float) -> Column:
 def ecdf(df: DataFrame, col: str) -> DataFrame:
     """Distinct values with ``n``, cumulative ``upto`` and cumulative share ``y``.
 
-    The running sum is cut into value ranges so that no partition holds the whole domain; the
-    ranges come from a sketch over the distinct values.
+    The running sum starts anew in each part of each cell (see ``cell_of``), so no task holds the whole domain. What
+    comes before a part is summed over the parts of its cell, and what comes before a cell over the cells.
     """
     counts = _long(df, [col]).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    grid = [i / RUN_PARTS for i in range(1, RUN_PARTS)]
-    sketch = counts.agg(
-        F.percentile_approx("value", grid, 10 * RUN_PARTS).alias("cuts"), F.count(F.lit(1)).alias("distinct")
-    )
-    stride = F.greatest(F.floor(F.lit(RUN_PARTS * RUN_ROWS) / F.greatest("distinct", F.lit(1))), F.lit(1))
-    cuts = sketch.select(F.filter("cuts", lambda _, i: (i + 1) % stride == 0)).scalar()
-    ranged = (
-        counts.withColumn("cuts", cuts)
-        .withColumn("part", F.size(F.filter("cuts", lambda cut: cut < F.col("value"))))
-        .drop("cuts")
-    )
-    # At most RUN_PARTS rows.
-    totals = ranged.groupBy("part").agg(F.sum("n").alias("part_n"))
-    offsets = totals.select(
-        "part",
-        (F.sum("part_n").over(Window.orderBy("part")) - F.col("part_n")).alias("before"),
-        F.sum("part_n").over(Window.partitionBy(F.lit(0))).alias("total"),
+    counts = counts.withColumn("cell", cell_of(F.col("value")))
+    cells = counts.groupBy("cell").agg(F.sum("n").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+    # One row per cell, bounded by CELLS.
+    order = Window.orderBy("cell")
+    cells = cells.select(
+        "cell", "least", "most", (F.sum("n").over(order) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total")
     )
-    run = Window.partitionBy("part").orderBy("value")
+    width = F.col("most") - F.col("least")
+    sub = F.when(width > 0, F.floor((F.col("value") - F.col("least")) / width * PARTS)).otherwise(F.lit(0)).cast("long")
+    placed = counts.join(cells, "cell").withColumn("sub", sub)
+    parts = placed.groupBy("cell", "sub").agg(F.sum("n").alias("part_n"))
+    earlier = F.sum("part_n").over(Window.partitionBy("cell").orderBy("sub")) - F.col("part_n")
+    parts = parts.select("cell", "sub", earlier.alias("within"))
+    run = Window.partitionBy("cell", "sub").orderBy("value")
     return (
-        ranged.join(F.broadcast(offsets), "part")
-        .withColumn("upto", F.col("before") + F.sum("n").over(run))
+        placed.join(parts, ["cell", "sub"])
+        .withColumn("upto", F.col("before") + F.col("within") + F.sum("n").over(run))
         .select("value", "n", "upto", (F.col("upto") / F.col("total")).alias("y"))
     )
 

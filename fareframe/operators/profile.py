@@ -182,19 +182,12 @@ def share_rate(df: DataFrame, condition: Column, out: str = "share_rate") -> Dat
 
 
 def n_distinct(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Distinct counts of several columns.
+    """Distinct counts of several columns, from one scan; a column without values counts 0.
 
-    Each column is reduced to its distinct values first, so a hot value costs one row per task.
+    All columns are reduced to their distinct values together, so a hot value costs one row per task.
     """
-    parts = [
-        df.select(F.lit(c).alias("column"), F.col(c).alias("v")).where("v is not null").distinct()
-        .groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
-        for c in cols
-    ]
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out
+    values = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], list(cols), "column", "v")
+    return values.distinct().groupBy("column").agg(F.count("v").alias("n_distinct"))
 
 
 def pct_vs_baseline(

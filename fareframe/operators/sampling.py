@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1_000_000
+_HASH_BITS = 60
 
 
 def month_seed(year: int, month: int) -> int:
@@ -20,11 +20,17 @@ def bernoulli(df: DataFrame, fraction: float, seed: int) -> DataFrame:
     return df.sample(False, fraction, seed)
 
 
-def in_hash_sample(keys: Sequence[str], fraction: float | Column, seed: int = 0) -> Column:
-    """Membership by key hash: the same rows however the input is partitioned."""
-    bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), F.lit(BUCKETS))
+def sample_hash(keys: Sequence[str], seed: int | Column = 0) -> Column:
+    """A whole number below 2^60 from the keys' MD5: the same for a row in every layout, run and engine."""
+    start = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
+    text = F.concat_ws("|", start, *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, _HASH_BITS // 4), 16, 10).cast("bigint")
+
+
+def in_hash_sample(keys: Sequence[str], fraction: float | Column, seed: int | Column = 0) -> Column:
+    """Membership by key hash: the same rows however the input is partitioned. Any fraction above 2^-60 counts."""
     share = fraction if isinstance(fraction, Column) else F.lit(float(fraction))
-    return bucket < share * BUCKETS
+    return sample_hash(keys, seed) < share * F.lit(float(1 << _HASH_BITS))
 
 
 def hash_sample(df: DataFrame, keys: Sequence[str], fraction: float, seed: int = 0) -> DataFrame:
@@ -46,13 +52,17 @@ def stratified_hash(df: DataFrame, stratum: str, fractions: dict, keys: Sequence
     return df.where(in_hash_sample(keys, share, seed))
 
 
-def sample_n(df: DataFrame, n: int, total: int, seed: int = 42) -> DataFrame:
-    """About ``n`` rows, at most ``n``, given the known total."""
-    return df.sample(False, min(1.0, n / max(total, 1)), seed).limit(n)
+def sample_n(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
+    """The ``n`` rows of least key hash: every row has the same chance, wherever it is stored.
+
+    Each task keeps ``n`` rows at most, so ``n`` must fit in memory. Rows of equal keys are taken in any order.
+    """
+    return df.orderBy(sample_hash(keys, seed), *keys).limit(n)
 
 
-def year_split(df: DataFrame, train: int, test: int, col: str = "year") -> tuple[DataFrame, DataFrame]:
-    return df.where(F.col(col) == train), df.where(F.col(col) == test)
+def year_split(df: DataFrame, last_train: int, col: str = "year") -> tuple[DataFrame, DataFrame]:
+    """Rows up to and including a year, and rows after it; a null year is in neither."""
+    return df.where(F.col(col) <= last_train), df.where(F.col(col) > last_train)
 
 
 def top_k(df: DataFrame, by: Sequence[Column], k: int) -> DataFrame:

@@ -24,18 +24,26 @@ def planned_bytes(df: DataFrame, optimized: bool = True) -> int | None:
         return None
 
 
+def measured(df: DataFrame, max_rows: int = MAX_ROWS) -> tuple[int, int]:
+    """Action: rows and approximate bytes of the frame, looking at ``max_rows`` + 1 rows at most."""
+    width = F.coalesce(F.octet_length(F.to_json(F.struct("*"))), F.lit(16))
+    row = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(width)).first()
+    return row[0], row[1] or 0
+
+
 def is_small(df: DataFrame, max_bytes: int = MAX_BYTES, max_rows: int = MAX_ROWS) -> bool:
-    """True when Catalyst's estimate fits, else when a capped count of the frame itself fits.
+    """True when Catalyst's estimate fits, else when the frame's own rows and their measured bytes fit.
 
     The estimate of the plain plan comes first, as it costs nothing; then that of the optimized
-    plan. The count is a job on the dimension side only and runs only for frames whose estimates
+    plan. The measurement is a job on the dimension side only and runs only for frames whose estimates
     are loose, such as an aggregate over a large table.
     """
     for optimized in (False, True):
         size = planned_bytes(df, optimized)
         if size is not None and size <= max_bytes:
             return True
-    return df.limit(max_rows + 1).count() <= max_rows
+    rows, size = measured(df, max_rows)
+    return rows <= max_rows and size <= max_bytes
 
 
 def small_side(df: DataFrame, max_bytes: int = MAX_BYTES, max_rows: int = MAX_ROWS) -> DataFrame:

@@ -19,12 +19,12 @@ WEATHER_CORE = (
 QUALITY_COLUMNS = ("TMAX", "TMIN", "TAVG", "PRCP", "SNOW", "AWND")
 
 
-def pick_stations(df: DataFrame, preferred: Sequence[str], k: int = 3) -> list[str]:
-    """Action: the preferred stations that are present, else the ``k`` with most rows."""
+def pick_stations(df: DataFrame, preferred: Sequence[str], fallback: int = 0) -> list[str]:
+    """Action: the preferred stations that are present, else the ``fallback`` ones with most rows, if asked for."""
     found = {r[0] for r in df.where(F.col("STATION").isin(*preferred)).select("STATION").distinct().collect()}
     if found:
         return [s for s in preferred if s in found]
-    top = df.groupBy("STATION").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "STATION").limit(k)
+    top = df.groupBy("STATION").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "STATION").limit(fallback)
     return [r["STATION"] for r in top.collect()]
 
 
@@ -137,6 +137,20 @@ def station_to_day(df: DataFrame) -> DataFrame:
     return _date_parts(daily)
 
 
+def day_classes(df: DataFrame) -> DataFrame:
+    """One row per date for profiles of days: mean temperatures and comfort, strongest flags, one rain class.
+
+    Takes cleaned station records. Counting these rows counts days, however many stations report.
+    """
+    daily = df.groupBy("weather_date").agg(
+        *[F.avg(c).alias(c) for c in ("tmax_c", "tmin_c", "temp_avg_calculated", "weather_comfort_index")],
+        F.max("precipitation_mm").alias("precipitation_mm"),
+        *[F.max(c).alias(c) for c in ("is_precipitation", "is_snow", "fog_mist", "is_very_cold", "is_extreme_heat")],
+    )
+    rain = {k: v for k, v in W.rain_flags(F.col("precipitation_mm")).items() if k != "is_precipitation"}
+    return _date_parts(daily.withColumns(rain))
+
+
 def day_rollup_min(df: DataFrame) -> DataFrame:
     """Dates present, with the number of station records."""
     return _date_parts(_dated(df).groupBy("weather_date").agg(F.count(F.lit(1)).alias("station_count")))
@@ -187,27 +201,34 @@ def records_by_year(df: DataFrame) -> DataFrame:
 
 
 def station_completeness(df: DataFrame, k: int = 5) -> DataFrame:
-    """The ``k`` stations with most rows: share of rows with any and with both temperatures.
+    """The ``k`` stations with most rows and the most complete of all, which carries ``is_best``.
 
-    The most complete of them carries ``is_best``.
+    Gives the share of rows with any and with both temperatures, and the name where there is one.
     """
 
     def filled(c: str):
         return F.coalesce(F.col(c) != "", F.lit(False))
 
+    names = [F.max("NAME").alias("NAME")] if "NAME" in df.columns else []
     stations = df.groupBy("STATION").agg(
+        *names,
         F.count(F.lit(1)).alias("records"),
         F.count_if(filled("TMAX") | filled("TMIN")).alias("any_temp"),
         F.count_if(filled("TMAX") & filled("TMIN")).alias("both_temp"),
     )
-    top = stations.orderBy(F.desc("records"), "STATION").limit(k)
-    best = top.agg(F.max_by("STATION", F.struct(F.col("both_temp") / F.col("records"), "records", "STATION"))).scalar()
-    return top.select(
+    complete = F.col("both_temp") / F.col("records")
+    best = stations.orderBy(complete.desc(), F.desc("records"), F.desc("STATION")).limit(1)
+    best = best.withColumn("best", F.lit(1))
+    top = stations.orderBy(F.desc("records"), "STATION").limit(k).withColumn("best", F.lit(0))
+    # At most k + 1 rows.
+    shown = top.unionByName(best).groupBy("STATION").agg(*[F.max(c).alias(c) for c in best.columns if c != "STATION"])
+    return shown.select(
         "STATION",
+        *[c for c in ("NAME",) if names],
         "records",
         (F.col("any_temp") / F.col("records") * 100).alias("any_temp_pct"),
         (F.col("both_temp") / F.col("records") * 100).alias("both_temp_pct"),
-        flag(F.col("STATION") == best).alias("is_best"),
+        F.col("best").alias("is_best"),
     )
 
 

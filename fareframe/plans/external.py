@@ -54,7 +54,7 @@ def build_weather(
 ) -> DataFrame:
     """Clean the chosen stations, roll up to one row per date and write the core columns."""
     if stations:
-        raw = only_stations(raw, pick_stations(raw, stations))
+        raw = only_stations(raw, pick_stations(raw, stations, fallback=3))
     daily = station_to_day(clean_weather(raw, units, **options))
     if years is not None:
         daily = daily.where(F.col("year").isin(*years))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fareframe.functions.calendar import in_month
@@ -13,9 +13,9 @@ from fareframe.operators import joins, quality
 from fareframe.operators.clean import drop_existing, drop_negative, filter_provider, require_not_null, valid_trips
 from fareframe.operators.features import prune_features
 from fareframe.operators.metrics import commission_metrics, winsorize_commission
-from fareframe.operators.order_stats import quantile_values
-from fareframe.operators.sampling import in_hash_sample, month_seed
-from fareframe.sources.lake import write_partitioned, write_report
+from fareframe.operators.order_stats import quantiles
+from fareframe.operators.sampling import in_hash_sample
+from fareframe.sources.lake import scratch_dir, write_partitioned, write_report
 
 REQUIRED_OUTPUT = ("commission", "take_rate", "commission_per_mile", "commission_per_minute")
 UNWANTED_OUTPUT = ("tolls", "bcf", "sales_tax", "tips", "revenue_per_mile")
@@ -36,6 +36,8 @@ class Sources:
 class Settings:
     provider: str = "HV0003"
     provider_col: str = "hvfhs_license_num"
+    #: Whether codes are stored normalised, as ingest writes them; the filter then reaches the files.
+    normalised: bool = True
     sample_fraction: float = 1.0
     sample_keys: Sequence[str] = ("pickup_datetime", "dropoff_datetime", "PULocationID", "DOLocationID", "driver_pay")
     low_quantile: float = 0.01
@@ -43,6 +45,8 @@ class Settings:
     winsorize: bool = True
     drop_negative: bool = True
     prune: bool = True
+    #: Labels that ``is_redundant_label`` found determined by others over the whole lake.
+    drop_labels: Sequence[str] = ()
     require: Sequence[str] = ()
     on_missing: str = "raise"
 
@@ -52,82 +56,104 @@ class Mart:
     trips: DataFrame
     funnel: DataFrame
     joined: dict[str, bool] = field(default_factory=dict)
-    bounds: tuple[float, float] | None = None
+    bounds: DataFrame | None = None
 
 
 def month_of(trips: DataFrame, year: int, month: int) -> DataFrame:
     return trips.where((F.col("year") == year) & (F.col("month") == month))
 
 
-def clean_month(raw: DataFrame, year: int, month: int, s: Settings) -> DataFrame:
+def sample_of(s: Settings) -> Column | None:
+    """The sampling rule, seeded by each trip's own month; None to keep every trip."""
+    if s.sample_fraction >= 1.0:
+        return None
+    return in_hash_sample(s.sample_keys, s.sample_fraction, F.col("year").cast("int") * 100 + F.col("month").cast("int"))
+
+
+def clean_trips(raw: DataFrame, s: Settings) -> DataFrame:
     """Provider, quality and sample filters, early pruning and metrics."""
-    df = filter_provider(raw, s.provider_col, s.provider)
+    df = filter_provider(raw, s.provider_col, s.provider, normalised=s.normalised)
     df = df.transform(require_not_null).transform(valid_trips)
-    if s.sample_fraction < 1.0:
-        df = df.where(in_hash_sample(s.sample_keys, s.sample_fraction, month_seed(year, month)))
+    sampled = sample_of(s)
+    if sampled is not None:
+        df = df.where(sampled)
     df = df.transform(drop_existing).transform(commission_metrics)
     return drop_negative(df, "commission") if s.drop_negative else df
 
 
-def build_month(src: Sources, year: int, month: int, settings: Settings | None = None) -> Mart:
-    """The month's mart as lazy frames.
+def month_bounds(df: DataFrame, s: Settings) -> DataFrame:
+    """(year, month, winsor_low, winsor_high): the clipping bounds of every month, exact, in one plan."""
+    q = quantiles(df, "commission", [s.low_quantile, s.high_quantile], by=["year", "month"])
+
+    def at(p: float) -> Column:
+        return F.max(F.when(F.col("p") == float(p), F.col("value")))
+
+    return q.groupBy("year", "month").agg(at(s.low_quantile).alias("winsor_low"), at(s.high_quantile).alias("winsor_high"))
 
-    One job computes the clipping bounds as literals; the rest runs when the frames are written.
+
+def build(src: Sources, settings: Settings | None = None) -> Mart:
+    """The mart of all months in ``src.trips`` as lazy frames. No job runs before they are written.
+
+    The raw trips are read for the funnel, twice for the bounds, and for the mart itself, whatever the number of months.
     """
     s = settings or Settings()
-    raw = month_of(src.trips, year, month)
-    sampled = None
-    if s.sample_fraction < 1.0:
-        sampled = in_hash_sample(s.sample_keys, s.sample_fraction, month_seed(year, month))
-    funnel = quality.removal_funnel(raw, s.provider_col, s.provider, sampled=sampled)
-    df = clean_month(raw, year, month, s)
+    funnel = quality.removal_funnel(src.trips, s.provider_col, s.provider, sampled=sample_of(s))
+    df = clean_trips(src.trips, s)
     bounds = None
     if s.winsorize:
-        found = quantile_values(df, "commission", [s.low_quantile, s.high_quantile])
-        if found:
-            bounds = (found[s.low_quantile], found[s.high_quantile])
-            df = winsorize_commission(df, bounds)
-    low, high = bounds or (None, None)
-    funnel = funnel.withColumns(
-        {"winsor_low": F.lit(low).cast("double"), "winsor_high": F.lit(high).cast("double")}
-    )
-    weather = src.weather
-    if weather is not None:
-        weather = weather.where(in_month(F.col(joins.detect_date_key(weather)), year, month))
-    calendar = src.calendar
-    if calendar is not None:
-        calendar = calendar.where(in_month(F.col(joins.detect_date_key(calendar)), year, month))
+        # One row per month.
+        bounds = month_bounds(df, s)
+        bounded = df.join(F.broadcast(bounds), ["year", "month"], "left")
+        limits = F.struct(F.col("winsor_low").alias("lo"), F.col("winsor_high").alias("hi"))
+        df = winsorize_commission(bounded, limits).drop("winsor_low", "winsor_high")
+        funnel = funnel.join(bounds, ["year", "month"], "left")
+    else:
+        nothing = F.lit(None).cast("double")
+        funnel = funnel.withColumns({"winsor_low": nothing, "winsor_high": nothing})
     df, joined = joins.enrich(
-        df, zones=src.zones, od=src.od, calendar=calendar, weather=weather, on_missing=s.on_missing, require=s.require
+        df, zones=src.zones, od=src.od, calendar=src.calendar, weather=src.weather, on_missing=s.on_missing, require=s.require
     )
-    return Mart(prune_features(df) if s.prune else df, funnel, joined, bounds)
+    return Mart(prune_features(df, s.drop_labels) if s.prune else df, funnel, joined, bounds)
 
 
-def run_month(src: Sources, year: int, month: int, path: str, settings: Settings | None = None, reports: str | None = None) -> dict:
-    """Build and write one month with its reports; returns what was done.
+def build_month(src: Sources, year: int, month: int, settings: Settings | None = None) -> Mart:
+    """The mart of one month, with only that month's trips, calendar and weather read."""
+    weather, calendar = (
+        f if f is None else f.where(in_month(F.col(joins.detect_date_key(f)), year, month)) for f in (src.weather, src.calendar)
+    )
+    return build(Sources(month_of(src.trips, year, month), src.zones, src.od, calendar, weather), settings)
 
-    A month without trips is skipped.
-    """
-    if month_of(src.trips, year, month).isEmpty():
-        return {"year": year, "month": month, "status": "skipped"}
-    mart = build_month(src, year, month, settings)
+
+def _save(mart: Mart, path: str, reports: str | None, months: Sequence[tuple[int, int]]) -> list[dict]:
+    """Writes the mart and its reports; one state per month asked for."""
     problems = quality.check_mart(mart.trips, REQUIRED_OUTPUT, UNWANTED_OUTPUT)
     if problems["missing"] or problems["unwanted"]:
         raise ValueError(f"mart columns are wrong: {problems}")
+    spark = mart.trips.sparkSession
     write_partitioned(mart.trips, path)
+    summary = f"{reports}/removal_summary" if reports is not None else scratch_dir(spark, "removal-summary")
+    write_report(mart.funnel.orderBy("year", "month"), summary)
+    rows = {(r["year"], r["month"]): r for r in spark.read.parquet(summary).collect()}  # one per month
     if reports is not None:
-        part = f"year={year}/month={month:02d}"
-        write_report(mart.funnel, f"{reports}/removal_summary/{part}")
-        saved = month_of(mart.trips.sparkSession.read.parquet(path), year, month)
-        write_report(quality.coverage(saved, by=["year", "month"]), f"{reports}/coverage/{part}")
-    return {
-        "year": year,
-        "month": month,
-        "status": "success",
-        "columns": len(mart.trips.columns),
-        "joined": mart.joined,
-        "bounds": mart.bounds,
-    }
+        saved = spark.read.parquet(path)
+        chosen = F.lit(False)
+        for year, month in months:
+            chosen = chosen | ((F.col("year") == year) & (F.col("month") == month))
+        write_report(quality.coverage(saved.where(chosen), by=["year", "month"]).orderBy("year", "month"), f"{reports}/coverage")
+    states = []
+    for year, month in months:
+        r = rows.get((year, month))
+        if r is None:
+            states.append({"year": year, "month": month, "status": "skipped"})
+            continue
+        bounds = None if r["winsor_low"] is None else (r["winsor_low"], r["winsor_high"])
+        states.append(
+            {
+                "year": year, "month": month, "status": "success", "rows": r["final_rows"],
+                "columns": len(mart.trips.columns), "joined": mart.joined, "bounds": bounds,
+            }
+        )
+    return states
 
 
 def run_batch(
@@ -137,11 +163,21 @@ def run_batch(
     settings: Settings | None = None,
     reports: str | None = None,
 ) -> list[dict]:
-    """Months one after another; a failing month is reported and the rest go on."""
-    results = []
+    """All months in one job; returns one state per month.
+
+    A month without trips is skipped. What would fail (a missing feature table, wrong columns) fails before anything is
+    written, and then for every month. The reports hold all months of the batch in one table each.
+    """
+    chosen = F.lit(False)
     for year, month in months:
-        try:
-            results.append(run_month(src, year, month, path, settings, reports))
-        except Exception as error:
-            results.append({"year": year, "month": month, "status": "failed", "error": str(error)})
-    return results
+        chosen = chosen | ((F.col("year") == year) & (F.col("month") == month))
+    try:
+        mart = build(Sources(src.trips.where(chosen), src.zones, src.od, src.calendar, src.weather), settings)
+        return _save(mart, path, reports, months)
+    except Exception as error:
+        return [{"year": y, "month": m, "status": "failed", "error": str(error)} for y, m in months]
+
+
+def run_month(src: Sources, year: int, month: int, path: str, settings: Settings | None = None, reports: str | None = None) -> dict:
+    """Build and write one month with its reports; returns what was done."""
+    return _save(build_month(src, year, month, settings), path, reports, [(year, month)])[0]

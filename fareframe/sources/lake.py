@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -113,17 +111,26 @@ def write_partitioned(
 
 
 def list_partitions(spark: SparkSession, path: str, parts: Sequence[str] = ("year", "month")) -> DataFrame:
-    return spark.read.parquet(path).select(*parts).distinct().orderBy(*parts)
+    """The partition values below a path, as whole numbers in order, from the folder names alone."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path("/".join([path.rstrip("/"), *(f"{p}=*" for p in parts)]))
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    rows = set()
+    for status in found:
+        names = str(status.getPath().toString()).rstrip("/").split("/")[-len(parts) :]
+        values = [n.partition("=")[2] for n in names]
+        if all(v.lstrip("-").isdigit() for v in values):
+            rows.add(tuple(int(v) for v in values))
+    return spark.createDataFrame(sorted(rows), ", ".join(f"{p} int" for p in parts)).orderBy(*parts)
 
 
 def write_report(df: DataFrame, path: str) -> None:
     """A small report as Parquet and as one CSV file with a header in ``<path>_csv``.
 
-    The rows move to one task only after the aggregation, so its stages stay parallel.
+    The frame is computed once: the CSV file is written from the Parquet one. The rows move to one task only after the
+    aggregation, so its stages stay parallel.
     """
-    df = df.repartition(1)
-    df.write.mode("overwrite").parquet(path)
-    df.write.mode("overwrite").option("header", True).csv(f"{path}_csv")
+    df.repartition(1).write.mode("overwrite").parquet(path)
+    df.sparkSession.read.parquet(path).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}_csv")
 
 
 def write_build_manifest(spark: SparkSession, path: str, **fields) -> None:
@@ -158,13 +165,11 @@ def load_model(path: str) -> PipelineModel:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder name under the session's shared checkpoint folder.
+    """A fresh folder name under the session's shared checkpoint folder, or under its warehouse where that is unset.
 
-    Only a local session without that setting falls back to the machine's temporary folder.
+    Every session has a warehouse folder, and all machines of a cluster share it.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        shared = os.path.join(tempfile.gettempdir(), "fareframe")
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/fareframe-scratch"
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

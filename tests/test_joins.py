@@ -102,6 +102,8 @@ def test_broadcast_is_checked(spark, dim):
     assert sizing.is_small(dim)
     plan = dim.join(sizing.small_side(big, max_rows=10), dim["LocationID"] == big["id"])._jdf.queryExecution().analyzed()
     assert "broadcast" not in plan.toString()
+    wide = spark.range(3000).select(F.explode(F.sequence(F.lit(1), F.lit(2))).alias("x"), F.repeat(F.lit("y"), 20000).alias("ring"))
+    assert not sizing.is_small(wide) and sizing.is_small(wide.select("x"))
 
 
 RAW = [
@@ -152,12 +154,28 @@ def test_tenths_cleaning_drops_implausible(raw):
 
 def test_stations_and_quality(raw):
     assert weather.pick_stations(raw, ["B", "Z"]) == ["B"]
-    assert weather.pick_stations(raw, ["Z"], 1) == ["A"]
+    assert weather.pick_stations(raw, ["Z"], 1) == ["A"] and weather.pick_stations(raw, ["Z"]) == []
     q = {r["metric"]: r["value"] for r in weather.weather_quality(raw).collect()}
     assert (q["total_records"], q["station_count"], q["valid_dates"], q["max_below_min"]) == (5, 2, 4, 2)
     assert (q["PRCP_present"], q["PRCP_missing"], q["negative_precipitation"]) == (3, 1, 1)
     best = weather.station_completeness(raw).where("is_best = 1").first()
     assert best["STATION"] == "A"
+    # The most complete station is shown even beside larger ones, and the name is kept.
+    sparse = [("BIG", "Big", "", "1")] * 5 + [("FULL", "Full", "1", "1")]
+    df = raw.sparkSession.createDataFrame(sparse, "STATION string, NAME string, TMAX string, TMIN string")
+    got = {r["STATION"]: (r["NAME"], r["is_best"]) for r in weather.station_completeness(df, 1).collect()}
+    assert got == {"BIG": ("Big", 0), "FULL": ("Full", 1)}
+
+
+def test_days_are_counted_once(spark):
+    rows = [("A", "2024-01-01", "50", "32", "0.05"), ("B", "2024-01-01", "60", "40", "0.5"), ("A", "2024-07-02", "99", "80", "0")]
+    raw = spark.createDataFrame(rows, "STATION string, DATE string, TMAX string, TMIN string, PRCP string")
+    for c in ("TAVG", "SNOW", "SNWD", "AWND", "WT01", "WT02", "WT03", "WT04", "WT05", "WT06", "WT08"):
+        raw = raw.withColumn(c, F.lit(None).cast("string"))
+    days = weather.day_classes(weather.clean_imperial(raw))
+    assert sum(r["days"] for r in weather.season_profile(days).collect()) == 2
+    counts = {r["condition"]: r["days"] for r in weather.rain_intensity_counts(days).collect()}
+    assert counts == {"no_rain": 1, "heavy_rain": 1}
 
 
 def test_core_columns(raw):

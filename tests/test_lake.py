@@ -116,7 +116,7 @@ def test_month_mart(spark, trips, zones, tmp_path):
     assert got.count() == 170 and got.where("temp_avg_calculated is null or PU_Borough is null").count() == 0
     r = built.funnel.first()
     assert (r["raw_count"], r["provider_count"], r["quality_count"], r["final_rows"]) == (200, 180, 180, 170)
-    low, high = built.bounds
+    low, high = built.bounds.select("winsor_low", "winsor_high").first()
     ends = got.agg(F.min("commission"), F.max("commission")).first()
     assert (ends[0], ends[1]) == (low, high) and r["winsor_low"] == low
     assert got.where("abs(commission_per_mile - commission / 2) > 1e-12").count() == 0
@@ -136,8 +136,10 @@ def test_batch_isolates_failures(spark, trips, zones, tmp_path):
     states = mart.run_batch(src, [(2024, 1), (2023, 1), (2024, 2)], str(tmp_path / "mart"), reports=reports)
     assert [s["status"] for s in states] == ["success", "skipped", "success"]
     assert spark.read.parquet(str(tmp_path / "mart")).count() == 340
-    cover = spark.read.parquet(f"{reports}/coverage/year=2024/month=01")
-    assert cover.where("column = 'PU_Borough'").first()["coverage_pct"] == 100.0
+    cover = spark.read.parquet(f"{reports}/coverage").where("column = 'PU_Borough'").collect()
+    assert [(r["year"], r["month"], r["coverage_pct"]) for r in cover] == [(2024, 1, 100.0), (2024, 2, 100.0)]
+    assert spark.read.parquet(f"{reports}/removal_summary").count() == 2
+    assert states[0]["bounds"] is not None and states[0]["rows"] == 170
     bad = mart.run_batch(src, [(2024, 1)], str(tmp_path / "mart2"), mart.Settings(require=["weather"]))
     assert bad[0]["status"] == "failed" and "weather" in bad[0]["error"]
 
@@ -167,4 +169,5 @@ def test_scratch_dir_uses_the_shared_folder(spark):
     shared = spark.conf.get("spark.checkpoint.dir", None)
     one, two = lake.scratch_dir(spark, "x"), lake.scratch_dir(spark, "x")
     assert one != two
-    assert one.startswith(f"{shared.rstrip('/')}/x-" if shared else "/")
+    base = shared or f"{spark.conf.get('spark.sql.warehouse.dir')}/fareframe-scratch"
+    assert one.startswith(f"{base.rstrip('/')}/x-")

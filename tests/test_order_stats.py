@@ -49,10 +49,30 @@ def test_quantiles_hot_value_and_order(spark):
     assert again == O.quantiles(df, "v", PS).orderBy("p").collect()
 
 
-def test_quantiles_with_a_coarse_sketch(spark, monkeypatch):
-    monkeypatch.setattr(O, "ACCURACY", 200)
+def test_quantiles_with_coarse_cells(spark, monkeypatch):
+    """Few cells and parts, so that every rank needs the second pass and a running sum within a part."""
+    monkeypatch.setattr(O, "CELLS", 0.2)
+    monkeypatch.setattr(O, "PARTS", 3)
     rng = random.Random(2)
     check(spark, [rng.gauss(0, 1) for _ in range(30000)], PS)
+    values = [rng.choice([0.0, -0.0, 1e-9, 5e-324, 1e300, -1e300, 2.5, 2.5000000001]) for _ in range(2000)]
+    check(spark, values, PS)
+    got = O.ecdf(frame(spark, values), "v").orderBy("value").collect()
+    assert [r["upto"] for r in got] == np.cumsum([r["n"] for r in got]).tolist() and got[-1]["y"] == 1.0
+
+
+def test_quantiles_by_group(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.lognormvariate(0, 3)) for _ in range(4000)] + [("one", 7.0), ("empty", None)]
+    got = {(r["g"], r["p"]): r["value"] for r in O.quantiles(spark.createDataFrame(rows, "g string, v double"), "v", PS, by=["g"]).collect()}
+    assert {g for g, _ in got} == {"a", "b", None, "one"}
+    for (g, p), value in got.items():
+        assert value == pytest.approx(np.quantile([v for k, v in rows if k == g], p), rel=1e-12)
+
+
+def test_quantile_plan_has_no_nested_loop(spark):
+    plan = O.quantiles(frame(spark, [1.0, 2.0, 3.0]), "v", [0.5])._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
@@ -66,9 +86,9 @@ def test_quantiles_reject_bad_probability(spark):
         O.quantiles(frame(spark, [1]), "v", [1.5])
 
 
-@pytest.mark.parametrize("rows", [2, 250_000])
-def test_ecdf(spark, monkeypatch, rows):
-    monkeypatch.setattr(O, "RUN_ROWS", rows)
+@pytest.mark.parametrize("cells", [0.5, 512])
+def test_ecdf(spark, monkeypatch, cells):
+    monkeypatch.setattr(O, "CELLS", cells)
     rng = random.Random(3)
     values = [rng.choice([1.0, 2.0, rng.random() * 100]) for _ in range(5000)] + [None]
     got = O.ecdf(frame(spark, values), "v").orderBy("value").toPandas()

@@ -209,17 +209,21 @@ def test_stratified(spark):
     assert set(n) == {"a"} and 4700 < n["a"] < 5300
     assert 13000 < sampling.stratified(df, "s", 0.5).count() < 17000
     assert sampling.stratified(df, "s", {"b": 1.0}).count() == 20000
-    assert sampling.sample_n(df, 100, 30000).count() <= 100
+    assert {r["id"] for r in sampling.sample_n(df, 100, ["id"]).collect()} == {r["id"] for r in sampling.sample_n(df.repartition(9), 100, ["id"]).collect()}
+    assert sampling.hash_sample(df, ["id"], 1e-9).count() <= 1
 
 
 def test_feature_pruning(spark):
     rows = [("morning", "morning_rush", 1, 0, 3.0), ("evening", "evening_rush", None, 1, 4.0)]
     df = spark.createDataFrame(rows, "time_period string, rush_hour_label string, fog_mist int, heavy_fog int, tmax_c double")
-    pruned = features.prune_features(df)
+    pruned = features.prune_features(df, ["time_period"])
     assert pruned.columns == ["rush_hour_label", "fog_flag"]
+    # The schema never depends on the rows.
+    assert features.prune_features(df).columns == features.prune_features(df.limit(0)).columns
+    assert features.is_redundant_label(df, "time_period", "rush_hour_label")
     assert [r["fog_flag"] for r in pruned.collect()] == [1, 1]
     both = df.unionByName(df.withColumn("time_period", F.lit("night")))
-    assert "time_period" in features.prune_features(both).columns
+    assert not features.is_redundant_label(both, "time_period", "rush_hour_label")
 
 
 def test_correlation_rules(spark):

@@ -316,30 +316,63 @@ def drift(spark, sf):
     return table.withColumn("rows", li.agg(F.count(F.lit(1))).scalar())
 
 
-@query("q_hash_sample")
+def _in_sample(keys: str, fraction: str, seed: int = 0) -> str:
+    """The sampling rule of ``in_hash_sample`` in SQL; ``keys`` is a list of text columns."""
+    digits = f"substr(md5(concat_ws('|', '{seed}', {keys})), 1, 15)"
+    return f"CAST('0x' || {digits} AS BIGINT) < {fraction} * 1152921504606846976.0::DOUBLE"
+
+
+@query(
+    "q_hash_sample",
+    f"""SELECT o_orderkey, o_custkey, o_totalprice FROM orders
+    WHERE {_in_sample("o_orderkey::VARCHAR", "0.2::DOUBLE", 202401)}""",
+)
 def hash_sample(spark, sf):
     df = sampling.hash_sample(V.table(spark, sf, "orders"), ["o_orderkey"], 0.2, seed=sampling.month_seed(2024, 1))
     return df.select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-@query("q_bernoulli_sample")
+@query(
+    "q_bernoulli_sample",
+    f"""WITH {V.TRIPS_SQL} SELECT true AS within_5_sigma, true AS from_table FROM (SELECT count(*) AS n FROM trips) WHERE n > 0""",
+)
 def bernoulli(spark, sf):
-    return sampling.bernoulli(V.trips(spark, sf), 0.05, 42).select("trip_key", "trip_part", "commission")
+    """A row sample has no exact SQL; its size and membership do."""
+    trips = V.trips(spark, sf)
+    keys = ["trip_key", "trip_part"]
+    taken = sampling.bernoulli(trips, 0.05, 42).groupBy(*keys).agg(F.count(F.lit(1)).alias("taken"))
+    all_ = trips.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    both = all_.join(taken, keys, "full").agg(F.sum("taken").alias("taken"), F.sum("n").alias("n"), F.max(F.col("n").isNull() | (F.col("taken") > F.col("n"))).alias("foreign"))
+    near = F.abs(F.col("taken") - 0.05 * F.col("n")) <= 5 * F.sqrt(0.05 * 0.95 * F.col("n"))
+    return both.select(near.alias("within_5_sigma"), (~F.col("foreign")).alias("from_table"))
 
 
-@query("q_sample_n")
+@query(
+    "q_sample_n",
+    """SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem
+    ORDER BY substr(md5(concat_ws('|', '42', l_orderkey::VARCHAR, l_linenumber::VARCHAR)), 1, 15), l_orderkey, l_linenumber LIMIT 5000""",
+)
 def sample_n(spark, sf):
-    li = V.table(spark, sf, "lineitem")
-    return sampling.sample_n(li, 5000, li.count()).select("l_orderkey", "l_linenumber", "l_extendedprice")
+    li = V.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return sampling.sample_n(li, 5000, ["l_orderkey", "l_linenumber"])
 
 
-@query("q_stratified_sample")
+@query("q_stratified_sample", "SELECT count(DISTINCT strftime(o_orderdate, '%Y-%m')) AS strata, true AS all_near_half FROM orders")
 def stratified(spark, sf):
+    """Every month is sampled at one half, within six standard deviations."""
     o = V.table(spark, sf, "orders").withColumn("ym", F.date_format("o_orderdate", "yyyy-MM"))
-    return sampling.stratified(o, "ym", 0.5).groupBy("ym").agg(F.count(F.lit(1)).alias("n"))
+    n = o.groupBy("ym").agg(F.count(F.lit(1)).alias("n"))
+    taken = sampling.stratified(o, "ym", 0.5).groupBy("ym").agg(F.count(F.lit(1)).alias("taken"))
+    both = n.join(taken, "ym", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
+    near = F.abs(F.col("taken") - F.col("n") / 2) <= 6 * F.sqrt(F.col("n") / 4)
+    return both.agg(F.count(F.lit(1)).alias("strata"), F.min(near).alias("all_near_half"))
 
 
-@query("q_stratified_hash")
+@query(
+    "q_stratified_hash",
+    f"""SELECT o_orderpriority, count(*) AS n FROM orders WHERE {_in_sample("o_orderkey::VARCHAR",
+        "CASE o_orderpriority WHEN '1-URGENT' THEN 0.5::DOUBLE WHEN '5-LOW' THEN 0.1::DOUBLE ELSE 0 END")} GROUP BY 1""",
+)
 def stratified_hash(spark, sf):
     fractions = {"1-URGENT": 0.5, "5-LOW": 0.1}
     df = sampling.stratified_hash(V.table(spark, sf, "orders"), "o_orderpriority", fractions, ["o_orderkey"])
@@ -348,12 +381,12 @@ def stratified_hash(spark, sf):
 
 @query(
     "q_year_split",
-    f"""WITH {V.TRIPS_SQL} SELECT CASE year(pickup_date) WHEN 1997 THEN 'train' ELSE 'test' END AS part, {TRIP_COUNTS}
-    FROM trips WHERE year(pickup_date) IN (1997, 1998) GROUP BY 1""",
+    f"""WITH {V.TRIPS_SQL} SELECT CASE WHEN year(pickup_date) <= 1996 THEN 'train' ELSE 'test' END AS part, {TRIP_COUNTS}
+    FROM trips GROUP BY 1""",
 )
 def year_split(spark, sf):
     df = V.trips(spark, sf).withColumn("year", F.year("pickup_date"))
-    train, test = sampling.year_split(df, 1997, 1998)
+    train, test = sampling.year_split(df, 1996)
     both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
     return _totals(both, "part")
 

@@ -12,59 +12,91 @@ from workbook.registry import query, rounded
 
 LOW = ["pickup_day_of_week", "trip_cbd_type", "rush_hour_label", "time_period"]
 HIGH = ["PULocationID", "DOLocationID", "PU_Zone", "DO_Zone"]
+LAST_TRAIN = 1996
 NUMERIC = ["trip_miles", "trip_time", "avg_speed_mph", "pickup_month"]
 
 
 def _split(spark, sf):
     df = V.labelled_trips(spark, sf).where("commission >= 0").withColumn("year", F.year("pickup_date"))
-    return year_split(df, 1997, 1998)
+    return year_split(df, LAST_TRAIN)
 
 
 def _lasso(spark, sf, bins: int = 256):
     train, test = model.trim_by_train(*_split(spark, sf), "commission")
-    train = model.as_text(train, HIGH).persist()
-    fitted = model.lasso_pipeline(LOW, HIGH, NUMERIC, hash_bins=bins).fit(train)
-    return fitted, train, model.as_text(test, HIGH)
+    train = model.as_text(train, HIGH)
+    return model.lasso_pipeline(LOW, HIGH, NUMERIC, hash_bins=bins).fit(train), train, model.as_text(test, HIGH)
 
 
-@query("q_lasso")
+def _sound(fitted, train, test, label: str):
+    """Test rows scored, and what holds for any sound fit: its error on the training rows is not above the mean's."""
+    scores = model.eval_metrics(fitted.transform(test), label)
+    own = model.eval_metrics(fitted.transform(train), label).select(F.col("r2") >= 0).scalar()
+    return scores.select("n", own.alias("beats_mean"), (F.col("mae") <= F.col("rmse")).alias("ordered"))
+
+
+TEST_SQL = """hi AS (SELECT quantile_cont({y}, 0.98) AS q FROM t WHERE year(pickup_date) <= 1996),
+test AS (SELECT * FROM t, hi WHERE year(pickup_date) > 1996 AND {y} <= q)"""
+LASSO_SQL = f"{V.TRIPS_SQL}, t AS (SELECT * FROM trips WHERE commission >= 0), {TEST_SQL.format(y='commission')}"
+FOREST_SQL = (
+    f"{V.TRIPS_SQL}, t AS (SELECT *, commission / trip_miles AS y_cpm FROM trips WHERE commission >= 0 AND trip_miles > 0.1), "
+    + TEST_SQL.format(y="y_cpm")
+)
+
+
+@query("q_lasso", f"WITH {LASSO_SQL} SELECT count(*) AS n, true AS beats_mean, true AS ordered FROM test")
 def lasso(spark, sf):
     fitted, train, test = _lasso(spark, sf)
-    scores = model.eval_metrics(fitted.transform(test), "commission")
-    train.unpersist()
-    return scores
+    return _sound(fitted, train, test, "commission")
 
 
-@query("q_lasso_coefficients")
+@query(
+    "q_lasso_coefficients",
+    """SELECT true AS all_nonzero, true AS unique_names, true AS tokens_on_bins_only""",
+)
 def coefficients(spark, sf):
     fitted, train, _ = _lasso(spark, sf)
-    weights = model.coefficients(fitted, train)
-    train.unpersist()
-    return weights
+    w = model.coefficients(fitted, train)
+    on_bin = F.col("feature").startswith("hash_")
+    return w.agg(
+        F.min(F.col("weight") != 0).alias("all_nonzero"),
+        (F.count_distinct("feature") == F.count(F.lit(1))).alias("unique_names"),
+        F.min(F.col("tokens").isNotNull() == on_bin).alias("tokens_on_bins_only"),
+    )
+
+
+@query(
+    "q_hash_tokens",
+    f"""WITH {LASSO_SQL}, {V.ZONES_SQL}, train AS (SELECT t.* FROM t, hi WHERE year(pickup_date) <= 1996 AND commission <= q)
+    SELECT count(DISTINCT PULocationID) + count(DISTINCT DOLocationID) + count(DISTINCT p.Zone) + count(DISTINCT d.Zone) AS tokens
+    FROM train LEFT JOIN zones p ON PULocationID = p.LocationID LEFT JOIN zones d ON DOLocationID = d.LocationID""",
+)
+def tokens(spark, sf):
+    fitted, train, _ = _lasso(spark, sf, bins=64)
+    return model.hash_tokens(fitted, train).agg(F.sum(F.size("tokens")).alias("tokens"))
 
 
 def _forest(spark, sf):
     train, test = (d.where("y_cpm is not null") for d in _split(spark, sf))
     train, test = model.trim_by_train(train, test, "y_cpm")
-    train = train.drop("trip_key", "trip_part", "provider_code", "holiday_name").persist()
+    train = train.drop("trip_key", "trip_part", "provider_code", "holiday_name")
     cols = model.forest_columns(train)
     return model.forest_pipeline(**cols, trees=20, depth=6, bins=64).fit(train), train, test
 
 
-@query("q_random_forest")
+@query("q_random_forest", f"WITH {FOREST_SQL} SELECT count(*) AS n, true AS beats_mean, true AS ordered FROM test")
 def forest(spark, sf):
     fitted, train, test = _forest(spark, sf)
-    scores = model.eval_metrics(fitted.transform(test), "y_cpm")
-    train.unpersist()
-    return scores
+    return _sound(fitted, train, test, "y_cpm")
 
 
-@query("q_forest_importances")
+@query("q_forest_importances", "SELECT 1.0::DOUBLE AS total, true AS all_positive, true AS unique_names")
 def importances(spark, sf):
     fitted, train, _ = _forest(spark, sf)
-    table = model.importances(fitted, train)
-    train.unpersist()
-    return table
+    return model.importances(fitted, train).agg(
+        F.round(F.sum("importance"), 6).alias("total"),
+        F.min(F.col("importance") > 0).alias("all_positive"),
+        (F.count_distinct("feature") == F.count(F.lit(1))).alias("unique_names"),
+    )
 
 
 @query(
@@ -80,12 +112,12 @@ def metrics(spark, sf):
 
 @query(
     "q_trim_by_train",
-    f"""WITH {V.TRIPS_SQL}, q AS (SELECT quantile_cont(commission, 0.98) AS hi FROM trips WHERE year(pickup_date) = 1997)
+    f"""WITH {V.TRIPS_SQL}, q AS (SELECT quantile_cont(commission, 0.98) AS hi FROM trips WHERE year(pickup_date) <= 1996)
     SELECT CAST(year(pickup_date) AS INTEGER) AS year, count(*) AS n, round(avg(commission), 6) AS mean FROM trips, q
-    WHERE commission <= hi AND year(pickup_date) IN (1997, 1998) GROUP BY 1""",
+    WHERE commission <= hi GROUP BY 1""",
 )
 def trim(spark, sf):
-    train, test = year_split(V.trips(spark, sf).withColumn("year", F.year("pickup_date")), 1997, 1998)
+    train, test = year_split(V.trips(spark, sf).withColumn("year", F.year("pickup_date")), LAST_TRAIN)
     train, test = model.trim_by_train(train, test, "commission")
     out = train.unionByName(test).groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.avg("commission").alias("mean"))
     return rounded(out, ["mean"])
@@ -109,24 +141,24 @@ def group_weights(spark, sf):
     return rounded(model.group_weights(weights, themes, "LocationID", "theme", "weight"), ["weight_sum"])
 
 
-@query("q_model_round_trip")
+@query("q_model_round_trip", f"WITH {LASSO_SQL} SELECT count(*) AS n, 0::BIGINT AS different FROM test")
 def round_trip(spark, sf):
-    """Weights of a saved and reloaded pipeline."""
+    """Predictions of a saved and reloaded pipeline against those of the original."""
     from fareframe.sources.lake import load_model, save_model, scratch_dir
 
-    fitted, train, test = _lasso(spark, sf, bins=64)
+    fitted, _, test = _lasso(spark, sf, bins=64)
     path = scratch_dir(spark, "model")
     save_model(fitted, path)
-    scores = model.eval_metrics(load_model(path).transform(test), "commission")
-    train.unpersist()
-    return scores
+    first = fitted.transform(test).select("*", F.col("prediction").alias("first"))
+    own = [c for c in first.columns if c in test.columns] + ["first"]
+    both = load_model(path).transform(first.select(*own))
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("first") != F.col("prediction")).alias("different"))
 
 
-@query("q_numeric_features", f"""WITH {V.TRIPS_SQL} SELECT count(trip_miles) AS trip_miles, count(trip_time) AS trip_time,
-    count(driver_efficiency) AS driver_efficiency FROM trips""")
+@query("q_numeric_features", "SELECT unnest(['trip_miles', 'trip_time', 'driver_efficiency']) AS feature, count(*) > 0 AS has_rows FROM orders GROUP BY 1")
 def numeric(spark, sf):
     from fareframe.operators.features import numeric_features
 
     df = add_calendar(V.trips(spark, sf)).select("trip_miles", "trip_time", "driver_efficiency", "commission", "pickup_date")
     names = numeric_features(df, exclude=["commission"])
-    return df.agg(*[F.count(n).alias(n) for n in names])
+    return df.agg(*[(F.count(n) > 0).alias(n) for n in names]).unpivot([], names, "feature", "has_rows")

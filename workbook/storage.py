@@ -53,7 +53,7 @@ def partitions(spark, sf):
 )
 def one_month(spark, sf):
     path = lake.scratch_dir(spark, "months")
-    lake.write_partitioned(_monthly(spark, sf).where("year = 1996"), path)
+    lake.write_partitioned(_monthly(spark, sf), path)
     if not lake.month_available(spark, path, 1996, 5) or lake.month_available(spark, path, 1990, 5):
         raise ValueError("month probe is wrong")
     return lake.read_month(spark, path, 1996, 5).groupBy("provider_code").agg(
@@ -100,14 +100,14 @@ def zone_csv(spark, sf):
 
 @query(
     "q_weather_csv",
-    f"""WITH {V.IMPERIAL_SQL} SELECT season, count(*) AS days, round(sum(precipitation_mm), 6) AS precip_sum FROM weather GROUP BY 1""",
+    f"""WITH {V.CLASSES_SQL} SELECT season, count(*) AS days, round(sum(precipitation_mm), 6) AS precip_sum FROM days GROUP BY 1""",
 )
 def weather_csv(spark, sf):
-    from fareframe.operators.weather import clean_imperial, season_profile
+    from fareframe.operators.weather import clean_imperial, day_classes, season_profile
 
     path = lake.scratch_dir(spark, "stations")
     V.station_records(spark, sf).write.option("header", True).csv(path)
-    df = season_profile(clean_imperial(dims.read_weather_raw(spark, path)))
+    df = season_profile(day_classes(clean_imperial(dims.read_weather_raw(spark, path))))
     return rounded(df.select("season", "days", "precip_sum"), ["precip_sum"])
 
 
@@ -159,14 +159,20 @@ def month_mart(spark, sf):
 @query(
     "q_month_batch",
     f"""WITH {V.TRIPS_SQL} SELECT CAST(year(pickup_date) AS INTEGER) AS year, CAST(month(pickup_date) AS INTEGER) AS month,
-    count(*) FILTER (commission >= 0) AS n FROM trips WHERE year(pickup_date) = 1998 AND month(pickup_date) IN (1, 2) GROUP BY 1, 2""",
+    count(*) AS n, round(quantile_cont(commission, 0.01), 6) AS low, round(quantile_cont(commission, 0.99), 6) AS high,
+    round(avg(CASE WHEN PULocationID IS NOT NULL THEN 100 ELSE 0 END)::DOUBLE, 6) AS zone_pct
+    FROM trips WHERE commission >= 0 GROUP BY 1, 2""",
 )
 def month_batch(spark, sf):
     sources = mart.Sources(
         trips=_monthly(spark, sf).withColumnRenamed("provider_code", "hvfhs_license_num"), zones=V.zones(spark, sf)
     )
-    path = lake.scratch_dir(spark, "mart")
-    states = mart.run_batch(sources, [(1998, 1), (1998, 2), (1890, 1)], path, mart.Settings(provider="N"))
-    if [s["status"] for s in states] != ["success", "success", "skipped"]:
-        raise ValueError(f"unexpected batch outcome {states}")
-    return lake.read_lake(spark, path).groupBy("year", "month").agg(F.count(F.lit(1)).alias("n"))
+    path, reports = lake.scratch_dir(spark, "mart"), lake.scratch_dir(spark, "mart-reports")
+    months = [(y, m) for y in range(1990, 2002) for m in range(1, 13)]
+    states = mart.run_batch(sources, months, path, mart.Settings(provider="N"), reports=reports)
+    if {s["status"] for s in states} != {"success", "skipped"}:
+        raise ValueError(f"unexpected batch outcome {states[0]}")
+    bounds = spark.read.parquet(f"{reports}/removal_summary").where("final_rows > 0").select("year", "month", F.round("winsor_low", 6).alias("low"), F.round("winsor_high", 6).alias("high"))
+    cover = spark.read.parquet(f"{reports}/coverage").where("column = 'PU_Borough'").select("year", "month", F.round("coverage_pct", 6).alias("zone_pct"))
+    saved = lake.read_lake(spark, path).groupBy("year", "month").agg(F.count(F.lit(1)).alias("n"))
+    return saved.join(bounds, ["year", "month"]).join(cover, ["year", "month"])

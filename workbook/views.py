@@ -9,7 +9,7 @@ from fareframe.operators.calendar import add_calendar, hours_of
 from fareframe.operators.clean import filter_provider, require_not_null, valid_trips
 from fareframe.operators.joins import join_weather
 from fareframe.operators.metrics import commission_metrics, with_cpm
-from fareframe.operators.weather import clean_imperial, station_to_day
+from fareframe.operators.weather import clean_imperial, day_classes, station_to_day
 from fareframe.operators.zones import label_trips
 
 PROVIDER = "N"
@@ -23,15 +23,8 @@ HOLIDAYS = [
 ]
 
 
-_OPENED: dict[tuple[str, str, str], DataFrame] = {}
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A given table; its file listing and schema are read once per application."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _OPENED:
-        _OPENED[key] = spark.read.parquet(f"{sf}/{name}.parquet")
-    return _OPENED[key]
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def zones(spark: SparkSession, sf: str) -> DataFrame:
@@ -296,6 +289,24 @@ day AS (
 )
 
 
+# One row per date with the classes that the profiles of days count.
+CLASSES_SQL = (
+    IMPERIAL_SQL
+    + """,
+classes AS (
+  SELECT weather_date, avg(tmax_c) AS tmax_c, avg(tmin_c) AS tmin_c, avg(temp_avg_calculated) AS temp_avg_calculated,
+         max(precipitation_mm) AS precipitation_mm, avg(weather_comfort_index) AS weather_comfort_index,
+         max(is_precipitation) AS is_precipitation, max(is_snow) AS is_snow, max(fog_mist) AS fog_mist,
+         max(is_very_cold) AS is_very_cold, max(is_extreme_heat) AS is_extreme_heat, max(season) AS season
+  FROM weather GROUP BY weather_date),
+days AS (
+  SELECT *, CASE WHEN precipitation_mm > 0 AND precipitation_mm <= 2.5 THEN 1 ELSE 0 END AS is_light_rain,
+         CASE WHEN precipitation_mm > 2.5 AND precipitation_mm <= 10 THEN 1 ELSE 0 END AS is_moderate_rain,
+         CASE WHEN precipitation_mm > 10 AND precipitation_mm <= 25 THEN 1 ELSE 0 END AS is_heavy_rain,
+         CASE WHEN precipitation_mm > 25 THEN 1 ELSE 0 END AS is_extreme_rain FROM classes)"""
+)
+
+
 def station_weather(spark: SparkSession, sf: str) -> DataFrame:
     return clean_imperial(station_records(spark, sf))
 
@@ -304,6 +315,10 @@ def daily_weather(spark: SparkSession, sf: str) -> DataFrame:
     return station_to_day(station_weather(spark, sf))
 
 
+def profiled_days(spark: SparkSession, sf: str) -> DataFrame:
+    return day_classes(station_weather(spark, sf))
+
+
 def weather_trips(spark: SparkSession, sf: str) -> DataFrame:
     """Trips with the weather of their pickup date."""
     return join_weather(trips(spark, sf), daily_weather(spark, sf), unique=False)

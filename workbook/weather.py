@@ -116,7 +116,7 @@ def rollup_min(spark, sf):
 )
 def pick(spark, sf):
     raw = V.station_records(spark, sf)
-    chosen = W.pick_stations(raw, ["NOT-A-STATION"])
+    chosen = W.pick_stations(raw, ["NOT-A-STATION"], fallback=3)
     return profile.value_counts(W.only_stations(raw, chosen), "STATION")
 
 
@@ -191,10 +191,11 @@ def by_year(spark, sf):
     f"""WITH {V.STATIONS_SQL}, s AS (
       SELECT STATION, count(*) AS records, count(*) FILTER (k % 41 <> 0 OR k % 43 <> 0) AS a,
              count(*) FILTER (k % 41 <> 0 AND k % 43 <> 0) AS b FROM station GROUP BY 1),
-    top AS (SELECT * FROM s ORDER BY records DESC, STATION LIMIT 4)
-    SELECT STATION, records, a / records * 100 AS any_temp_pct, b / records * 100 AS both_temp_pct,
-           CASE WHEN STATION = (SELECT STATION FROM top ORDER BY b / records DESC, records DESC, STATION DESC LIMIT 1)
-                THEN 1 ELSE 0 END AS is_best FROM top""",
+    top AS (SELECT * FROM s ORDER BY records DESC, STATION LIMIT 4),
+    best AS (SELECT * FROM s ORDER BY b / records DESC, records DESC, STATION DESC LIMIT 1)
+    SELECT STATION, STATION AS NAME, records, a / records * 100 AS any_temp_pct, b / records * 100 AS both_temp_pct,
+           CASE WHEN STATION = (SELECT STATION FROM best) THEN 1 ELSE 0 END AS is_best
+    FROM (SELECT * FROM top UNION SELECT * FROM best)""",
 )
 def completeness(spark, sf):
     return W.station_completeness(V.station_records(spark, sf), 4)
@@ -202,43 +203,43 @@ def completeness(spark, sf):
 
 @query(
     "q_monthly_weather",
-    f"""WITH {V.IMPERIAL_SQL} SELECT strftime(weather_date, '%Y-%m') AS ym, round(avg(tmax_c), 9) AS tmax_c,
+    f"""WITH {V.CLASSES_SQL} SELECT strftime(weather_date, '%Y-%m') AS ym, round(avg(tmax_c), 9) AS tmax_c,
     round(avg(tmin_c), 9) AS tmin_c, round(avg(temp_avg_calculated), 9) AS temp_avg,
     round(sum(precipitation_mm), 9) AS precipitation_mm, round(avg(weather_comfort_index), 9) AS comfort,
-    CAST(sum(is_snow) AS BIGINT) AS snow_days FROM weather GROUP BY 1""",
+    CAST(sum(is_snow) AS BIGINT) AS snow_days FROM days GROUP BY 1""",
 )
 def monthly(spark, sf):
-    df = W.monthly_weather(V.station_weather(spark, sf))
+    df = W.monthly_weather(V.profiled_days(spark, sf))
     return rounded(df, ["tmax_c", "tmin_c", "temp_avg", "precipitation_mm", "comfort"], 9)
 
 
 @query(
     "q_monthly_extremes",
-    f"""WITH {V.IMPERIAL_SQL} SELECT CAST(month(weather_date) AS INTEGER) AS month, min(tmax_c) AS tmax_min,
-    max(tmax_c) AS tmax_max, min(tmin_c) AS tmin_min, max(tmin_c) AS tmin_max FROM weather GROUP BY 1""",
+    f"""WITH {V.CLASSES_SQL} SELECT CAST(month(weather_date) AS INTEGER) AS month, round(min(tmax_c), 9) AS tmax_min,
+    round(max(tmax_c), 9) AS tmax_max, round(min(tmin_c), 9) AS tmin_min, round(max(tmin_c), 9) AS tmin_max FROM days GROUP BY 1""",
 )
 def extremes(spark, sf):
-    return W.monthly_extremes(V.station_weather(spark, sf))
+    return rounded(W.monthly_extremes(V.profiled_days(spark, sf)), ["tmax_min", "tmax_max", "tmin_min", "tmin_max"], 9)
 
 
 @query(
     "q_season_profile",
-    f"""WITH {V.IMPERIAL_SQL} SELECT season, count(*) AS days, round(sum(precipitation_mm), 6) AS precip_sum,
+    f"""WITH {V.CLASSES_SQL} SELECT season, count(*) AS days, round(sum(precipitation_mm), 6) AS precip_sum,
     round(avg(precipitation_mm), 6) AS precip_mean, round(avg(weather_comfort_index), 6) AS comfort_mean
-    FROM weather GROUP BY 1""",
+    FROM days GROUP BY 1""",
 )
 def seasons(spark, sf):
-    return rounded(W.season_profile(V.station_weather(spark, sf)), ["precip_sum", "precip_mean", "comfort_mean"])
+    return rounded(W.season_profile(V.profiled_days(spark, sf)), ["precip_sum", "precip_mean", "comfort_mean"])
 
 
 def _union(cases: dict[str, str]) -> str:
-    parts = [f"SELECT '{n}' AS condition, count(*) AS days FROM weather WHERE {w}" for n, w in cases.items()]
+    parts = [f"SELECT '{n}' AS condition, count(*) AS days FROM days WHERE {w}" for n, w in cases.items()]
     return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE days > 0"
 
 
 @query(
     "q_condition_counts",
-    f"WITH {V.IMPERIAL_SQL} "
+    f"WITH {V.CLASSES_SQL} "
     + _union(
         {
             "clear": "is_precipitation = 0", "light_rain": "is_light_rain = 1", "moderate_rain": "is_moderate_rain = 1",
@@ -247,12 +248,12 @@ def _union(cases: dict[str, str]) -> str:
     ),
 )
 def conditions(spark, sf):
-    return W.condition_counts(V.station_weather(spark, sf))
+    return W.condition_counts(V.profiled_days(spark, sf))
 
 
 @query(
     "q_rain_intensity",
-    f"WITH {V.IMPERIAL_SQL} "
+    f"WITH {V.CLASSES_SQL} "
     + _union(
         {
             "no_rain": "precipitation_mm = 0", "light_rain": "is_light_rain = 1", "moderate_rain": "is_moderate_rain = 1",
@@ -261,12 +262,12 @@ def conditions(spark, sf):
     ),
 )
 def intensity(spark, sf):
-    return W.rain_intensity_counts(V.station_weather(spark, sf))
+    return W.rain_intensity_counts(V.profiled_days(spark, sf))
 
 
 @query(
     "q_weather_impact",
-    f"WITH {V.IMPERIAL_SQL} "
+    f"WITH {V.CLASSES_SQL} "
     + _union(
         {
             "heavy_precipitation": "is_heavy_rain = 1 OR is_extreme_rain = 1", "snow": "is_snow = 1",
@@ -275,27 +276,28 @@ def intensity(spark, sf):
     ),
 )
 def impact(spark, sf):
-    return W.impact_counts(V.station_weather(spark, sf))
+    return W.impact_counts(V.profiled_days(spark, sf))
 
 
 @query(
     "q_comfort_counts",
-    f"WITH {V.IMPERIAL_SQL} SELECT weather_comfort_index, count(*) AS n FROM weather GROUP BY 1",
+    f"WITH {V.CLASSES_SQL} SELECT round(weather_comfort_index) AS comfort, count(*) AS n FROM days GROUP BY 1",
 )
 def comfort(spark, sf):
-    return profile.value_counts(V.station_weather(spark, sf), "weather_comfort_index")
+    days = V.profiled_days(spark, sf).withColumn("comfort", F.round("weather_comfort_index"))
+    return profile.value_counts(days, "comfort")
 
 
 @query(
     "q_weather_insights",
-    f"""WITH {V.IMPERIAL_SQL} SELECT round(avg(is_precipitation) * 100, 6) AS rainy_pct,
+    f"""WITH {V.CLASSES_SQL} SELECT round(avg(is_precipitation) * 100, 6) AS rainy_pct,
     round(sum(is_extreme_heat + is_very_cold + is_heavy_rain + is_snow) / count(*) * 100, 6) AS extreme_pct,
     round(avg(CASE WHEN weather_comfort_index = 5 THEN 1 ELSE 0 END) * 100, 6) AS perfect_pct,
     round(avg(weather_comfort_index) FILTER (season = 'summer')
-        - avg(weather_comfort_index) FILTER (season = 'winter'), 6) AS summer_winter_gap FROM weather""",
+        - avg(weather_comfort_index) FILTER (season = 'winter'), 6) AS summer_winter_gap FROM days""",
 )
 def insights(spark, sf):
-    df = W.weather_insights(V.station_weather(spark, sf))
+    df = W.weather_insights(V.profiled_days(spark, sf))
     return rounded(df, df.columns)
 
 
