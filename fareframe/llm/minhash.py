@@ -111,6 +111,15 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _similar(s: np.ndarray, t: np.ndarray) -> bool:
+    """Whether two sorted sets are similar enough, in whole numbers."""
+    if not len(s) or not len(t):
+        return False
+    at = np.minimum(np.searchsorted(t, s), len(t) - 1)
+    both = int(np.count_nonzero(t[at] == s))
+    return 100 * both >= PERCENT * (len(s) + len(t) - both)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (hub, salt, is_member, id, digest, text) in order: each hub's own row, then its members'; links out."""
     hub, salt, held = None, None, None
@@ -124,9 +133,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not member:
                 hub, salt, held = h, g, s
             elif h == hub and g == salt and 100 * min(len(s), len(held)) >= PERCENT * max(len(s), len(held)):
-                at = np.minimum(np.searchsorted(held, s), len(held) - 1)
-                both = int(np.count_nonzero(held[at] == s))
-                if 100 * both >= PERCENT * (len(s) + len(held) - both):
+                if _similar(s, held):
                     a.append(node)
                     b.append(h)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -153,45 +160,92 @@ def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, name: str) -> D
     return written(rows.mapInArrow(_verify, "a long, b long"), name)
 
 
-def _blocks(frames: Iterator) -> Iterator:
-    """Rows sorted by (bucket, i, j): compares signatures of different components in numpy, a block pair at a time."""
-    import pandas as pd
+def _links_of_block(rows: pa.Table) -> tuple[list[int], list[int]]:
+    """Links between the components of one bucket (or of one pair of its blocks): edges of a spanning forest.
 
+    Signatures pick the pairs, full sets confirm them. A pair that agrees in several bands is left to the first one.
+    """
     m = BANDS * ROWS
-
-    def compare(x: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(x["sig"]), np.uint16).reshape(len(x), m)
-        rep, comp, n, mine = (x[c].to_numpy() for c in ("rep", "component", "n_shingles", "mine"))
-        i, j = int(x["i"].iloc[0]), int(x["j"].iloc[0])
-        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        a, b = [], []
-        for p in left:
-            other = right[(comp[right] != comp[p]) & (100 * np.minimum(n[right], n[p]) >= PERCENT * np.maximum(n[right], n[p]))]
-            if i == j:
-                other = other[other > p]
-            if len(other):
-                other = other[(sig[other] == sig[p]).sum(axis=1) >= LEAST_AGREEMENT * m]
-                a.append(np.maximum(rep[other], rep[p]))
-                b.append(np.minimum(rep[other], rep[p]))
-        flat = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
-        return pd.DataFrame({"a": flat(a), "b": flat(b)})
+    sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(-1, m)
+    rep, comp, n, mine = (rows.column(c).to_numpy() for c in ("rep", "component", "n_shingles", "mine"))
+    digest = rows.column("digest").to_pylist()
+    i, j, band = (rows.column(c)[0].as_py() for c in ("i", "j", "band"))
+    left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+    sets: dict[int, np.ndarray] = {}
+    parent: dict[int, int] = {}
+
+    def shingles(k: int) -> np.ndarray:
+        if k not in sets:
+            data = np.frombuffer((rows.column("text")[k].as_py() or "").encode(), np.uint8)
+            s = shingle_sets(data, np.array([0, len(data)]))[0]
+            sets[k] = s if _digest(s) == digest[k] else s[:0]  # else another text under the same doc_id
+        return sets[k]
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    a, b = [], []
+    for p in left.tolist():
+        other = right[(comp[right] != comp[p]) & (100 * np.minimum(n[right], n[p]) >= PERCENT * np.maximum(n[right], n[p]))]
+        if i == j:
+            other = other[other > p]
+        if not len(other):
+            continue
+        same = sig[other] == sig[p]
+        good = same.sum(axis=1) >= LEAST_AGREEMENT * m
+        other, same = other[good], same[good].reshape(-1, BANDS, ROWS).all(axis=2)
+        for q in other[same.argmax(axis=1) == band].tolist():
+            # The components of before are joined as well, so that each two of them meet in one link only.
+            x, y = root(int(comp[p])), root(int(comp[q]))
+            if x != y and _similar(shingles(p), shingles(q)):
+                parent[max(x, y)] = min(x, y)
+                a.append(int(max(rep[p], rep[q])))
+                b.append(int(min(rep[p], rep[q])))
+    return a, b
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of (bucket, i, j), a block pair of one bucket at a time."""
+
+    def out(part: pa.Table) -> pa.RecordBatch:
+        a, b = _links_of_block(part) if part.num_rows > 1 else ([], [])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     held = None
-    keys = ["bucket", "i", "j"]
-    for frame in frames:
-        held = frame if held is None else pd.concat([held, frame], ignore_index=True)
-        while len(held):
-            k = held[keys].to_numpy()
-            change = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-            if not len(change):
-                break
-            start = 0
-            for end in change:
-                yield compare(held.iloc[start:end])
-                start = end
-            held = held.iloc[start:].reset_index(drop=True)
-    if held is not None and len(held):
-        yield compare(held)
+    for batch in batches:
+        new = pa.Table.from_batches([batch])
+        held = new if held is None else pa.concat_tables([held, new])
+        k = np.stack([held.column(c).to_numpy() for c in ("bucket", "i", "j")])
+        start = 0
+        for end in np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1:
+            yield out(held.slice(start, end - start))
+            start = end
+        held = held.slice(start)
+    if held is not None:
+        yield out(held)
+
+
+def _between_components(shared: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """Links (a, b) between members of one bucket that ``found`` (rep, component) leaves apart.
+
+    Buckets whose members are all of one component are done. The others get their members' signatures and texts; a
+    bucket of more than ``BLOCK`` members is dealt out as pairs of blocks. Pairs exist only inside a task.
+    """
+    placed = shared.join(found, "rep", "left").select("bucket", "band", "rep", F.coalesce("component", "rep").alias("component"))
+    split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
+    split = split.where("lo < hi").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("k"))
+    cells = placed.join(split, "bucket").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
+    cells = cells.groupBy("rep", "component").agg(F.collect_list(F.struct("bucket", "band", "mine", "k")).alias("cells"))
+    cells = cells.join(reps, "rep").join(docs.withColumnRenamed("doc_id", "rep"), "rep")
+    rows = cells.select("rep", "component", "n_shingles", "digest", "sig", "text", F.explode("cells").alias("c"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c.k") - 1))).select(
+        "c.bucket", "c.band", F.least("c.mine", "other").alias("i"), F.greatest("c.mine", "other").alias("j"), "c.mine",
+        "rep", "component", "n_shingles", "digest", "sig", "text",
+    )
+    rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return written(rows.mapInArrow(_blocks, "a long, b long"), name)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -200,9 +254,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     1. One pass gives every document its set size, the digest of its set and its SuperMinHash signature.
     2. Documents of equal sets collapse to the smallest doc_id; only these representatives go on.
     3. Every band's bucket links its members to one hub. Links are confirmed on the full sets and joined by union-find.
-    4. Buckets that still hold several components compare signatures across components, in blocks, and the promising
-       pairs are confirmed too. So no link between different texts rests on the choice of the hub, and copies are never
-       expanded into pairs.
+    4. Buckets that still hold several components compare them, in blocks: signatures pick the pairs, full sets confirm
+       them, and only links that join components leave the task. So no link between different texts rests on the
+       choice of the hub, and neither copies nor the members of a bucket are ever expanded into pairs.
 
     With 50 bands of 5 registers a pair at exactly 0.75 is missed with probability below 2e-6.
 
@@ -223,32 +277,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "minhash-sets",
     )
 
-    def buckets(*more: str) -> DataFrame:
-        width = 2 * ROWS
-        keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", b * width + 1, width)) for b in range(BANDS)])
-        return reps.select("rep", "n_shingles", *more, F.explode(keys).alias("bucket"))
-
-    members = buckets()
-    hubs = members.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = members.join(hubs, "bucket").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    stars = written(stars, "minhash-stars")
+    width = 2 * ROWS
+    keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", b * width + 1, width)) for b in range(BANDS)])
+    members = reps.select("rep", F.posexplode(keys).alias("band", "bucket"))
+    hubs = members.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last")
+    shared = written(members.join(hubs.select("bucket", "hub"), "bucket"), "minhash-buckets")
+    stars = shared.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     links = _confirm(stars, reps, docs, "minhash-star-links")
-    first = connected_components(links, "minhash-components")
-
-    placed = buckets("sig").join(first.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "rep"))
-    small = members.join(first.withColumnRenamed("node", "rep"), "rep", "left")
-    small = small.groupBy("bucket").agg(
-        F.min(F.coalesce("component", "rep")).alias("lo"), F.max(F.coalesce("component", "rep")).alias("hi"), F.count(F.lit(1)).alias("n")
-    )
-    split = small.where("lo <> hi").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("k"))
-    cells = placed.join(split, "bucket").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
-        "bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "component", "n_shingles", "sig"
-    )
-    cells = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    rest = written(cells.mapInPandas(_blocks, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti"), "minhash-rest")
-    more = _confirm(rest, reps, docs, "minhash-rest-links")
+    first = connected_components(links, "minhash-components").withColumnRenamed("node", "rep")
+    more = _between_components(shared, first, reps, docs, "minhash-block-links")
     final = connected_components(links.unionByName(more), "minhash-components-final")
 
     grouped = reps.select("digest", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
