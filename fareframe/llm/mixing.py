@@ -64,14 +64,14 @@ def word_count(text: Column) -> Column:
 def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, copies: how often the mix takes each row.
 
-    A source takes target / source_size of itself. Its rows stand by size class and then by the hash of doc_id; the
-    expected copies add up along that order; one offset per source shifts the sums, and a row is taken once per integer
-    that its sum crosses. So no row is taken more than ``MOST`` times, rounded up, and each size class is taken at the
-    source's rate.
+    A source takes target / source_size of itself. Its rows stand by size, ties by the hash of doc_id; the expected
+    copies add up along that order; one offset per source shifts the sums, and a row is taken once per integer that its
+    sum crosses. So no row is taken more than ``MOST`` times, rounded up, all sizes are taken at the source's rate, and
+    the words taken miss the target by about the longest document at most.
 
-    A row's place is the number of rows in the cells before (a cell is a size class and the leading digits of the hash)
-    plus its place in the cell. More digits are taken as a source grows, so that no cell, and no task, holds much more
-    than ``CELL_ROWS`` rows of one hot source.
+    A row's place is the number of rows in the cells before (a cell is a size class and the leading digits of the hash,
+    a small source's only the class) plus its place in the cell. More digits are taken as a source grows, so that no
+    cell, and no task, holds much more than ``CELL_ROWS`` rows of one hot source.
 
     Defined cases: null text has size 0 and is taken at the rate of its source; null source is a source of its own, the
     last; a source without words has target 0 and is not taken; rows that agree in doc_id, source and size share one
@@ -95,7 +95,7 @@ def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
     before = cells.select(
         F.col("source").alias("s"), F.col("cls").alias("c"), F.col("cell").alias("d"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before")
     )
-    inside = Window.partitionBy("source", "cls", "cell").orderBy("h", "doc_id", "size")
+    inside = Window.partitionBy("source", "cls", "cell").orderBy("size", "h", "doc_id")
     p = placed.withColumn("inside", F.row_number().over(inside))
     p = p.join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("cls") == F.col("c")) & (F.col("cell") == F.col("d")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))

@@ -100,7 +100,7 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS docs FROM d GROUP BY source),
 w AS (
   SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w,
          source_size * 2.0::DOUBLE AS cap FROM s),
@@ -113,9 +113,13 @@ t AS (
   SELECT source, source_size, least(cap, coalesce(lam * w, cap)) AS target,
          CASE WHEN source_size > 0 THEN least(cap, coalesce(lam * w, cap)) / source_size ELSE 0 END AS rate,
          CAST('0x' || substr(md5(coalesce(source, '') || ':mix'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM lam),
+h AS (
+  SELECT d.*, md5(doc_id::VARCHAR || ':mix') AS h,
+         CAST(least(8, greatest(0, ceil(log2(docs / 20000.0::DOUBLE) / 4))) AS INTEGER) AS digits
+  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
 p AS (
   SELECT *, row_number() OVER (
-    PARTITION BY source ORDER BY floor(log2(size + 1.0::DOUBLE) * 8 + 1e-9), md5(doc_id::VARCHAR || ':mix'), doc_id) AS place FROM d)
+    PARTITION BY source ORDER BY floor(log2(size + 1.0::DOUBLE) * 8 + 1e-9), substr(h, 1, digits), size, h, doc_id) AS place FROM h)
 SELECT p.doc_id, CAST(p.size AS BIGINT) AS size, t.source_size, t.target,
        CAST(p.size * (floor(place * t.rate + t.u) - floor((place - 1) * t.rate + t.u)) AS BIGINT) AS taken
 FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source

@@ -30,18 +30,22 @@ def test_targets(spark, sizes):
 def test_mix_of_given_documents(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     plain = sorted(mixing.mixed(docs).collect())
-    monkeypatch.setattr(mixing, "CELL_ROWS", 5)
     assert plain == sorted(mixing.mixed(docs.repartition(9)).collect())
     assert len(plain) == docs.count()
-    sizes, taken = defaultdict(int), defaultdict(int)
+    sizes, taken, longest = defaultdict(int), defaultdict(int), defaultdict(int)
     for r in plain:
         sizes[r["source"]] += r["size"]
         taken[r["source"]] += r["size"] * r["copies"]
+        longest[r["source"]] = max(longest[r["source"]], r["size"])
     want = levels(sizes)
     for r in plain:
         assert 0 <= r["copies"] <= 2 and r["source_size"] == sizes[r["source"]]
         assert abs(r["target"] - want[r["source"]]) < 1e-6 * want[r["source"]]
-    assert all(abs(taken[s] - want[s]) < 0.05 * want[s] for s in want)
+    assert all(abs(taken[s] - want[s]) <= longest[s] for s in want)
+    monkeypatch.setattr(mixing, "CELL_ROWS", 5)  # many small cells
+    small = mixing.mixed(docs).collect()
+    assert sum(r["size"] * r["copies"] for r in small) == pytest.approx(sum(want.values()), rel=0.05)
+    monkeypatch.undo()
     out = mixing.mix(docs)
     assert out.columns == docs.columns
     assert dict(out.groupBy("doc_id").count().collect()) == {r["doc_id"]: r["copies"] for r in plain if r["copies"]}
