@@ -7,10 +7,15 @@ Only the suffixes at anchors are kept, one entry for about (WIDTH - GRAM) / 2 po
   key    hash of the anchor: the prefix by which suffixes are sorted and dealt out
   span   hash of all the text that the anchor's windows cover
   row    the text's 64-bit id;  at  first window and number of windows
+  state  what the batch of texts at hand tells already: LONE, COPIED for one entry of several with equal key and span,
+         DECIDED for the others of these
 
 Neighbours in the order of (key, span) decide almost everything: equal spans are repeats as a whole. What is left are
 keys with several spans, which is where repeated passages begin and end. For these the texts of one entry per span are
 fetched and their windows compared one by one.
+
+Entries that recur within one batch are repeats at once. Only one of them is dealt out by its key, so a key that a third
+of all texts hold, or a text that repeats a few words over and over, sends few rows to the key's task.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ from fareframe.llm.scratch import written
 
 #: Entries with the same key that one task compares at once; keys with more are dealt out window by window.
 GROUP_ROWS = 20_000
+LONE, COPIED, DECIDED = 0, 1, 2
 _AT = 16  # bits for the number of windows in ``at``
 
 
@@ -83,7 +89,7 @@ def identified(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def entries(docs: DataFrame, unit: Unit) -> DataFrame:
-    """The sparse suffix entries (key, span, row, at) of ``identified`` documents."""
+    """The sparse suffix entries (key, span, row, at, state) of ``identified`` documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in text_chunks(batches):
@@ -95,11 +101,21 @@ def entries(docs: DataFrame, unit: Unit) -> DataFrame:
             doc = np.searchsorted(first, start, side="right") - 1
             row = rows.column(rows.schema.get_field_index("row")).to_numpy(zero_copy_only=False)[doc]
             place = (start - first[doc]) << _AT | count
+            _, one, which, times = np.unique(mix(key ^ mix(span)), return_index=True, return_inverse=True, return_counts=True)
+            state = np.where(times[which] > 1, DECIDED, LONE).astype(np.int32)
+            state[one[times > 1]] = COPIED
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(span.view(np.int64)), pa.array(row), pa.array(place)], ["key", "span", "row", "at"]
+                [pa.array(key.view(np.int64)), pa.array(span.view(np.int64)), pa.array(row), pa.array(place), pa.array(state)],
+                ["key", "span", "row", "at", "state"],
             )
 
-    return docs.select("row", "text").mapInArrow(run, "key long, span long, row long, at long")
+    return docs.select("row", "text").mapInArrow(run, "key long, span long, row long, at long, state int")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Entries by key, in the order of (key, span); decided ones anywhere."""
+    place = F.when(F.col("state") == DECIDED, F.xxhash64("row", "at")).otherwise(F.col("key"))
+    return rows.repartition(place).sortWithinPartitions("key", "span")
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +133,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def decide(cols: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
         nonlocal held, seen_before, other_before
-        key, span, row, at = cols
+        key, span, row, at, copied = cols
         n = len(key)
         same_key = np.append(key[1:] == key[:-1], False)
         same = np.append((key[1:] == key[:-1]) & (span[1:] == span[:-1]), False)  # as the next row
@@ -130,7 +146,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = n if last else n - 1
         if not last:
             held = [c[-1:] for c in cols]
-        repeat = (before | same)[:done]
+        repeat = (before | same | (copied == COPIED))[:done]
         border = (~same & (other | same_key))[:done]
         yield out(0, key[:done][repeat], row[:done][repeat], at[:done][repeat])
         for kind, pick in ((1, border & ~repeat), (2, border & repeat)):
@@ -140,7 +156,13 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         if batch.num_rows:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            known = cols[4] == DECIDED
+            if known.any():
+                yield out(0, cols[1][known], cols[2][known], cols[3][known])
+                cols = [c[~known] for c in cols]
+                if not len(cols[0]):
+                    continue
             if held is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
             yield from decide(cols, False)
@@ -242,10 +264,9 @@ def _parts(unit: Unit):
     return run
 
 
-def scan(sorted_entries: DataFrame, docs: DataFrame, unit: Unit, name: str) -> list[DataFrame]:
+def scan(rows: DataFrame, docs: DataFrame, unit: Unit, name: str) -> list[DataFrame]:
     """(row, at) of repeated windows among entries, given in any order; ``docs`` holds their texts (``identified``)."""
-    ordered = sorted_entries.repartition("key").sortWithinPartitions("key", "span")
-    found = written(ordered.mapInArrow(_scan, "kind int, key long, row long, at long"), f"{name}-scan")
+    found = written(dealt(rows).mapInArrow(_scan, "kind int, key long, row long, at long"), f"{name}-scan")
     border = found.where("kind > 0")
     asked = border.groupBy("row").agg(F.collect_list(F.struct("key", "at", "kind")).alias("asked"))
     texts = docs.select("row", "text")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import io
 import os
-import tempfile
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +31,8 @@ BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Hands the package's code to Spark, which delivers it to every Python worker; once per application.
+    """Hands the package's code to Spark, which delivers it to every Python worker; once per application. The archive
+    lies in the shared folder.
 
     Also keeps the Arrow batches between the JVM and the workers small: batches of long texts otherwise take tens of
     megabytes several times over. A limit that the session has set itself stays.
@@ -42,12 +43,17 @@ def ship(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(fareframe.__file__))
-    target = os.path.join(tempfile.mkdtemp(), "fareframe_llm.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, names in os.walk(root):
             for n in names:
                 if n.endswith(".py"):
                     path = os.path.join(folder, n)
                     z.write(path, os.path.join("fareframe", os.path.relpath(path, root)))
-    spark.sparkContext.addPyFile(target)
+    target = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark, "code") + "/fareframe_llm.zip")
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(target)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(target.makeQualified(files.getUri(), files.getWorkingDirectory()).toString())
     _SHIPPED.add(app)
