@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from fareframe.schemas import TRIP_TYPES, conform
+from fareframe.schemas import TRIP_TYPES, conform, malformed
 from fareframe.sources.lake import read_parquet_tree, write_partitioned
 
 
@@ -24,15 +24,20 @@ def prepare_trips(df: DataFrame, ts: str = "pickup_datetime", code: str = "hvfhs
     )
 
 
-def ingest_trips(df: DataFrame, path: str) -> int:
+def ingest_trips(df: DataFrame, path: str, nulled: dict[str, int] | None = None) -> int:
     """Write trips to the partitioned lake and return the row count.
 
     Covers one month or a whole backfill alike: one read, one write, only the months present are
-    replaced. The count is observed on the write itself.
+    replaced. The counts are observed on the write itself: the rows, and in ``nulled``, if given, the values of each
+    column that could not be read as its type and are stored as null.
     """
-    seen = Observation("ingest")
-    counted = prepare_trips(df).observe(seen, F.count(F.lit(1)).alias("rows"))
-    write_partitioned(counted, path)
+    seen, bad = Observation("ingest"), Observation("malformed")
+    counts = malformed(df, TRIP_TYPES)
+    if nulled is not None and counts:
+        df = df.observe(bad, *[n.alias(c) for c, n in counts.items()])
+    write_partitioned(prepare_trips(df).observe(seen, F.count(F.lit(1)).alias("rows")), path)
+    if nulled is not None and counts:
+        nulled.update({c: n for c, n in bad.get.items() if n})
     return seen.get["rows"]
 
 

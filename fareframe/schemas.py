@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,5 +61,11 @@ def conform(df: DataFrame, types: dict[str, str], strict: bool = False) -> DataF
     )
 
 
+def malformed(df: DataFrame, types: dict[str, str]) -> dict[str, Column]:
+    """Per named column, the count of values that ``conform`` turns into null."""
+    present = {c: t for c, t in types.items() if c in df.columns}
+    return {c: F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull()) for c, t in present.items()}
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [c for c, t in df.dtypes if t in NUMERIC_TYPES or t.startswith("decimal")]

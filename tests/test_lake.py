@@ -103,6 +103,11 @@ def test_ingest_counts_and_normalises(spark, trips, tmp_path):
     assert ingest.ingest_trips(trips, str(tmp_path / "raw")) == 400
     back = spark.read.parquet(str(tmp_path / "raw"))
     assert {r[0] for r in back.select("hvfhs_license_num").distinct().collect()} == {"HV0003", "HV0005"}
+    nulled = {}
+    text = trips.withColumn("driver_pay", F.when(F.col("driver_pay") > F.lit(0), F.lit("oops")).otherwise(F.col("driver_pay").cast("string")))
+    want = trips.where("driver_pay > 0").count()
+    ingest.ingest_trips(text, str(tmp_path / "bad"), nulled)
+    assert nulled == {"driver_pay": want} and want > 0
     trips.write.parquet(str(tmp_path / "in"))
     states = ingest.ingest_each(spark, {(2024, 1): str(tmp_path / "in"), (2024, 9): str(tmp_path / "gone")}, str(tmp_path / "each"))
     assert [s["status"] for s in states] == ["success", "failed"]
