@@ -18,7 +18,7 @@ from fareframe.llm.pretokens import pieces
 from fareframe.llm.scratch import extended, ship
 
 #: Pieces whose merges a worker remembers; beyond that it starts anew.
-CACHED_PIECES = 500_000
+CACHED_PIECES = 200_000
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -64,14 +64,14 @@ class Coder:
         self.lengths = np.array([len(t) for t in tokens], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}  # piece -> ids, as 32-bit integers
 
-    def _ids(self, piece: bytes) -> np.ndarray:
+    def _ids(self, piece: bytes) -> bytes:
         got = self.known.get(piece)
         if got is None:
             if len(self.known) >= CACHED_PIECES:
                 self.known.clear()
-            got = self.known[piece] = np.array(merge(piece, self.ranks), np.uint32)
+            got = self.known[piece] = np.array(merge(piece, self.ranks), np.uint32).tobytes()
         return got
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,8 +80,8 @@ class Coder:
         _, at, which = np.unique(Spans(byte_values()[data])(starts, ends), return_index=True, return_inverse=True)
         raw = data.tobytes()
         found = [self._ids(raw[s:e]) for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-        size = np.array([len(x) for x in found], np.int64)
-        flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
+        size = np.array([len(x) // 4 for x in found], np.int64)
+        flat = np.frombuffer(b"".join(found), np.uint32)
         begin = np.cumsum(size) - size
         count = size[which]
         cuts = np.concatenate([[0], np.cumsum(count)])[first]
@@ -108,27 +108,30 @@ def _texts_first(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", F.col("text").cast("string"))
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, offsets: bool = True) -> DataFrame:
     """The rows with ``ids`` (array<int>) and ``offsets`` (array<int>: the byte at which each token starts).
 
     Null text has null ids and offsets, empty text empty ones. All other columns stay; existing columns ``ids`` and
-    ``offsets`` are replaced.
+    ``offsets`` are replaced. Without ``offsets`` only the ids are added.
     """
     ship(docs.sparkSession)
     docs = _texts_first(docs.drop("ids", "offsets"))
+    added = ["ids", "offsets"] if offsets else ["ids"]
     table = vocabulary(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(table.value)
         for rows, data, offs in text_chunks(batches):
             ids, cuts = c.encode(data, offs)
-            _, where = c.decode(ids)
             null = rows.column(rows.schema.get_field_index("text")).is_null().to_numpy(zero_copy_only=False)
-            start = where[:-1] - np.repeat(offs[:-1], np.diff(cuts))
-            lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(v, pa.int32()), mask=pa.array(null)) for v in (ids.astype(np.int32), start.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*rows.columns, *lists], [*rows.schema.names, "ids", "offsets"])
+            values = [ids.astype(np.int32)]
+            if offsets:
+                n = c.lengths[ids]
+                values.append((np.cumsum(n) - n - np.repeat(offs[:-1], np.diff(cuts))).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(v, pa.int32()), mask=pa.array(null)) for v in values]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *lists], [*rows.schema.names, *added])
 
-    return docs.mapInArrow(run, extended(docs, "ids array<int>, offsets array<int>"))
+    return docs.mapInArrow(run, extended(docs, ", ".join(f"{c} array<int>" for c in added)))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -141,7 +144,14 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         c = coder(table.value)
         for rows in batches:
             lists = rows.column(rows.schema.get_field_index("ids"))
-            out = [None if x is None else c.decode(np.array(x, np.int64))[0].tobytes() for x in lists.to_pylist()]
+            cuts = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            out: list[bytes | None] = []
+            for i in range(0, len(lists), 256):
+                part = lists.slice(i, 256)
+                back, where = c.decode(part.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+                ends = where[cuts[i : i + len(part) + 1] - cuts[i]]
+                raw = back.tobytes()
+                out += [raw[a:b] if x else None for x, a, b in zip(part.is_valid().to_pylist(), ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.binary())], [*rows.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, extended(encoded, "decoded binary"))

@@ -68,7 +68,7 @@ def _numbered(letters: np.ndarray, m: int, whole: np.ndarray) -> tuple[np.ndarra
     for k in range(1, GRAM):
         code = code * size + small[k : m + k]
     code = code[whole]
-    there = np.zeros(size**GRAM, np.int64)
+    there = np.zeros(size**GRAM, np.int32)
     there[code] = 1
     codes = np.flatnonzero(there)
     known, rest = np.zeros(len(codes), np.uint64), codes
