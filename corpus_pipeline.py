@@ -35,9 +35,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that of the smallest doc_id."""
-    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of each group of near duplicates stays: that of the smallest doc_id.
+
+    Rows are judged by their own texts. Different texts under one doc_id are documents of their own, and where they are
+    near duplicates of each other that of the smallest ``minhash.row_key`` stays. Rows without doc_id link through equal
+    sets only: they go if an equal set has a doc_id, else the one of the smallest key stays. Of rows that agree in doc_id
+    and text the least by its columns in their order stays. Text without words links with nothing.
+    """
+    kept = minhash.judged(docs).where("first").select("key").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), minhash.row_key(F.col("doc_id"), F.col("text")).alias("key"))
+    return rows.join(kept, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row")).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fareframe.llm.arrays import Spans, byte_values, mix, text_chunks, words
@@ -92,6 +92,12 @@ def _later_rounds(regs: np.ndarray, elems: np.ndarray, owner: np.ndarray, m: int
                     return
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """128 bits that name a row by its doc_id and text; never null."""
+    known = F.coalesce(doc_id.cast("long").cast("string"), F.lit(""))
+    return F.unhex(F.md5(F.concat(known, F.coalesce(F.concat(F.lit(":"), text.cast("string")), F.lit("")))))
+
+
 def _digest(s: np.ndarray) -> bytes | None:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
@@ -103,11 +109,12 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 rows.column(0).cast(pa.int64()),
+                rows.column(2),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([_digest(s) for s in sets], pa.binary()),
                 pa.array([g.tobytes() if len(s) else None for s, g in zip(sets, sigs, strict=True)], pa.binary()),
             ],
-            ["doc_id", "n_shingles", "digest", "sig"],
+            ["doc_id", "key", "n_shingles", "digest", "sig"],
         )
 
 
@@ -121,15 +128,13 @@ def _similar(s: np.ndarray, t: np.ndarray) -> bool:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (hub, salt, is_member, id, digest, text) in order: each hub's own row, then its members'; links out."""
+    """Rows (hub, salt, is_member, node, text) in order: each hub's own row, then its members'; links out."""
     hub, salt, held = None, None, None
     for rows, data, offs in text_chunks(batches):
         sets = shingle_sets(data, offs)
-        cols = [rows.column(i).to_pylist() for i in range(5)]
+        cols = [rows.column(i).to_pylist() for i in range(4)]
         a, b = [], []
-        for h, g, member, node, digest, s in zip(*cols, sets, strict=True):
-            if _digest(s) != digest:  # another text under the same doc_id
-                continue
+        for h, g, member, node, s in zip(*cols, sets, strict=True):
             if not member:
                 hub, salt, held = h, g, s
             elif h == hub and g == salt and 100 * min(len(s), len(held)) >= PERCENT * max(len(s), len(held)):
@@ -150,12 +155,9 @@ def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, name: str) -> D
     pairs = pairs.join(salts.select("b", "k"), "b").select("a", "b", (F.col("salt") % F.col("k")).alias("salt"))
     members = pairs.select("b", "salt", F.lit(True).alias("member"), F.col("a").alias("node"))
     hubs = pairs.select("b", "salt").distinct().withColumns({"member": F.lit(False), "node": F.col("b")})
-    wanted = members.unionByName(hubs).join(reps.select(F.col("rep").alias("node"), "digest"), "node")
-    asked = wanted.groupBy("node").agg(F.first("digest").alias("digest"), F.collect_list(F.struct("b", "salt", "member")).alias("to"))
-    with_text = asked.join(docs.select(F.col("doc_id").alias("node"), "text"), "node")
-    rows = with_text.select(F.explode("to").alias("t"), "node", "digest", "text").select(
-        "t.b", "t.salt", "t.member", "node", "digest", "text"
-    )
+    wanted = members.unionByName(hubs).groupBy("node").agg(F.collect_list(F.struct("b", "salt", "member")).alias("to"))
+    with_text = wanted.join(reps.select("node", "key"), "node").join(docs.select("key", "text"), "key")
+    rows = with_text.select(F.explode("to").alias("t"), "node", "text").select("t.b", "t.salt", "t.member", "node", "text")
     rows = rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "member")
     return written(rows.mapInArrow(_verify, "a long, b long"), name)
 
@@ -167,8 +169,7 @@ def _links_of_block(rows: pa.Table) -> tuple[list[int], list[int]]:
     """
     m = BANDS * ROWS
     sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(-1, m)
-    rep, comp, n, mine = (rows.column(c).to_numpy() for c in ("rep", "component", "n_shingles", "mine"))
-    digest = rows.column("digest").to_pylist()
+    node, comp, n, mine = (rows.column(c).to_numpy() for c in ("node", "component", "n_shingles", "mine"))
     i, j, band = (rows.column(c)[0].as_py() for c in ("i", "j", "band"))
     left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
     sets: dict[int, np.ndarray] = {}
@@ -177,8 +178,7 @@ def _links_of_block(rows: pa.Table) -> tuple[list[int], list[int]]:
     def shingles(k: int) -> np.ndarray:
         if k not in sets:
             data = np.frombuffer((rows.column("text")[k].as_py() or "").encode(), np.uint8)
-            s = shingle_sets(data, np.array([0, len(data)]))[0]
-            sets[k] = s if _digest(s) == digest[k] else s[:0]  # else another text under the same doc_id
+            sets[k] = shingle_sets(data, np.array([0, len(data)]))[0]
         return sets[k]
 
     def root(x: int) -> int:
@@ -201,8 +201,8 @@ def _links_of_block(rows: pa.Table) -> tuple[list[int], list[int]]:
             x, y = root(int(comp[p])), root(int(comp[q]))
             if x != y and _similar(shingles(p), shingles(q)):
                 parent[max(x, y)] = min(x, y)
-                a.append(int(max(rep[p], rep[q])))
-                b.append(int(min(rep[p], rep[q])))
+                a.append(int(max(node[p], node[q])))
+                b.append(int(min(node[p], node[q])))
     return a, b
 
 
@@ -228,31 +228,71 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _between_components(shared: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """Links (a, b) between members of one bucket that ``found`` (rep, component) leaves apart.
+    """Links (a, b) between members of one bucket that ``found`` (node, component) leaves apart.
 
     Buckets whose members are all of one component are done. The others get their members' signatures and texts; a
     bucket of more than ``BLOCK`` members is dealt out as pairs of blocks. Pairs exist only inside a task.
     """
-    placed = shared.join(found, "rep", "left").select("bucket", "band", "rep", F.coalesce("component", "rep").alias("component"))
+    placed = shared.join(found, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("component"))
     split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
     split = split.where("lo < hi").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("k"))
-    cells = placed.join(split, "bucket").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
-    cells = cells.groupBy("rep", "component").agg(F.collect_list(F.struct("bucket", "band", "mine", "k")).alias("cells"))
-    cells = cells.join(reps, "rep").join(docs.withColumnRenamed("doc_id", "rep"), "rep")
-    rows = cells.select("rep", "component", "n_shingles", "digest", "sig", "text", F.explode("cells").alias("c"))
+    cells = placed.join(split, "bucket").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    cells = cells.groupBy("node", "component").agg(F.collect_list(F.struct("bucket", "band", "mine", "k")).alias("cells"))
+    cells = cells.join(reps, "node").join(docs.select("key", "text"), "key")
+    rows = cells.select("node", "component", "n_shingles", "sig", "text", F.explode("cells").alias("c"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c.k") - 1))).select(
         "c.bucket", "c.band", F.least("c.mine", "other").alias("i"), F.greatest("c.mine", "other").alias("j"), "c.mine",
-        "rep", "component", "n_shingles", "digest", "sig", "text",
+        "node", "component", "n_shingles", "sig", "text",
     )
     rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     return written(rows.mapInArrow(_blocks, "a long, b long"), name)
 
 
+def judged(docs: DataFrame) -> DataFrame:
+    """doc_id, key (``row_key``), n_shingles, component_id, first: every row's group, and whether it stands for it.
+
+    Sets are told apart by their digests and numbered in the order of (doc_id, key) of their first rows, so that texts
+    that share a doc_id are sets of their own, and the least number of a component is that of its smallest doc_id.
+    """
+    ship(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("key", row_key(F.col("doc_id"), F.col("text")))
+    signed = written(
+        docs.select("doc_id", "text", "key").mapInArrow(_sign, "doc_id long, key binary, n_shingles long, digest binary, sig binary"),
+        "minhash-signatures",
+    )
+    least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("rep"), "key")).alias("least")
+    sets = signed.where("digest is not null").groupBy("digest").agg(least, F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    sets = sets.select("digest", "least.rep", "least.key", "n_shingles", "sig").orderBy(F.col("rep").asc_nulls_last(), "key")
+    every = written(sets.withColumn("node", F.monotonically_increasing_id()), "minhash-sets")
+    reps = every.where("rep is not null")
+
+    width = 2 * ROWS
+    keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", b * width + 1, width)) for b in range(BANDS)])
+    members = reps.select("node", F.posexplode(keys).alias("band", "bucket"))
+    hubs = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
+    shared = written(members.join(hubs.select("bucket", "hub"), "bucket"), "minhash-buckets")
+    stars = shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    links = _confirm(stars, reps, docs, "minhash-star-links")
+    first = connected_components(links, "minhash-components")
+    more = _between_components(shared, first, reps, docs, "minhash-block-links")
+    final = connected_components(links.unionByName(more), "minhash-components-final")
+
+    grouped = every.select("digest", "node").join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("head"))
+    heads = every.select(F.col("node").alias("head"), F.col("rep").alias("component"), F.col("key").alias("head_key"))
+    out = signed.select("doc_id", "key", "n_shingles", "digest").join(grouped.join(heads, "head"), "digest", "left")
+    return out.select(
+        "doc_id", "key", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
+        F.coalesce(F.col("key") == F.col("head_key"), F.lit(True)).alias("first"),
+    )
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: components of documents with Jaccard >= 0.75 on 5-word shingles.
 
     1. One pass gives every document its set size, the digest of its set and its SuperMinHash signature.
-    2. Documents of equal sets collapse to the smallest doc_id; only these representatives go on.
+    2. Documents of equal sets collapse to the smallest doc_id; only these representatives go on, each by a number
+       of its own.
     3. Every band's bucket links its members to one hub. Links are confirmed on the full sets and joined by union-find.
     4. Buckets that still hold several components compare them, in blocks: signatures pick the pairs, full sets confirm
        them, and only links that join components leave the task. So no link between different texts rests on the
@@ -265,33 +305,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     doc_id links through equal sets only and has a null ``component_id`` and ``kept`` true unless a set equal to its
     own has a doc_id. Other columns are ignored. An empty table gives an empty result.
     """
-    ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(
-        docs.mapInArrow(_sign, "doc_id long, n_shingles long, digest binary, sig binary"), "minhash-signatures"
-    )
-    reps = written(
-        signed.where("digest is not null and doc_id is not null")
-        .groupBy("digest")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")),
-        "minhash-sets",
-    )
-
-    width = 2 * ROWS
-    keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", b * width + 1, width)) for b in range(BANDS)])
-    members = reps.select("rep", F.posexplode(keys).alias("band", "bucket"))
-    hubs = members.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last")
-    shared = written(members.join(hubs.select("bucket", "hub"), "bucket"), "minhash-buckets")
-    stars = shared.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    links = _confirm(stars, reps, docs, "minhash-star-links")
-    first = connected_components(links, "minhash-components").withColumnRenamed("node", "rep")
-    more = _between_components(shared, first, reps, docs, "minhash-block-links")
-    final = connected_components(links.unionByName(more), "minhash-components-final")
-
-    grouped = reps.select("digest", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
-    grouped = grouped.select("digest", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(grouped, "digest", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), component.isNull()).alias("kept")
-    )
+    component = F.col("component_id")
+    return judged(docs).select("doc_id", "n_shingles", component, F.coalesce(component == F.col("doc_id"), component.isNull()).alias("kept"))

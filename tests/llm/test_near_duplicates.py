@@ -36,6 +36,13 @@ def test_rows_without_id_and_repeats_keep_their_row(spark):
     assert sorted((r["component_id"] is None, r["kept"]) for r in lone) == [(False, False), (True, True)]
 
 
+def test_texts_under_one_id_are_judged_apart(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(d, t, None, None, None, "", 0, "", 0, "", 0, "") for d, t in [(1, a), (5, a + " tail"), (5, b), (7, b + " tail")]]
+    out = minhash.near_duplicates(table(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in out) == [(1, 1, True), (5, 1, False), (5, 5, True), (7, 5, False)]
+
+
 def test_empty_table(spark):
     assert minhash.near_duplicates(table(spark, [])).collect() == []
 

@@ -51,6 +51,25 @@ def test_near_stage(staged):
     assert sorted(staged[3]) == [r for i, r in enumerate(given) if first[i] == i]
 
 
+def test_near_stage_decides_per_row(spark):
+    """Null and repeated doc_ids: no text goes that is no near duplicate of one that stays."""
+    text = {c: " ".join(f"{c}{i}" for i in range(40)) for c in "abcdefg"}
+    near = {c: t + " tail" for c, t in text.items()}
+    rows = [
+        (1, text["a"]), (5, near["a"]), (5, text["b"]), (7, near["b"]),  # 5 holds a near duplicate of 1 and b's first text
+        (8, text["c"]), (8, near["c"]), (9, text["d"]), (9, text["d"]),  # near and equal texts under one doc_id
+        (None, text["e"]), (None, text["e"].upper()), (None, text["f"]), (None, text["a"]),  # only the last has an equal with doc_id
+        (3, text["g"]), (3, text["g"] + " x y z"),
+    ]
+    docs = table(spark, [(d, t, "en", "ba"[i % 2], len(t), "r", 1, "d", 2, "s", 3, "i") for i, (d, t) in enumerate(rows)])
+    got = corpus_pipeline.near_dedup(spark, docs.repartition(5), SF).collect()
+    again = corpus_pipeline.near_dedup(spark, docs.repartition(2).orderBy("text"), SF).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+    have = sorted((r["doc_id"] or 0, r["text"].split()[0].lower()) for r in got)
+    assert have == [(0, "e0"), (0, "f0"), (1, "a0"), (3, "g0"), (5, "b0"), (8, "c0"), (9, "d0")]
+    assert [r["source"] for r in got if r["doc_id"] == 9] == ["a"]  # of equal rows the least
+
+
 def test_mix_stage(spark, staged):
     docs = spark.createDataFrame(staged[3], spark.read.parquet(f"{SF}/documents.parquet").schema)
     copies = {r["doc_id"]: r["copies"] for r in mixing.mixed(docs).collect()}
