@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fareframe.functions.weather import fog_flag
@@ -37,6 +38,8 @@ SCREENED = (
 )
 COMMONLY_REDUNDANT = ("trip_duration_minutes", "avg_speed_mph", *FARE_METRIC_COLUMNS)
 EARLY_DROPS = (*ID_COLUMNS, *FEE_COLUMNS, *FARE_METRIC_COLUMNS)
+# Neighbouring tasks whose moments are merged at a time.
+FAN_IN = 256
 # Squared relative spread below which a column counts as constant.
 CONSTANT = 1e-24
 
@@ -116,12 +119,35 @@ def _merged(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> dict[str, np.
     }
 
 
+def merge_moments(parts: DataFrame) -> DataFrame:
+    """Moments (a, b, n, ma, mb, va, vb, c) of each pair from those of its tasks.
+
+    Up to ``FAN_IN`` neighbouring tasks are merged at a time, then those results again, so that no group holds many rows
+    however many tasks there were. Means are merged by their gap, without the cancellation of plain sums of squares.
+    """
+    names = ["n", "ma", "mb", "va", "vb", "c"]
+
+    def both(x: Column, y: Column) -> Column:
+        n = x["n"] + y["n"]
+        ga, gb, share = y["ma"] - x["ma"], y["mb"] - x["mb"], y["n"] / n
+        weight = x["n"] * share
+        merged = [n, x["ma"] + ga * share, x["mb"] + gb * share, x["va"] + y["va"] + ga * ga * weight, x["vb"] + y["vb"] + gb * gb * weight, x["c"] + y["c"] + ga * gb * weight]
+        return F.struct(*[m.alias(k) for m, k in zip(merged, names, strict=True)])
+
+    for keys in (["a", "b", F.floor(F.col("task") / FAN_IN).alias("task")], ["a", "b"]):
+        listed = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("task", *names))).alias("of"))
+        rest = F.transform(F.slice("of", 2, FAN_IN * FAN_IN), lambda x: F.struct(*[x[k].alias(k) for k in names]))
+        first = F.struct(*[F.col("of")[0][k].alias(k) for k in names])
+        parts = listed.withColumn("of", F.aggregate(rest, first, both)).select(*[c for c in listed.columns if c != "of"], "of.*")
+    return parts
+
+
 def correlations(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every column pair over all rows, as ``(a, b, r)``.
 
     A pair uses the rows where both are present; a constant column gives null. Each task reduces
     its Arrow batches to one moment matrix, so any number of columns takes one scan and shuffles
-    one row per pair and task. Built-in aggregates would keep three buffers per pair and row.
+    one row per pair and task, which are merged in a tree. Built-in aggregates would keep three buffers per pair and row.
     """
     names = list(cols or numeric_columns(df))
     if len(names) < 2:
@@ -138,6 +164,7 @@ def correlations(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
             fields = {
                 "a": [names[i] for i in rows],
                 "b": [names[j] for j in others],
+                "task": [TaskContext.get().partitionId()] * len(rows),
                 "n": total["n"][rows, others],
                 "ma": total["mean"][rows, others],
                 "mb": total["mean"][others, rows],
@@ -148,24 +175,11 @@ def correlations(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
             yield pa.RecordBatch.from_pydict(fields)
 
     parts = df.select([F.col(c).cast("double").alias(c) for c in names]).mapInArrow(
-        reduce_task, "a string, b string, n double, ma double, mb double, va double, vb double, c double"
-    )
-    # One row per pair and task meets here.
-    pair = Window.partitionBy("a", "b")
-    n, weight = F.col("n"), F.sum("n").over(pair)
-    known = parts.where(n > 0).withColumns(
-        {"da": F.col("ma") - F.sum(n * F.col("ma")).over(pair) / weight,
-         "db": F.col("mb") - F.sum(n * F.col("mb")).over(pair) / weight}
-    )
-    sums = known.groupBy("a", "b").agg(
-        F.sum(F.col("va") + n * F.col("da") * F.col("da")).alias("va"),
-        F.sum(F.col("vb") + n * F.col("db") * F.col("db")).alias("vb"),
-        F.sum(F.col("c") + n * F.col("da") * F.col("db")).alias("c"),
-        F.sum(n * F.col("ma") * F.col("ma")).alias("ma2"),
-        F.sum(n * F.col("mb") * F.col("mb")).alias("mb2"),
+        reduce_task, "a string, b string, task long, n double, ma double, mb double, va double, vb double, c double"
     )
+    sums = merge_moments(parts.where("n > 0"))
     # A spread at rounding level is that of a constant column.
-    varies = (F.col("va") > F.col("ma2") * CONSTANT) & (F.col("vb") > F.col("mb2") * CONSTANT)
+    varies = (F.col("va") > F.col("n") * F.col("ma") * F.col("ma") * CONSTANT) & (F.col("vb") > F.col("n") * F.col("mb") * F.col("mb") * CONSTANT)
     return sums.select("a", "b", F.when(varies, F.col("c") / F.sqrt(F.col("va") * F.col("vb"))).alias("r"))
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fareframe.functions.numbers import equal_width_bin
+from fareframe.operators.sizing import small_side
+from fareframe.sources.scratch import scratch_dir
 
 # Cells per unit of the natural logarithm, the magnitude below which cells are of equal width, and the parts of a cell.
 CELLS = 512
@@ -50,37 +52,37 @@ def _same(keys: Sequence[str]) -> Column:
     return out
 
 
-def neighbours(df: DataFrame, cols: Sequence[str], ps: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """The two order statistics around each quantile: ``(*by, column, p, low, high, part)``.
-
-    The quantile is ``low + (high - low) * part``, within each group of the ``by`` columns. A group and column without
-    values gives no rows.
-    """
+def _checked(ps: Sequence[float]) -> list[float]:
     ps = sorted({float(p) for p in ps})
     if not ps or ps[0] < 0 or ps[-1] > 1:
         raise ValueError("quantile probabilities must lie in [0, 1]")
-    keys = [*by, "column"]
-    long = _long(df, cols, by).withColumn("cell", cell_of(F.col("value")))
-    cells = long.groupBy(*keys, "cell").agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most")
-    )
-    # The number of cells is bounded by CELLS, not by the rows.
+    return ps
+
+
+def wanted_cells(cells: DataFrame, ps: Sequence[float], keys: Sequence[str]) -> DataFrame:
+    """The cells that hold an order statistic of a quantile, with the rows ``before`` them and the ``total``.
+
+    ``cells`` has (keys, cell, n, least, most), one row per group and cell; their number is bounded by CELLS.
+    """
     group = Window.partitionBy(*keys)
-    cells = cells.withColumns(
-        {"before": F.sum("n").over(group.orderBy("cell")) - F.col("n"), "total": F.sum("n").over(group)}
-    )
-    ranks = [f(_rank(p, F.col("total"))) for p in ps for f in (F.floor, F.ceil)]
+    cells = cells.withColumns({"before": F.sum("n").over(group.orderBy("cell")) - F.col("n"), "total": F.sum("n").over(group)})
     wanted = F.lit(False)
-    for r in ranks:
-        wanted = wanted | ((F.col("before") <= r) & (r < F.col("before") + F.col("n")))
-    wanted = cells.where(wanted)
-    open_ = wanted.where("least < most").select(
-        *[F.col(k).alias(f"_{k}") for k in [*keys, "cell"]], "least", "most", "before", "total"
-    )
-    # Without groups there are at most two cells per quantile and column.
-    inside = long.join(open_ if by else F.broadcast(open_), _same(keys) & (F.col("cell") == F.col("_cell")))
+    for p in ps:
+        for r in (F.floor(_rank(p, F.col("total"))), F.ceil(_rank(p, F.col("total")))):
+            wanted = wanted | ((F.col("before") <= r) & (r < F.col("before") + F.col("n")))
+    return cells.where(wanted)
+
+
+def order_statistics(wanted: DataFrame, values: DataFrame, ps: Sequence[float], keys: Sequence[str], hint=lambda df: df) -> DataFrame:
+    """(keys, p, low, high, part) from the wanted cells and the values (keys, cell, value, n) of at least those cells.
+
+    A value may come in several rows. Only the rows of cells with more than one value are looked up; ``hint`` may
+    broadcast the cells.
+    """
+    open_ = wanted.where("least < most").select(*[F.col(k).alias(f"_{k}") for k in [*keys, "cell"]], "least", "most", "before", "total")
+    inside = values.join(hint(open_), _same(keys) & (F.col("cell") == F.col("_cell")))
     part = F.floor((F.col("value") - F.col("least")) / (F.col("most") - F.col("least")) * PARTS).cast("long")
-    counts = inside.groupBy(*keys, "cell", "before", "total", part.alias("sub"), "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = inside.groupBy(*keys, "cell", "before", "total", part.alias("sub"), "value").agg(F.sum("n").alias("n"))
     subs = counts.groupBy(*keys, "cell", "before", "sub").agg(F.sum("n").alias("n"))
     run = Window.partitionBy(*keys, "cell").orderBy("sub")
     subs = subs.select(
@@ -110,12 +112,36 @@ def neighbours(df: DataFrame, cols: Sequence[str], ps: Sequence[float], by: Sequ
     return picked.select(*keys, F.inline(F.array(*[around(i, p) for i, p in enumerate(ps)])))
 
 
+def neighbours(df: DataFrame, cols: Sequence[str], ps: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """The two order statistics around each quantile: ``(*by, column, p, low, high, part)``.
+
+    The quantile is ``low + (high - low) * part``, within each group of the ``by`` columns. A group and column without
+    values gives no rows. With groups, the wanted cells are found by a job at once and stored: there are at most two per
+    group, column and quantile, their size in bytes is then known, and while it fits they are broadcast, so that no row
+    of ``df`` is shuffled in the second pass.
+    """
+    ps, keys = _checked(ps), [*by, "column"]
+    long = _long(df, cols, by).withColumn("cell", cell_of(F.col("value")))
+    cells = long.groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+    wanted = wanted_cells(cells, ps, keys)
+    if by:
+        folder = scratch_dir(df.sparkSession, "quantile-cells")
+        wanted.write.parquet(folder)
+        wanted = df.sparkSession.read.schema(wanted.schema).parquet(folder)
+    values = long.withColumn("n", F.lit(1).cast("long"))
+    return order_statistics(wanted, values, ps, keys, hint=small_side if by else F.broadcast)
+
+
 def quantiles(df: DataFrame, cols: Sequence[str] | str, ps: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Exact quantiles with linear interpolation, as rows ``(*by, column, p, value)``.
 
     Null values are ignored. A group and column without values gives no rows.
     """
     found = neighbours(df, [cols] if isinstance(cols, str) else list(cols), ps, by)
+    return interpolated(found, by)
+
+
+def interpolated(found: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     between = F.col("low") + (F.col("high") - F.col("low")) * F.col("part")
     return found.select(*by, "column", "p", between.alias("value"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fareframe.functions.calendar import is_rush
 from fareframe.functions.numbers import distance_band, flag, precip_bin, temp_bin, wind_bin
+from fareframe.operators import halo
 
 Z95 = 1.96
 
@@ -184,21 +185,46 @@ def share_rate(df: DataFrame, condition: Column, out: str = "share_rate") -> Dat
 def n_distinct(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Distinct counts of several columns, from one scan; a column without values counts 0.
 
-    All columns are reduced to their distinct values together, so a hot value costs one row per task.
+    All columns are reduced to their distinct values together, so a hot value costs one row per task. Values are
+    compared as text; of floating-point columns both zeros count as one, as in ``count(distinct)``.
     """
-    values = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], list(cols), "column", "v")
+    floating = {c for c, t in df.dtypes if t in ("float", "double")}
+
+    def text(c: str) -> Column:
+        value = F.when(F.col(c) == 0, F.lit(0.0).cast(df.schema[c].dataType)).otherwise(F.col(c)) if c in floating else F.col(c)
+        return value.cast("string").alias(c)
+
+    values = df.select(*[text(c) for c in cols]).unpivot([], list(cols), "column", "v")
     return values.distinct().groupBy("column").agg(F.count("v").alias("n_distinct"))
 
 
+def value_bitmaps(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(*by, column, bucket, bits) of whole-number columns: which values occur, as bitmaps of 32,768 values each.
+
+    Tasks combine bits before they are shuffled, and bitmaps of parts are joined by ``distinct_of_bitmaps``. Null sets
+    no bit.
+    """
+    long = df.select(*by, *[F.col(c).cast("bigint").alias(c) for c in cols]).unpivot(list(by), list(cols), "column", "v").where("v is not null")
+    bucket = F.bitmap_bucket_number("v").alias("bucket")
+    return long.groupBy(*by, "column", bucket).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits"))
+
+
+def distinct_of_bitmaps(bitmaps: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, column, n_distinct): exact distinct counts over all parts of a group; a column without values has no row."""
+    joined = bitmaps.groupBy(*by, "column", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    return joined.groupBy(*by, "column").agg(F.sum(F.bitmap_count("bits")).alias("n_distinct"))
+
+
 def pct_vs_baseline(
     profile: DataFrame, hour: str = "pickup_hour", value: str = "mean", lo: int = 2, hi: int = 5, by: Sequence[str] = ()
 ) -> DataFrame:
     """Percent change against the unweighted mean of the profile's off-peak hours.
 
-    Takes an hourly profile, so the window holds 24 rows per ``by``.
+    Takes an hourly profile, so a window holds 24 rows per ``by``. Without ``by`` the mean is a scalar of its own and
+    the rows stay where they are.
     """
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    base = F.avg(F.when(F.col(hour).between(lo, hi), F.col(value))).over(group)
+    off_peak = F.when(F.col(hour).between(lo, hi), F.col(value))
+    base = F.avg(off_peak).over(Window.partitionBy(*by)) if by else profile.agg(F.avg(off_peak)).scalar()
     return profile.withColumn("baseline", base).withColumn(
         "pct_vs_offpeak", F.when(F.col("baseline") != 0, (F.col(value) / F.col("baseline") - 1.0) * 100.0)
     )
@@ -236,16 +262,19 @@ def circular_mean(df: DataFrame, part: Sequence[str], order: str, cols: Sequence
     )
 
 
-def centred_mean(df: DataFrame, order: str, value: str, width: int = 30, part: Sequence[str] = ()) -> DataFrame:
+def centred_mean(df: DataFrame, order: str, value: str, width: int = 30, part: Sequence[str] = (), block: int = halo.BLOCK) -> DataFrame:
     """Centred rolling mean over rows; null unless the whole window holds values.
 
-    An even width reaches one row further back than ahead. For daily series, one row per date.
+    An even width reaches one row further back than ahead. Without ``part`` the rows are one series, cut into blocks in
+    order that carry their neighbours' border rows along (``halo.in_blocks``).
     """
     back, ahead = width // 2, (width - 1) // 2
-    group = Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))
-    frame = group.orderBy(order).rowsBetween(-back, ahead)
-    full = F.count(value).over(frame) == width
-    return df.withColumn(f"{value}_rolling", F.when(full, F.avg(value).over(frame)))
+
+    def smooth(rows: DataFrame, group: Sequence[str], by: str) -> DataFrame:
+        frame = Window.partitionBy(*group).orderBy(by).rowsBetween(-back, ahead)
+        return rows.withColumn(f"{value}_rolling", F.when(F.count(value).over(frame) == width, F.avg(value).over(frame)))
+
+    return smooth(df, part, order) if part else halo.in_blocks(df, order, back, ahead, smooth, block)
 
 
 def temporal_insights(df: DataFrame) -> DataFrame:

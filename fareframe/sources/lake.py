@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fareframe.operators.setops import schema_drift
+from fareframe.sources import footers
+from fareframe.sources.footers import path_exists
+from fareframe.sources.scratch import scratch_dir  # noqa: F401  callers take it from here
 
 # Month path layouts, in order of preference.
 MONTH_PATTERNS = (
@@ -19,14 +20,6 @@ MONTH_PATTERNS = (
 )
 
 
-def path_exists(spark: SparkSession, pattern: str) -> bool:
-    """True when a path or glob matches, asked of the file system itself."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    return found is not None and len(found) > 0
-
-
 def first_existing(spark: SparkSession, patterns: Sequence[str]) -> str:
     for pattern in patterns:
         if path_exists(spark, pattern):
@@ -151,9 +144,8 @@ def read_thresholds(spark: SparkSession, path: str) -> dict[str, tuple[float, fl
 
 
 def lake_schema_drift(spark: SparkSession, paths: dict[str, str], expected: Sequence[str]) -> DataFrame:
-    """Missing and extra columns of each named path against the expected ones."""
-    schemas = {part: read_parquet_tree(spark, path).columns for part, path in paths.items()}
-    return schema_drift(spark, schemas, expected)
+    """Missing and extra columns of each named path against the expected ones, in any of its files, from their footers."""
+    return footers.drift(footers.read_footers(spark, paths), expected).select("part", "missing", "extra")
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -162,14 +154,3 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
-
-
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder name under the session's shared checkpoint folder, or under its warehouse where that is unset.
-
-    Every session has a warehouse folder, and all machines of a cluster share it.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/fareframe-scratch"
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,6 +2,6 @@
 
 from workbook.registry import ORACLE, QUERIES
 
-from workbook import builds, clean, geography, learning, profiles, quality, storage, temporal, weather  # noqa: E402,F401
+from workbook import builds, clean, geography, learning, profiles, quality, state, storage, temporal, weather  # noqa: E402,F401
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -4,20 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fareframe.operators.joins import join_od
 from fareframe.operators.order_stats import quantiles
-from fareframe.operators.zones import add_trip_flags
+from fareframe.operators.zones import add_cbd_flags, add_trip_flags
 from fareframe.plans import external, ingest
 from fareframe.sources import dims, lake
 from workbook import views as V
 from workbook.registry import query, rounded
 
 
-@query("q_build_spatial", "SELECT count(*) * count(*) AS pairs, count(*) * count(*) AS listed, count(*) FILTER (n_nationkey % 4 = 0) * count(*) AS from_cbd FROM nation")
+@query(
+    "q_build_spatial",
+    f"""WITH {V.RAW_SQL}, {V.ZONES_SQL} SELECT p.in_cbd AS "PU_in_cbd", d.in_cbd AS "DO_in_cbd", p.Borough <> d.Borough AS is_cross_borough, count(*) AS n,
+    (SELECT count(*) * count(*) FROM zones) AS listed
+    FROM raw JOIN zones p ON PULocationID = p.LocationID JOIN zones d ON DOLocationID = d.LocationID GROUP BY 1, 2, 3""",
+)
 def spatial(spark, sf):
+    """The built lookup, joined to the raw trips."""
     path = lake.scratch_dir(spark, "od")
     od = external.build_spatial(V.zones(spark, sf), V.cbd_zones(spark, sf), path)
     listed = spark.read.json(f"{path}_manifest").select("rows").scalar()
-    return od.agg(F.count(F.lit(1)).alias("pairs"), F.sum("PU_in_cbd").cast("bigint").alias("from_cbd")).withColumn("listed", listed)
+    trips = join_od(V.raw_trips(spark, sf), od)
+    return trips.groupBy("PU_in_cbd", "DO_in_cbd", "is_cross_borough").agg(F.count(F.lit(1)).alias("n")).withColumn("listed", listed)
 
 
 HOLIDAY_SQL = ", ".join(f"DATE '{d}'" for d, _ in V.HOLIDAYS)
@@ -72,23 +80,34 @@ def backfill(spark, sf):
 
 @query(
     "q_ingest_each",
-    f"""WITH {V.RAW_SQL} SELECT 1997 AS year, 'success' AS status, count(*) AS rows FROM raw WHERE year(pickup_datetime) = 1997
-    UNION ALL SELECT 1890, 'failed', NULL""",
+    f"""WITH {V.RAW_SQL}, months AS (SELECT CAST(y AS INTEGER) AS year, CAST(m AS INTEGER) AS month FROM range(1995, 2002) a(y), range(1, 13) b(m)),
+    r AS (SELECT year(pickup_datetime) AS year, month(pickup_datetime) AS month, count(*) AS n, CAST(sum(CAST(round(driver_pay * 10000) AS BIGINT)) AS BIGINT) AS pay FROM raw GROUP BY 1, 2)
+    SELECT m.year, m.month, CASE WHEN n IS NULL THEN 'failed' ELSE 'success' END AS status, n AS "rows", pay
+    FROM months m LEFT JOIN r ON r.year = m.year AND r.month = m.month""",
 )
 def each(spark, sf):
-    """A missing month fails alone."""
+    """Every month of seven years from a folder of its own; months without one fail alone, and all others are published."""
     base, path = lake.scratch_dir(spark, "months"), lake.scratch_dir(spark, "lake")
-    V.raw_trips(spark, sf).where("year(pickup_datetime) = 1997").write.parquet(f"{base}/there")
-    states = ingest.ingest_each(spark, {(1997, 1): f"{base}/there", (1890, 1): f"{base}/gone"}, path)
-    return spark.createDataFrame([(s["year"], s["status"], s.get("rows")) for s in states], "year int, status string, rows bigint")
+    raw = V.raw_trips(spark, sf).withColumns({"year": F.year("pickup_datetime"), "month": F.month("pickup_datetime")})
+    lake.write_partitioned(raw, base)
+    states = ingest.ingest_each(spark, {(y, m): f"{base}/year={y}/month={m}" for y in range(1995, 2002) for m in range(1, 13)}, path)
+    told = spark.createDataFrame([(s["year"], s["month"], s["status"], s.get("rows")) for s in states], "year int, month int, status string, rows bigint")
+    pay = lake.read_lake(spark, path).groupBy("year", "month").agg(F.sum(F.round(F.col("driver_pay") * 10000).cast("bigint")).alias("pay"))
+    return told.join(pay, ["year", "month"], "left")
 
 
-@query("q_flag_dim", "SELECT n_nationkey AS LocationID, 1 AS in_cbd FROM nation WHERE n_nationkey % 4 = 0")
+@query(
+    "q_flag_dim",
+    f"""WITH {V.RAW_SQL} SELECT CASE WHEN PULocationID % 4 = 0 THEN 1 ELSE 0 END AS "PU_in_cbd",
+    CASE WHEN DOLocationID % 4 = 0 THEN 1 ELSE 0 END AS "DO_in_cbd", count(*) AS n FROM raw GROUP BY 1, 2""",
+)
 def flag_dim(spark, sf):
+    """Raw trips flagged by a mapping read from CSV files with repeated rows."""
     path = lake.scratch_dir(spark, "flags")
     zones = V.zones(spark, sf).select("LocationID", F.when(F.col("LocationID") % 4 == 0, 1).otherwise(0).alias("in_cbd"))
     zones.unionByName(zones).write.option("header", True).csv(path)
-    return dims.read_flag_dim(spark, path)
+    flagged = add_cbd_flags(V.raw_trips(spark, sf), dims.read_flag_dim(spark, path))
+    return flagged.groupBy("PU_in_cbd", "DO_in_cbd").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -307,15 +307,6 @@ def duplicates(spark, sf):
     return setops.duplicate_keys(V.table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("q_schema_drift", """SELECT 'lineitem' AS part, 'l_unknown' AS missing,
-    'l_discount,l_extendedprice,l_linestatus,l_returnflag,l_shipdate,l_suppkey,l_tax' AS extra, count(*) AS "rows" FROM lineitem""")
-def drift(spark, sf):
-    li = V.table(spark, sf, "lineitem")
-    expected = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_unknown"]
-    table = setops.schema_drift(spark, {"lineitem": li.columns}, expected)
-    return table.withColumn("rows", li.agg(F.count(F.lit(1))).scalar())
-
-
 def _in_sample(keys: str, fraction: str, seed: int = 0) -> str:
     """The sampling rule of ``in_hash_sample`` in SQL; ``keys`` is a list of text columns."""
     digits = f"substr(md5(concat_ws('|', '{seed}', {keys})), 1, 15)"
@@ -467,11 +458,26 @@ def screen(spark, sf):
     "q_n_distinct",
     f"""WITH {V.RAW_SQL} SELECT 'PULocationID' AS "column", count(DISTINCT PULocationID) AS n_distinct FROM raw
     UNION ALL SELECT 'trip_time', count(DISTINCT trip_time) FROM raw
-    UNION ALL SELECT 'trip_key', count(DISTINCT trip_key) FROM raw""",
+    UNION ALL SELECT 'trip_key', count(DISTINCT trip_key) FROM raw
+    UNION ALL SELECT 'signed', count(DISTINCT CASE WHEN trip_miles > 5 THEN trip_miles ELSE 0 END) FROM raw""",
 )
 def distinct_counts(spark, sf):
     raw = V.raw_trips(spark, sf).withColumns({c: F.col(c).cast("bigint") for c in ("PULocationID", "trip_time", "trip_key")})
-    return profile.n_distinct(raw, ["PULocationID", "trip_time", "trip_key"])
+    zero = F.when(F.col("trip_time") % 2 == 0, F.lit(0.0)).otherwise(F.lit(-0.0))
+    raw = raw.withColumn("signed", F.when(F.col("trip_miles") > 5, F.col("trip_miles")).otherwise(zero))
+    return profile.n_distinct(raw, ["PULocationID", "trip_time", "trip_key", "signed"])
+
+
+@query(
+    "q_bitmap_distinct",
+    f"""WITH {V.RAW_SQL} SELECT provider_code, 'trip_key' AS "column", count(DISTINCT trip_key) AS n_distinct FROM raw GROUP BY 1
+    UNION ALL SELECT provider_code, 'shifted', count(DISTINCT trip_time - 1000) FROM raw GROUP BY 1""",
+)
+def bitmap_distinct(spark, sf):
+    """Negative values too, and one bitmap of all parts of a provider's trips."""
+    raw = V.raw_trips(spark, sf).withColumn("shifted", F.col("trip_time") - 1000)
+    parts = profile.value_bitmaps(raw, ["trip_key", "shifted"], by=["provider_code", "PULocationID"])
+    return profile.distinct_of_bitmaps(parts, by=["provider_code"])
 
 
 @query(
