@@ -97,9 +97,9 @@ def month_bounds(df: DataFrame, s: Settings) -> DataFrame:
 
 
 def build(src: Sources, settings: Settings | None = None) -> Mart:
-    """The mart of all months in ``src.trips`` as lazy frames. No job runs before they are written.
+    """The mart of all months in ``src.trips`` as lazy frames; the clipping bounds alone are found and stored at once.
 
-    The raw trips are read for the funnel, twice for the bounds, and for the mart itself, whatever the number of months.
+    The raw trips are read twice for the bounds, for the funnel, and for the mart itself, whatever the number of months.
     """
     s = settings or Settings()
     funnel = quality.removal_funnel(src.trips, s.provider_col, s.provider, sampled=sample_of(s))
@@ -107,7 +107,10 @@ def build(src: Sources, settings: Settings | None = None) -> Mart:
     bounds = None
     if s.winsorize:
         # One row per month.
-        bounds = month_bounds(df, s)
+        folder = scratch_dir(df.sparkSession, "month-bounds")
+        found = month_bounds(df, s)
+        found.write.parquet(folder)
+        bounds = df.sparkSession.read.schema(found.schema).parquet(folder)
         bounded = df.join(F.broadcast(bounds), ["year", "month"], "left")
         limits = F.struct(F.col("winsor_low").alias("lo"), F.col("winsor_high").alias("hi"))
         df = winsorize_commission(bounded, limits).drop("winsor_low", "winsor_high")
@@ -143,16 +146,18 @@ def _stage(run: Run, src: Sources, months: Sequence[tuple[int, int]], s: Setting
     If the job fails, the months are staged in halves, so that what breaks one of them is found in a few more jobs.
     """
     spark = src.trips.sparkSession
-    mart = build(replace(src, trips=src.trips.where(_chosen(months))), s)
-    problems = quality.check_mart(mart.trips, REQUIRED_OUTPUT, UNWANTED_OUTPUT)
-    if problems["missing"] or problems["unwanted"]:
-        raise ValueError(f"mart columns are wrong: {problems}")
     try:
+        mart = build(replace(src, trips=src.trips.where(_chosen(months))), s)
+        problems = quality.check_mart(mart.trips, REQUIRED_OUTPUT, UNWANTED_OUTPUT)
+        if problems["missing"] or problems["unwanted"]:
+            raise ValueError(f"mart columns are wrong: {problems}")
         folder = scratch_dir(spark, "removal-summary")
         mart.funnel.write.parquet(folder)
         run.stage(mart.trips)
         return [(mart, spark.read.parquet(folder))], {}
     except (PySparkException, Py4JJavaError) as error:
+        if isinstance(error, (AnalysisException, ValueError)):  # the plan, not a month
+            raise
         if len(months) == 1:
             return [], {months[0]: str(getattr(error, "java_exception", error)).splitlines()[0]}
     done, failed = [], {}

@@ -166,10 +166,16 @@ def _sources(spark, sf):
 
 def _outcome(spark, sf, **settings):
     """States of a batch over all month folders, with every external feature; the mart's folder and that of its reports."""
+    base = lake.scratch_dir(spark, "features")
+
+    def stored(name, df):
+        df.write.parquet(f"{base}/{name}")
+        return lake.load_features(spark, base, name)
+
+    od = build_od_features(V.zones(spark, sf), V.cbd_zones(spark, sf), airports=None, borough=V.BOROUGH)
     features = mart.Sources(
-        zones=V.zones(spark, sf), od=build_od_features(V.zones(spark, sf), V.cbd_zones(spark, sf), airports=None, borough=V.BOROUGH),
-        calendar=V.calendar(spark, sf), weather=V.daily_weather(spark, sf),
-    )
+        zones=V.zones(spark, sf), od=stored("od", od), calendar=stored("calendar", V.calendar(spark, sf)), weather=stored("weather", V.daily_weather(spark, sf))
+    )
     path, reports = lake.scratch_dir(spark, "mart"), lake.scratch_dir(spark, "mart-reports")
     states = mart.run_months(spark, _sources(spark, sf), path, features, mart.Settings(provider="N", **settings), reports=reports)
     table = spark.createDataFrame([(s["year"], s["month"], s["status"], s.get("rows")) for s in states], "year int, month int, status string, n bigint")
