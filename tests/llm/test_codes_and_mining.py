@@ -6,12 +6,12 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fareframe.llm import collocations, secret_scan, vector_codes
-from tests.llm import brute
 
 VECTORS = "vec_id long, embedding array<float>, label int, q string, codes int, error string, part int, row_kind string"
 
