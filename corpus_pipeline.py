@@ -16,15 +16,21 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents of a known language: those without text or letters (``und``) go.
+    """Rejects documents of no language: those without text or letters. A null lang becomes the predicted one.
 
-    The profiles are learned from all labelled documents at hand. Without any label nothing can be told apart, and
-    every document goes.
+    The profiles are learned from all labelled documents at hand. Without any label nothing can be told apart: every
+    document with letters stays, and its lang stays null. Labels that are there are left alone.
     """
     own = docs.columns
     profiles = language.learn(docs)
-    tagged = language.predict(docs.select(F.struct(*own).alias("row"), "text"), profiles)
-    return tagged.where(F.col("lang_pred") != language.UNKNOWN).select("row.*")
+    if not profiles.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    # By place, so that no column of the documents clashes with those of the prediction.
+    places = [f"c{i}" for i in range(len(own))]
+    tagged = language.predict(docs.toDF(*places), profiles, column=places[own.index("text")])
+    known = tagged.where(F.col("lang_pred") != language.UNKNOWN)
+    filled = {"lang": F.coalesce(F.col(places[own.index("lang")]), F.col("lang_pred"))}
+    return known.select(*[filled.get(c, F.col(p)).alias(c) for c, p in zip(own, places, strict=True)])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
