@@ -25,11 +25,9 @@ def _doubled(names: Column, gap: int, size: Column) -> Column:
 def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, digest (MD5 of the text), gone (array<int>): the lines, from 0, of later copies of repeated runs.
 
-    The suffixes of the line sequences are named by prefix doubling: a line's name is its digest, and the name of a
-    window of 2k lines is made from the names of its halves. Names are 128-bit digests rather than ranks, so a round
-    needs no sort of the corpus: equal names are what ranks are used for. Windows of ``min_lines`` lines with equal
-    names are an interval of suffixes whose longest common prefix is at least that long; the maximal repeated runs are
-    the unions of their windows. The first of each interval, in the order of doc_id and line, stays.
+    Windows of ``min_lines`` lines are named by 128-bit digests made from those of their halves, and a run is repeated
+    where a window's name occurs more than once: fixed windows stand in place of a suffix array, so neither ranks nor
+    common prefix lengths are made. The first window of each name, in the order of doc_id and line, stays.
     """
     if min_lines < 1:
         raise ValueError("min_lines must be at least 1")

@@ -1,4 +1,4 @@
-"""Removes repeated word passages, over prefix-partitioned suffix trees."""
+"""Removes repeated word passages, found at locally chosen grams of words."""
 
 from __future__ import annotations
 
@@ -46,10 +46,9 @@ def _strip(unit: Unit):
 def drop_repeated_words(docs: DataFrame, unit: Unit = UNIT) -> DataFrame:
     """doc_id, n_words, n_removed, kept: the words outside every repeated window, joined by one blank.
 
-    Suffixes are dealt out by the hash of their prefix, a locally chosen gram of words; a group whose prefix is too
-    common for one task is split by the longer prefix, the whole window. Within a group the suffixes stand in order,
-    which is the subtree below that prefix: neighbours that share a whole span, and windows that occur twice, are its
-    internal nodes of depth ``unit.width`` or more.
+    Suffixes at locally chosen grams of words are dealt out by the gram's hash; a group that is too large for one task is
+    split by the hash of the whole window. Within a group, neighbours that share a window are found by comparing hashes.
+    This hash scan stands in place of a suffix tree: no letter order and no common prefix lengths are made.
 
     Words are runs of other characters than the six ASCII blanks, unchanged. Defined cases: null or blank text has no
     words; a text of fewer words loses nothing; rows that repeat, doc_id included, are copies of one another and go as
