@@ -69,16 +69,20 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Fails at run time on a repeated key, so that a join cannot fan rows out.
 
-    Aggregates to one row per key; meant for dimensions.
+    Aggregates to one row per key; meant for dimensions. A key with a null can't match in a join, so repeats of one are
+    no fault; one row of them stays.
     """
     others = [c for c in df.columns if c not in keys]
     message = F.concat_ws("=", F.lit("repeated key " + ",".join(keys)), *[F.col(k).cast("string") for k in keys])
     grouped = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.first(F.struct(F.lit(0).alias("_"), *others)).alias("_row")
     )
+    matches = F.lit(True)
+    for k in keys:
+        matches = matches & F.col(k).isNotNull()
     # The check sits inside every kept column, so that column pruning cannot remove it.
     checked = {
-        c: F.when(F.col("_n") > 1, F.raise_error(message).cast(df.schema[c].dataType)).otherwise(F.col("_row")[c])
+        c: F.when((F.col("_n") > 1) & matches, F.raise_error(message).cast(df.schema[c].dataType)).otherwise(F.col("_row")[c])
         for c in others
     }
     return grouped.select(*keys, *[col.alias(c) for c, col in checked.items()]).select(*df.columns)

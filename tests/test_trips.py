@@ -169,6 +169,8 @@ def test_unions_dedupe_and_keys(spark):
     with pytest.raises(Exception, match="repeated key"):
         setops.require_unique(a, ["k"]).collect()
     assert setops.require_unique(a.where("v = 'x'"), ["k"]).collect() == [(1, "x")]
+    blank = spark.createDataFrame([(None, "x"), (None, "y"), (2, "z")], "k int, v string")
+    assert sorted(r.v for r in setops.require_unique(blank, ["k"]).collect() if r.k is not None) == ["z"]
 
 
 def test_dedupe_hot_key_matches_brute_force(spark):
