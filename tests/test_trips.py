@@ -273,3 +273,17 @@ def test_summaries_and_contract(spark):
     stats = quality.basic_stats(df, ["v"]).first()
     assert (stats["n"], stats["mean"], stats["min"], stats["max"]) == (101, 50.0, 0.0, 100.0)
     assert tuple(quality.extent(df, "v").first()) == (0.0, 100.0, 101)
+
+
+def test_exact_sample_sizes(spark):
+    df = spark.range(5000).selectExpr("id", "case when id % 50 = 0 then null when id % 7 = 0 then 'a' else 'b' end as g").repartition(5)
+    one = sampling.sample_n(df, 137, ["id"])
+    assert one.columns == df.columns and one.distinct().count() == 137
+    ordered = df.orderBy(sampling.sample_hash(["id"], 42), "id").limit(137)
+    assert {r.id for r in one.collect()} == {r.id for r in ordered.collect()}
+    sizes = {r.g: r["count"] for r in sampling.sample_n_by(df, 150, "g", ["id"]).groupBy("g").count().collect()}
+    assert sizes == {None: 100, "a": 150, "b": 150}
+    assert {r.g: r["count"] for r in sampling.sample_n_by(df, {"a": 9, "z": 4}, "g", ["id"]).groupBy("g").count().collect()} == {"a": 9}
+    assert sampling.sample_n(df, 0, ["id"]).count() == 0 and sampling.sample_n(df.limit(0), 5, ["id"]).count() == 0
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" not in plan

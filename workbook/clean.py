@@ -338,6 +338,17 @@ def bernoulli(spark, sf):
     return both.select(near.alias("within_5_sigma"), (~F.col("foreign")).alias("from_table"))
 
 
+@query(
+    "q_sample_n_by",
+    """SELECT o_orderpriority, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority
+    ORDER BY substr(md5(concat_ws('|', '7', o_orderkey::VARCHAR)), 1, 15), o_orderkey) <= CASE o_orderpriority WHEN '1-URGENT' THEN 500 WHEN '5-LOW' THEN 100000 ELSE 0 END""",
+)
+def sample_per_stratum(spark, sf):
+    """Exact sizes per stratum; one is asked for more than it has."""
+    taken = sampling.sample_n_by(V.table(spark, sf, "orders"), {"1-URGENT": 500, "5-LOW": 100_000}, "o_orderpriority", ["o_orderkey"], seed=7)
+    return taken.select("o_orderpriority", "o_orderkey", "o_totalprice")
+
+
 @query(
     "q_sample_n",
     """SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem
