@@ -16,22 +16,25 @@ from fareframe.llm.scratch import ship, written
 
 LEAST = 100
 LONGEST = 5
+COUNTED = "lang string, phrase string, length int, f long, right boolean"
+NODE = ["lang", "phrase", "length", "f", "n", "reached", "grown", "looked", "best", "missing", "state"]
 TOP = 2000
 UNKNOWN = "und"
-#: Occurrences that a wave extends, as a share of the words of a language.
-WAVE_SHARE = 0.25
+#: Occurrences of the words opened first, as a share of the words of a language.
+FIRST_SHARE = 0.25
 CHUNK_BYTES = 4 << 20
 SALTS = 64
 #: Bits of the filter in front of the exact join: 16 a member within these, so 16 MB at most.
 LEAST_BITS, MOST_BITS = 16, 27
 
-FREQUENT, RIGHT, LEFT, EXACT = range(4)
-_KIND = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+FREQUENT, RIGHT, LEFT, EXACT, ACTIVE = range(5)
+_KIND = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 _CUT = np.zeros(256, bool)
 _CUT[[*b".,;:!?\n\x0b\x0c\r"]] = True
-_GAP = _CUT.copy()
-_GAP[[0x20, 0x09]] = True
+#: 0 in words, 1 between them, 2 between pieces.
+_KINDS = _CUT.astype(np.uint8) * np.uint8(2)
+_KINDS[[0x20, 0x09]] = 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] = _LOWER[97:123]
 
@@ -65,7 +68,8 @@ class _Words:
 
     def __init__(self, data: np.ndarray, offs: np.ndarray, langs: pa.Array):
         data = _LOWER[data]
-        ink = ~_GAP[data]
+        kind = _KINDS[data]
+        ink = kind == 0
         cut = np.zeros(len(data) + 1, bool)
         cut[offs] = True
         first = ink.copy()
@@ -74,12 +78,13 @@ class _Words:
         last[:-1] &= ~ink[1:] | cut[1:-1]
         starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.n = n = len(starts)
-        doc = np.searchsorted(offs, starts, side="right") - 1
-        # Words of one piece share the number of piece ends, and of texts, before them.
-        piece = np.cumsum(_CUT[data])[starts] + doc if n else starts
-        new = np.flatnonzero(np.diff(piece)) + 1
-        stops = np.concatenate([new, [n]])
-        self.room = np.repeat(stops, np.diff(np.concatenate([[0], stops]))) - np.arange(n)
+        doc = np.repeat(np.arange(len(langs)), np.diff(np.searchsorted(starts, offs)))
+        # A piece starts at the first word after a character that ends one, and with each text.
+        new = np.zeros(n + 1, bool)
+        new[np.searchsorted(starts, np.flatnonzero(kind == 2))] = True
+        new[np.searchsorted(starts, offs)] = True
+        stops = np.append(np.flatnonzero(new[1:n]) + 1, n)
+        self.room = np.repeat(stops, np.diff(stops, prepend=0)) - np.arange(n)
         ends_at = np.zeros(n + 1, np.int64)
         np.cumsum(ends - starts, out=ends_at[1:])
         column = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends_at.tobytes()), pa.py_buffer(data[ink].tobytes())])
@@ -96,13 +101,13 @@ class _Words:
         """Of the language and the word of each id."""
         return _text_hashes(self.langs)[self.lang], _text_hashes(self.dictionary)[self.word]
 
-    def rows(self, at: np.ndarray, length: int, counts: np.ndarray) -> pa.RecordBatch:
-        """Phrases of ``length`` words at the positions, with their counts."""
+    def rows(self, at: np.ndarray, length: int, counts: np.ndarray, right: bool = True) -> pa.RecordBatch:
+        """Phrases of ``length`` words at the positions, with their counts; ``right`` if they extend a member."""
         parts = [self.dictionary.take(pa.array(self.word[self.ids[at + k]])) for k in range(length)]
         phrase = pc.binary_join_element_wise(*parts, b" ") if length > 1 else parts[0]
         lang = self.langs.take(pa.array(self.lang[self.ids[at]]))
         columns = [lang.cast(pa.string()), phrase.cast(pa.string()), pa.array(np.full(len(at), length, np.int32)), pa.array(counts)]
-        return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "length", "f"])
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(at), right))], names=["lang", "phrase", "length", "f", "right"])
 
 
 def _text_hashes(column: pa.Array) -> np.ndarray:
@@ -147,7 +152,7 @@ def _phrases(filter_, size: int, lengths: dict[int, set[int]]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = filter_.value
-        for segment in _segments(batches):
+        for segment in _segments(_spoken(b, bits, size) for b in batches):
             w = _Words(*segment)
             if not w.n:
                 continue
@@ -160,22 +165,27 @@ def _phrases(filter_, size: int, lengths: dict[int, set[int]]):
                 at = at[frequent[at + length - 1]]
                 longer = np.zeros(w.n, np.uint64)
                 longer[at] = mix(h[at] + word[w.ids[at + length - 1]])
-                wanted = np.zeros(len(at), bool)
+                wanted, right = np.zeros(len(at), bool), np.zeros(len(at), bool)
                 if length - 1 in lengths[RIGHT]:
-                    wanted |= (_holds(bits, of_id, RIGHT, size)[w.ids[at]] if length == 2 else _holds(bits, h[at], RIGHT, size))
+                    right = _holds(bits, of_id, RIGHT, size)[w.ids[at]] if length == 2 else _holds(bits, h[at], RIGHT, size)
                 if length - 1 in lengths[LEFT]:
                     wanted |= _holds(bits, h[at + 1], LEFT, size)
                 if length in lengths[EXACT]:
                     wanted |= _holds(bits, longer[at], EXACT, size)
-                if wanted.any():
-                    yield w.rows(*_pair(_grouped(w.ids, at[wanted], length, len(w.word)), length))
+                for mask, grows in ((right, True), (wanted & ~right, False)):
+                    if mask.any():
+                        one, counts = _grouped(w.ids, at[mask], length, len(w.word))
+                        yield w.rows(one, length, counts, grows)
                 h = longer
 
     return run
 
 
-def _pair(found: tuple[np.ndarray, np.ndarray], length: int) -> tuple[np.ndarray, int, np.ndarray]:
-    return found[0], length, found[1]
+def _spoken(batch: pa.RecordBatch, bits: np.ndarray, size: int) -> pa.RecordBatch:
+    """The rows of languages that the wave is about."""
+    coded = batch.column("lang").dictionary_encode()
+    active = _holds(bits, _start(_text_hashes(coded.dictionary), _text_hashes(pa.array([""]))), ACTIVE, size)
+    return batch.filter(pa.array(active[np.asarray(coded.indices)]))
 
 
 def _bit_positions(size: int):
@@ -215,19 +225,15 @@ def _filter(members: DataFrame, size: int) -> np.ndarray:
 
 
 def _count(texts: DataFrame, members: DataFrame) -> DataFrame:
-    """lang, phrase, length, f of phrases of at least ``LEAST`` occurrences, among them all that the members ask for."""
+    """lang, phrase, length, f, right of phrases of at least ``LEAST`` occurrences, among them all that the members ask for."""
     spark = texts.sparkSession
     present = members.groupBy("kind", "length").count().collect()  # kinds x lengths rows
     total = sum(r["count"] for r in present)
     size = min(MOST_BITS, max(LEAST_BITS, (16 * total - 1).bit_length()))
     lengths = {kind: {r.length for r in present if r.kind == kind} for kind in (RIGHT, LEFT, EXACT)}
-    sent = spark.sparkContext.broadcast(_filter(members, size))
-    found = texts.mapInArrow(_phrases(sent, size, lengths), "lang string, phrase string, length int, f long")
-    return found.groupBy("lang", "phrase", "length").agg(F.sum("f").alias("f")).where(F.col("f") >= LEAST)
-
-
-def _words_from(phrase: Column, first: Column | int) -> Column:
-    return F.substring_index(phrase, " ", first)
+    sent = spark.sparkContext.broadcast(_filter(members, size))  # 16 MB at most
+    found = texts.mapInArrow(_phrases(sent, size, lengths), COUNTED)
+    return found.groupBy("lang", "phrase", "length").agg(F.sum("f").alias("f"), F.max("right").alias("right")).where(F.col("f") >= LEAST)
 
 
 def ratio(a: Column, n: Column, left: Column, right: Column) -> Column:
@@ -244,22 +250,24 @@ def _bound(n: Column, f: Column) -> Column:
     return F.floor(n.cast("decimal(22,0)") * 1000 / f).cast("long")
 
 
-def _scored(nodes: DataFrame) -> DataFrame:
-    """Phrases of two words and more with their lowest cut ``best`` (score, k, l, r), and whether all cuts are ``known``.
+def _scored(nodes: DataFrame, words: DataFrame) -> DataFrame:
+    """Reached nodes that lack a count get their lowest cut ``best`` (score, k, l, r) and the parts still ``missing``.
 
     Where a part's count isn't known yet, the phrase's own stands for it, which no part's is below: then ``best`` is an
     upper bound.
     """
-    cuts = nodes.where("length > 1").select("lang", "phrase", "length", "f", "n", F.explode(F.sequence(F.lit(1), F.col("length") - 1)).alias("k"))
+    due = F.col("reached") & F.col("state").isNull() & (F.coalesce(F.size("missing"), F.lit(1)) != 0)
+    kept = [c for c in NODE if c not in ("best", "missing")]
+    cuts = nodes.where(due).select(*kept, F.explode(F.sequence(F.lit(1), F.col("length") - 1)).alias("k"))
     cuts = cuts.withColumns({"first": F.expr("substring_index(phrase, ' ', k)"), "rest": F.expr("substring_index(phrase, ' ', k - length)")})
-    part = nodes.select(F.col("lang").alias("pl"), F.col("phrase").alias("p"), F.col("f").alias("pf"))
+    known = nodes.select("lang", "phrase", "f").unionByName(words.select("lang", "phrase", "f"))
+    part = known.select(F.col("lang").alias("pl"), F.col("phrase").alias("p"), F.col("f").alias("pf"))
     cuts = cuts.join(part, (F.col("lang") == F.col("pl")) & (F.col("first") == F.col("p")), "left").withColumnRenamed("pf", "l").drop("pl", "p")
     cuts = cuts.join(part, (F.col("lang") == F.col("pl")) & (F.col("rest") == F.col("p")), "left").withColumnRenamed("pf", "r").drop("pl", "p")
     score = ratio(F.col("f"), F.col("n"), F.coalesce("l", "f"), F.coalesce("r", "f"))
-    missing = F.array_compact(F.array(F.when(F.col("l").isNull(), F.col("first")), F.when(F.col("r").isNull(), F.col("rest"))))
-    return cuts.groupBy("lang", "phrase").agg(
-        F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("best"), F.flatten(F.collect_list(missing)).alias("missing")
-    )
+    lacks = F.array_compact(F.array(F.when(F.col("l").isNull(), F.col("first")), F.when(F.col("r").isNull(), F.col("rest"))))
+    scored = cuts.groupBy(*kept).agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("best"), F.flatten(F.collect_list(lacks)).alias("missing"))
+    return nodes.where(~due).select(*NODE).unionByName(scored.select(*NODE))
 
 
 def _covered(nodes: DataFrame) -> DataFrame:
@@ -277,40 +285,57 @@ def _best(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
     return few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= most)
 
 
-ORDER = ["score desc", "a desc", "phrase"]
-
+def _judged(nodes: DataFrame, words: DataFrame) -> DataFrame:
+    """Nodes with their state: ``dropped``, ``kept`` once they are scored and checked on both sides, null before.
 
-def _judged(nodes: DataFrame) -> DataFrame:
-    """Nodes with best, missing, dropped, and settled: scored, checked on both sides and kept."""
-    out = nodes.join(_scored(nodes), ["lang", "phrase"], "left").join(_covered(nodes), ["lang", "phrase"], "left")
-    out = out.withColumn("dropped", F.coalesce(100 * F.col("covered") >= 100 * F.col("f"), F.lit(False)))
+    A node is reached if its prefix was grown. One that was only counted as a part or an extension of another waits for
+    that: if its first words aren't worth growing, no phrase that starts with them is worth scoring.
+    """
+    out = _scored(nodes, words).join(_covered(nodes), ["lang", "phrase"], "left")
     whole = (F.col("length") == LONGEST) | (F.col("grown") & F.col("looked"))
-    return out.withColumn("settled", (F.col("length") > 1) & ~F.col("dropped") & (F.size("missing") == 0) & whole)
+    state = F.when(100 * F.col("covered") >= 100 * F.col("f"), F.lit("dropped")).when((F.size("missing") == 0) & whole, F.lit("kept"))
+    return out.withColumn("state", F.coalesce("state", state)).drop("covered")
+
+
+def _floors(judged: DataFrame, top: int) -> DataFrame:
+    """lang, floor: the score of the ``top``-th phrase kept, of languages that have so many."""
+    ranked = _best(judged.where("state = 'kept'").select("lang", "phrase", F.col("best.score").alias("score")), [F.col("score").desc()], top)
+    return ranked.where(F.col("rank") == top).select("lang", F.col("score").alias("floor"))
 
 
-def _asked(judged: DataFrame, langs: DataFrame, top: int) -> DataFrame:
+def _asked(judged: DataFrame, floors: DataFrame) -> DataFrame:
     """The judged nodes with what the next wave does for each: ``right``, ``left``, ``ask``."""
-    ranked = _best(judged.where("settled").select("lang", "phrase", F.col("best.score").alias("score")), [F.col("score").desc()], top)
-    floor = ranked.where(F.col("rank") == top).select(F.col("lang").alias("fl"), F.col("score").alias("floor"))
-    out = judged.join(floor, F.col("lang") == F.col("fl"), "left").drop("fl")
-    floor = F.coalesce("floor", F.lit(0))
-    open_ = (F.col("length") < LONGEST) & ~F.col("grown") & (_bound(F.col("n"), F.col("f")) >= floor)
-    hope = (F.col("length") > 1) & ~F.col("dropped") & (F.col("best.score") >= floor)
-    out = out.withColumns(
-        {
-            "open": open_,
-            "class": F.floor(F.log2("f")).cast("int"),
-            "left": hope & ~F.col("looked") & (F.col("length") < LONGEST),
-            "ask": F.when(hope, F.col("missing")).otherwise(F.array().cast("array<string>")),
-        }
-    )
-    # Best bounds first: whole classes of counts, rarest phrases first, until the wave has its share of the language.
-    classes = out.where("open").groupBy("lang", "class").agg(F.sum("f").alias("size"))
+    out = judged.join(floors, "lang", "left")
+    floor, live = F.coalesce("floor", F.lit(0)), F.col("reached") & F.col("state").isNull()
+    short = F.col("length") < LONGEST
+    hope = live & (F.col("best.score") >= floor)
+    # A dropped phrase still has extensions.
+    right = F.col("reached") & short & ~F.col("grown") & (_bound(F.col("n"), F.col("f")) >= floor)
+    ask = F.when(hope, F.col("missing")).otherwise(F.array().cast("array<string>"))
+    return out.withColumns({"right": right, "left": hope & short & ~F.col("looked"), "ask": ask}).drop("floor")
+
+
+def _opened(turns: DataFrame, asked: DataFrame, floors: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Words that the next wave opens, and the turns after it (lang, n, turn, upto).
+
+    Best bounds first: whatever is open below a word that was opened is rarer than any word that was not, so words wait
+    until a language has nothing else to do. In the first turn they are whole classes of counts, rarest first, up to
+    ``FIRST_SHARE`` of the language; in the second all others whose bound reaches the floor.
+    """
+    busy = asked.where(F.col("right") | F.col("left") | (F.size("ask") > 0)).select("lang").distinct()
+    ready = turns.where(F.col("turn") < 2).join(busy, "lang", "left_anti").join(floors, "lang", "left")
+    rows = words.drop("n").join(ready, "lang").withColumn("class", F.floor(F.log2("f")).cast("int"))
+    classes = rows.where("turn = 0").groupBy("lang", "class", "n").agg(F.sum("f").alias("size"))
     before = F.coalesce(F.sum("size").over(Window.partitionBy("lang").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    turn = classes.withColumn("before", before).join(langs, "lang").where(F.col("before") <= WAVE_SHARE * F.col("n"))
-    turn = turn.groupBy("lang").agg(F.max("class").alias("upto")).withColumnRenamed("lang", "tl")
-    out = out.join(turn, F.col("lang") == F.col("tl"), "left").drop("tl")
-    return out.withColumn("right", F.col("open") & F.coalesce(F.col("class") <= F.col("upto"), F.lit(False))).drop("floor", "open", "class", "upto")
+    band = classes.withColumn("before", before).where(F.col("before") <= FIRST_SHARE * F.col("n")).groupBy("lang").agg(F.max("class").alias("to"))
+    rows = rows.join(band, "lang", "left")
+    now = F.when(F.col("turn") == 0, F.col("class") <= F.col("to")).otherwise(F.col("class") > F.col("upto"))
+    opened = rows.where(now & (_bound(F.col("n"), F.col("f")) >= F.coalesce("floor", F.lit(0)))).select("lang", "phrase", F.lit(1).alias("length"))
+    ready = ready.select("lang", F.lit(1).alias("on")).join(band, "lang", "left")
+    after = turns.join(ready, "lang", "left").select(
+        "lang", "n", (F.col("turn") + F.coalesce("on", F.lit(0))).alias("turn"), F.coalesce("upto", "to").alias("upto")
+    )
+    return opened, after
 
 
 def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
@@ -321,12 +346,13 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     often. ``LEAST`` occurrences are needed.
 
     Phrases form a tree by their prefixes. No extension of a phrase with count f scores above 1000 n / f, so rare
-    phrases are the promising ones. A wave takes the best open nodes of each language, about a quarter of its words'
-    occurrences, and one pass over the texts counts their extensions by a word on the right; extensions on the left of
-    phrases that may yet be dropped; and parts whose counts a score lacks. Then phrases are scored, dropped or settled,
-    and the ``top``-th score of the settled ones becomes the floor: only nodes whose bound reaches it, ties included,
-    stay open. The search ends when nothing is open, unscored or unchecked at the floor. Each pass emits only what it is
-    asked for: a filter of fixed greatest size says which phrases those are; what it lets through by mistake is counted
+    phrases are the promising ones. A wave takes the best open nodes of each language: at first its rarest words, about a
+    quarter of all occurrences, then what grows from them, and other words when that is done. One pass over the texts
+    counts their extensions by a word on the right; extensions on the left of phrases that may yet be dropped; and parts
+    whose counts a score lacks. Then phrases are scored, dropped or settled, and the ``top``-th score of the settled ones
+    becomes the floor: only nodes whose bound reaches it, ties included, stay open. The search ends when nothing is open,
+    unscored or unchecked at the floor; a pass skips the texts of languages that are done. It emits only what it is asked
+    for: a filter of fixed greatest size says which phrases those are; what it lets through by mistake is counted
     whole, which costs time and changes nothing. Words are numbered exactly in a task and phrases travel as text: no
     hash stands for a string.
 
@@ -336,33 +362,51 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     """
     ship(docs.sparkSession)
     texts = docs.where("text is not null").select(F.coalesce(F.col("lang"), F.lit(UNKNOWN)).alias("lang"), "text")
-    single = texts.mapInArrow(_single_words, "lang string, phrase string, length int, f long")
-    words = written(single.groupBy("lang", "phrase", "length").agg(F.sum("f").alias("f")), "phrases-words")
-    langs = written(words.groupBy("lang").agg(F.sum("f").alias("n")), "phrases-langs")
-    fresh = {"grown": F.lit(False), "looked": F.lit(False)}
-    nodes = written(words.where(F.col("f") >= LEAST).join(langs, "lang").withColumns(fresh), "phrases-nodes-0")
+    single = texts.mapInArrow(_single_words, COUNTED)
+    every = written(single.groupBy("lang", "phrase").agg(F.sum("f").alias("f")), "phrases-words")
+    turns = every.groupBy("lang").agg(F.sum("f").alias("n")).withColumns({"turn": F.lit(0), "upto": F.lit(None).cast("int")})
+    turns = written(turns, "phrases-turns")
+    words = written(every.where(F.col("f") >= LEAST).join(turns.select("lang", "n"), "lang"), "phrases-frequent")
+    kinds = "lang string, phrase string, length int, f long, n long, reached boolean, grown boolean, looked boolean"
+    best = "best struct<score: bigint, k: int, l: bigint, r: bigint>, missing array<string>, state string"
+    nodes = docs.sparkSession.createDataFrame([], f"{kinds}, {best}")
     wave = 0
     while True:
-        judged = _judged(nodes)
-        asked = written(_asked(judged, langs, top), f"phrases-asked-{wave}")
-        members = _members(asked)
-        if members.where(F.col("kind") != FREQUENT).isEmpty():
-            break
-        wave += 1
-        found = written(_count(texts, members), f"phrases-found-{wave}")
-        old = asked.select("lang", "phrase", "length", "f", "n", (F.col("grown") | F.col("right")).alias("grown"), (F.col("looked") | F.col("left")).alias("looked"))
-        new = found.join(old, ["lang", "phrase"], "left_anti").join(langs, "lang").withColumns(fresh)
-        nodes = written(old.unionByName(new), f"phrases-nodes-{wave}")
-    final = asked.where("settled").select("lang", "phrase", F.col("f").alias("a"), "best.l", "best.r", "n", "best.score")
+        judged = written(_judged(nodes, words), f"phrases-judged-{wave}")
+        floors = written(_floors(judged, top), f"phrases-floors-{wave}")
+        asked = written(_asked(judged, floors), f"phrases-asked-{wave}")
+        opened, after = _opened(turns, asked, floors, words)
+        opened, after = written(opened, f"phrases-opened-{wave}"), written(after, f"phrases-turns-{wave}")
+        members = _members(asked, opened)
+        if members.isEmpty():
+            if after.where("turn < 2").isEmpty():
+                break
+            turns = after
+            continue
+        wave, turns = wave + 1, after
+        frequent = words.select(F.lit(FREQUENT).alias("kind"), "lang", "phrase", F.lit(1).alias("length"))
+        found = written(_count(texts, members.unionByName(frequent)), f"phrases-found-{wave}")
+        nodes = written(_next(asked, found, turns), f"phrases-nodes-{wave}")
+    final = judged.where("state = 'kept'").select("lang", "phrase", F.col("f").alias("a"), "best.l", "best.r", "n", "best.score")
     final = _best(final, [F.col("score").desc(), F.col("a").desc(), F.col("phrase")], top)
     return final.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
-def _members(asked: DataFrame) -> DataFrame:
-    """kind, lang, phrase, length of what the filter of a wave holds."""
-    kinds = F.array(
-        F.when(F.col("length") == 1, F.lit(FREQUENT)), F.when(F.col("right"), F.lit(RIGHT)), F.when(F.col("left"), F.lit(LEFT))
-    )
-    nodes = asked.select(F.explode(F.array_compact(kinds)).alias("kind"), "lang", "phrase", "length")
+def _next(asked: DataFrame, found: DataFrame, turns: DataFrame) -> DataFrame:
+    """Nodes after a wave: what was done is noted, what was found is added; a phrase may be both."""
+    old = asked.withColumns({"grown": F.col("grown") | F.col("right"), "looked": F.col("looked") | F.col("left")}).select(*NODE)
+    new = found.join(turns.select("lang", "n"), "lang").withColumn("reached", F.col("right"))
+    new = new.withColumns({"grown": F.lit(False), "looked": F.lit(False)}).drop("right")
+    both = old.unionByName(new, allowMissingColumns=True)
+    flags = [F.max(c).alias(c) for c in ("f", "n", "reached", "grown", "looked")]
+    return both.groupBy("lang", "phrase", "length").agg(*flags, *[F.first(c, ignorenulls=True).alias(c) for c in ("best", "missing", "state")]).select(*NODE)
+
+
+def _members(asked: DataFrame, opened: DataFrame) -> DataFrame:
+    """kind, lang, phrase, length of what a wave is about."""
+    kinds = F.array_compact(F.array(F.when(F.col("right"), F.lit(RIGHT)), F.when(F.col("left"), F.lit(LEFT))))
+    nodes = asked.select(F.explode(kinds).alias("kind"), "lang", "phrase", "length")
     parts = asked.select(F.lit(EXACT).alias("kind"), "lang", F.explode("ask").alias("phrase"))
-    return nodes.unionByName(parts.withColumn("length", F.size(F.split("phrase", " "))).distinct())
+    parts = parts.withColumn("length", F.size(F.split("phrase", " "))).distinct()
+    out = nodes.unionByName(parts).unionByName(opened.select(F.lit(RIGHT).alias("kind"), "lang", "phrase", "length"))
+    return out.unionByName(out.select(F.lit(ACTIVE).alias("kind"), "lang", F.lit("").alias("phrase"), F.lit(0).alias("length")).distinct())
