@@ -14,8 +14,12 @@ import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-BASE = np.uint64(0xD1342543DE82EF95)  # odd, so that it has an inverse modulo 2^64
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+PRIME = np.uint64((1 << 61) - 1)
+BASE = 0x51342543DE82EF95 % int(PRIME)
+INVERSE = pow(BASE, -1, int(PRIME))
+BLOCK = 1 << 16
+#: Powers that a worker keeps; those of longer texts are made anew and let go.
+KEPT_POWERS = 1 << 21
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,35 +43,100 @@ def byte_values(lower: bool = False) -> np.ndarray:
     return table
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Residues modulo PRIME of numbers below 2^64."""
+    x = (x & PRIME) + (x >> np.uint64(61))
+    return np.minimum(x, x - PRIME)  # below PRIME the difference wraps around to a larger number
+
+
+def _shifted(x: np.ndarray) -> np.ndarray:
+    """Residues times 2^31, not yet folded: 2^61 is 1 modulo PRIME."""
+    return (x >> np.uint64(30)) + ((x & np.uint64((1 << 30) - 1)) << np.uint64(31))
+
+
+def times(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """Products modulo PRIME of residues, by blocks that fit a core's cache."""
+    b = np.broadcast_to(b, a.shape)
+    out = np.empty(len(a), np.uint64)
+    s31, low31 = np.uint64(31), np.uint64((1 << 31) - 1)
+    for i in range(0, len(a), BLOCK):
+        x, y = a[i : i + BLOCK], b[i : i + BLOCK]
+        x1, x0, y1, y0 = x >> s31, x & low31, y >> s31, y & low31
+        # 2^62 is 2 modulo PRIME, and the sum stays below 2^64.
+        out[i : i + BLOCK] = _folded(((x1 * y1) << np.uint64(1)) + _shifted(x1 * y0 + x0 * y1) + x0 * y0)
+    return out
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(1, np.uint64)
+    while len(out) <= n:
+        out = np.concatenate([out, times(out, np.uint64(pow(base, len(out), int(PRIME))))])
+    return out
 
 
 _POWERS: dict[str, np.ndarray] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^0..n and its inverse powers modulo 2^64, kept for the largest n so far."""
-    if not _POWERS or len(_POWERS["up"]) <= n:
-        _POWERS.update(up=_powers(BASE, n), down=_powers(INVERSE, n))
-    return _POWERS["up"], _POWERS["down"]
+    """base^0..n and its inverse powers modulo PRIME; up to KEPT_POWERS of them are kept."""
+    if _POWERS and len(_POWERS["up"]) > n:
+        return _POWERS["up"], _POWERS["down"]
+    made = _powers(BASE, n), _powers(INVERSE, n)
+    if n <= KEPT_POWERS:
+        _POWERS.update(up=made[0], down=made[1])
+    return made
 
 
 class Spans:
     """Hashes of any slice of a value sequence in O(1), from one prefix sum.
 
-    A slice's hash is the polynomial in BASE of its values modulo 2^64, independent of where the slice starts.
+    A slice's hash is the polynomial in BASE of its values modulo the prime 2^61 - 1, independent of where the slice
+    starts. Modulo a power of two, texts over two symbols can be arranged to collide in every base; modulo a prime two
+    different slices of n values collide for at most n of the 2^61 bases.
     """
 
     def __init__(self, values: np.ndarray):
-        up, self.down = powers(len(values))
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * up[: len(values)], out=self.sums[1:])
+        n = len(values)
+        up, self.down = powers(n)
+        self.sums = np.zeros(n + 1, np.uint64)
+        low = np.uint64((1 << 31) - 1)
+        before = np.zeros(2, np.uint64)  # sums so far of the upper and lower halves: below 2^64 for 2^32 values
+        for i in range(0, n, BLOCK):
+            term = times(_folded(values[i : i + BLOCK]), up[i : min(i + BLOCK, n)])
+            high, rest = np.cumsum(term >> np.uint64(31)) + before[0], np.cumsum(term & low) + before[1]
+            before[:] = high[-1], rest[-1]
+            self.sums[i + 1 : i + 1 + len(term)] = _folded(_shifted(_folded(high)) + _folded(rest))
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+        value = times(_folded(self.sums[ends] + (PRIME - self.sums[starts])), self.down[starts])
+        return mix(value ^ (mix((ends - starts).astype(np.uint64)) << np.uint64(3)))
+
+
+def same_pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For slices of bytes: places of one slice of each different text, and which of them each slice equals.
+
+    Slices are grouped by hash and then compared byte by byte; should a hash ever join two texts, they are told apart.
+    """
+    _, at, which = np.unique(Spans(byte_values()[data])(starts, ends), return_index=True, return_inverse=True)
+    size = ends - starts
+    first = at[which]
+    odd = size[first] != size
+    for i in range(0, len(starts), BLOCK):  # bounded index arrays
+        part = slice(i, i + BLOCK)
+        n = np.where(odd[part], 0, size[part])
+        differs = data[ragged(starts[part], n)] != data[ragged(starts[first[part]], n)]
+        if differs.any():
+            odd[i + np.repeat(np.arange(len(n)), n)[differs]] = True
+    if odd.any():
+        raw, known, more = data.tobytes(), {}, []
+        for k in np.flatnonzero(odd).tolist():
+            text = raw[starts[k] : ends[k]]
+            if text not in known:
+                known[text] = len(at) + len(more)
+                more.append(k)
+            which[k] = known[text]
+        at = np.concatenate([at, np.array(more, at.dtype)])
+    return at, which
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fareframe.llm.arrays import Spans, byte_values, ragged, text_chunks
+from fareframe.llm.arrays import ragged, same_pieces, text_chunks
 from fareframe.llm.pretokens import pieces
 from fareframe.llm.scratch import extended, ship
 
@@ -77,7 +77,7 @@ class Coder:
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the first id of each document (length n + 1)."""
         starts, ends, first = pieces(data, offs)
-        _, at, which = np.unique(Spans(byte_values()[data])(starts, ends), return_index=True, return_inverse=True)
+        at, which = same_pieces(data, starts, ends)
         raw = data.tobytes()
         found = [self._ids(raw[s:e]) for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
         size = np.array([len(x) // 4 for x in found], np.int64)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fareframe.llm.arrays import Spans, byte_values, text_chunks
+from fareframe.llm.arrays import same_pieces, text_chunks
 from fareframe.llm.bpe import CACHED_PIECES, vocabulary
 from fareframe.llm.pretokens import pieces
 from fareframe.llm.scratch import ship
@@ -92,7 +92,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
         auto, known = automaton(table.value)
         for rows, data, offs in text_chunks(batches):
             starts, ends, first = pieces(data, offs)
-            _, at, which = np.unique(Spans(byte_values()[data])(starts, ends), return_index=True, return_inverse=True)
+            at, which = same_pieces(data, starts, ends)
             raw = data.tobytes()
             if len(known) > CACHED_PIECES:
                 known.clear()

@@ -116,3 +116,11 @@ def levels(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
 
 def sha(data):
     return hashlib.sha256(data if isinstance(data, bytes) else data.encode()).hexdigest()
+
+
+def made_to_collide(n):
+    """Two texts that agree in every polynomial hash modulo 2^64 with an odd base."""
+    x, y = "a", "b"
+    while len(x) < n:
+        x, y = x + y, y + x
+    return x, y

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from brute import awkward, near_groups, shingles, table
+from brute import awkward, made_to_collide, near_groups, shingles, table
 
 from fareframe.llm import minhash
 from fareframe.llm.components import connected_components
@@ -28,6 +28,11 @@ def test_awkward_documents(spark):
     check(spark, awkward())
 
 
+def test_texts_made_to_collide(spark):
+    x, y = made_to_collide(1024)
+    check(spark, awkward([x, y, " ".join(x), " ".join(y), f"{x} p q r s", f"{y} p q r s"]))
+
+
 def test_rows_without_id_and_repeats_keep_their_row(spark):
     rows = awkward()
     out = minhash.near_duplicates(table(spark, rows)).collect()

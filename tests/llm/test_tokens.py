@@ -1,11 +1,12 @@
 import random
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
-from brute import awkward, sha, table
+from brute import awkward, made_to_collide, sha, table
 
-from fareframe.llm import bpe, token_counts
+from fareframe.llm import arrays, bpe, token_counts
 
 PATH = P.path("byte_bpe_50k.tiktoken")
 SF = "/root/testdata/sf0.001"
@@ -42,6 +43,33 @@ def test_ids_agree_with_the_library(spark, reference):
     check(table(spark, awkward([*noise(), "ab" * 4000, " " * 3000, "'" * 500])), reference)
 
 
+def test_texts_made_to_collide(spark, reference):
+    check(table(spark, awkward([t for n in (1024, 4096) for t in (*made_to_collide(n), " ".join(made_to_collide(n)))])), reference)
+
+
+def test_pieces_are_compared_by_bytes(monkeypatch):
+    class Blind(arrays.Spans):
+        def __call__(self, starts, ends):
+            return np.zeros(len(starts), np.uint64)
+
+    monkeypatch.setattr(arrays, "Spans", Blind)
+    raw, starts, ends = b"abcabxabcqqabx", np.array([0, 3, 6, 9, 11]), np.array([3, 6, 9, 11, 14])
+    at, which = arrays.same_pieces(np.frombuffer(raw, np.uint8), starts, ends)
+    assert len(at) == 3
+    assert [raw[starts[at[w]] : ends[at[w]]] for w in which] == [raw[a:b] for a, b in zip(starts, ends, strict=True)]
+
+
+def test_hashes_are_exact_residues():
+    p = int(arrays.PRIME)
+    rng = np.random.default_rng(3)
+    a, b = (np.concatenate([[p - 1, 0], rng.integers(0, p, 500)]).astype(np.uint64) for _ in range(2))
+    assert arrays.times(a, b).tolist() == [int(x) * int(y) % p for x, y in zip(a, b, strict=True)]
+    values = rng.integers(0, 2**64 - 1, 90_000, dtype=np.uint64)
+    twice = arrays.Spans(np.concatenate([values, values]))
+    assert twice(np.array([5]), np.array([80_000])) == twice(np.array([90_005]), np.array([170_000]))
+    assert twice(np.array([5]), np.array([80_000])) != twice(np.array([6]), np.array([80_001]))
+
+
 def test_given_documents(spark, reference):
     check(spark.read.parquet(f"{SF}/documents.parquet"), reference)
 
