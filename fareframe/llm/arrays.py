@@ -6,6 +6,7 @@ holds a few arrays of one piece at a time. One document is never cut: memory fol
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Iterator
 
@@ -139,6 +140,14 @@ def same_pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     return at, which
 
 
+def release() -> None:
+    """Gives memory that a worker no longer uses back to the machine, so that it doesn't weigh on later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (length n + 1) of an Arrow string or binary column; null is empty."""
     large = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
@@ -168,6 +177,8 @@ def text_chunks(
             j = min(n, max(j, i + 1), i + 4096)
             yield batch.slice(i, j - i), data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
             i = j
+    data = offs = batch = None
+    release()
 
 
 _SPACE = np.zeros(256, bool)

@@ -17,8 +17,9 @@ from fareframe.llm.arrays import ragged, same_pieces, text_chunks
 from fareframe.llm.pretokens import pieces
 from fareframe.llm.scratch import extended, ship
 
-#: Pieces whose merges a worker remembers; beyond that it starts anew.
+#: Pieces, and bytes of pieces and ids, that a worker remembers; beyond either it starts anew.
 CACHED_PIECES = 200_000
+CACHED_BYTES = 8 << 20
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -65,13 +66,16 @@ class Coder:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.known: dict[bytes, bytes] = {}  # piece -> ids, as 32-bit integers
+        self.held = 0
 
     def _ids(self, piece: bytes) -> bytes:
         got = self.known.get(piece)
         if got is None:
-            if len(self.known) >= CACHED_PIECES:
+            if len(self.known) >= CACHED_PIECES or self.held > CACHED_BYTES:
                 self.known.clear()
+                self.held = 0
             got = self.known[piece] = np.array(merge(piece, self.ranks), np.uint32).tobytes()
+            self.held += len(piece) + len(got)
         return got
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,15 +112,17 @@ def _texts_first(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", F.col("text").cast("string"))
 
 
-def encode(docs: DataFrame, path: str, offsets: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, offsets: bool = True, proof: str | None = None) -> DataFrame:
     """The rows with ``ids`` (array<int>) and ``offsets`` (array<int>: the byte at which each token starts).
 
     Null text has null ids and offsets, empty text empty ones. All other columns stay; existing columns ``ids`` and
-    ``offsets`` are replaced. Without ``offsets`` only the ids are added.
+    ``offsets`` are replaced. Without ``offsets`` only the ids are added. ``proof`` names a further column for the
+    SHA-256 (lowercase hex) of the bytes that the ids decode to, taken in the same pass; null for null text.
     """
     ship(docs.sparkSession)
-    docs = _texts_first(docs.drop("ids", "offsets"))
+    docs = _texts_first(docs.drop("ids", "offsets", *([proof] if proof else [])))
     added = ["ids", "offsets"] if offsets else ["ids"]
+    schema = extended(docs, ", ".join([f"{c} array<int>" for c in added] + ([f"`{proof}` string"] if proof else [])))
     table = vocabulary(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,9 +135,14 @@ def encode(docs: DataFrame, path: str, offsets: bool = True) -> DataFrame:
                 n = c.lengths[ids]
                 values.append((np.cumsum(n) - n - np.repeat(offs[:-1], np.diff(cuts))).astype(np.int32))
             lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(v, pa.int32()), mask=pa.array(null)) for v in values]
-            yield pa.RecordBatch.from_arrays([*rows.columns, *lists], [*rows.schema.names, *added])
-
-    return docs.mapInArrow(run, extended(docs, ", ".join(f"{c} array<int>" for c in added)))
+            if proof:
+                back, where = c.decode(ids)
+                sums = [hashlib.sha256(back[where[a] : where[b]].tobytes()).hexdigest() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                lists.append(pa.array(sums, pa.string(), mask=null))
+            names = [*rows.schema.names, *added, *([proof] if proof else [])]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *lists], names)
+
+    return docs.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
