@@ -61,10 +61,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and the digest of what the ids decode to, one row per document taken."""
     path = public_tokenizers.path(VOCABULARY)
-    encoded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path, offsets=False), path)
-    return encoded.select(
-        "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    encoded = bpe.encode(docs.select("doc_id", "text"), path, offsets=False, proof="decoded_sha256")
+    return encoded.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES: list[tuple[str, Stage]] = [
