@@ -43,36 +43,65 @@ FOREST_SQL = (
 )
 
 
-@query("q_lasso", f"WITH {LASSO_SQL} SELECT count(*) AS n, true AS beats_mean, true AS ordered FROM test")
+TRAIN_SQL = "train AS (SELECT t.* FROM t, hi WHERE year(pickup_date) <= 1996 AND commission <= q)"
+
+
+@query(
+    "q_lasso",
+    f"""WITH {LASSO_SQL}, {TRAIN_SQL} SELECT (SELECT count(*) FROM test) AS n_test, count(*) AS n,
+    round(var_pop(commission) / 2, 6) AS null_objective, round(avg(commission), 6) AS mean_prediction,
+    true AS optimal, true AS pulls_alike FROM train""",
+)
 def lasso(spark, sf):
-    fitted, train, test = _lasso(spark, sf)
-    return _sound(fitted, train, test, "commission")
+    """The fitted weights are proven optimal; the mean prediction on the training rows is that of the labels."""
+    fitted, train, test = _lasso(spark, sf, model.HASH_BINS)
+    linear, seen = fitted.stages[-1], fitted.transform(train)
+    proof = model.lasso_certificate(linear, seen)
+    mean = seen.agg(F.avg("prediction")).scalar()
+    out = proof.select(
+        test.agg(F.count(F.lit(1))).scalar().alias("n_test"), "n", "null_objective", mean.alias("mean_prediction"),
+        F.col("gap").between(-1e-6, 1e-3).alias("optimal"),
+        (F.abs(F.col("largest_pull") / linear.getRegParam() - 1) < 0.05).alias("pulls_alike"),
+    )
+    return rounded(out, ["null_objective", "mean_prediction"])
 
 
 @query(
     "q_lasso_coefficients",
-    """SELECT true AS all_nonzero, true AS unique_names, true AS tokens_on_bins_only""",
+    f"""WITH {LASSO_SQL}, {TRAIN_SQL} SELECT round(stddev_samp(trip_miles), 6) AS miles_std, round(stddev_samp(trip_time), 6) AS time_std,
+    256 + 4 + count(DISTINCT dayofweek(pickup_date)) AS places, true AS unique_names, true AS texts_on_places_only,
+    true AS per_unit FROM train""",
 )
 def coefficients(spark, sf):
+    """All weights by name: the deviations of scaled columns are those of SQL, and weights divide by them."""
     fitted, train, _ = _lasso(spark, sf)
-    w = model.coefficients(fitted, train)
-    on_bin = F.col("feature").startswith("hash_")
-    return w.agg(
-        F.min(F.col("weight") != 0).alias("all_nonzero"),
+    w = model.coefficients(fitted, train, zeros=True)
+    on_place = F.col("feature").startswith("loc_hashed_")
+    days = F.count_if(F.col("feature").startswith("pickup_day_of_week_oh_"))
+    hashed = F.count_if(on_place)
+    scaled = F.count_if(F.col("attribute").isNotNull())
+    out = w.agg(
+        *[F.max(F.when(F.col("attribute") == c, F.col("std"))).alias(a) for c, a in (("trip_miles", "miles_std"), ("trip_time", "time_std"))],
+        (hashed + scaled + days).alias("places"),
         (F.count_distinct("feature") == F.count(F.lit(1))).alias("unique_names"),
-        F.min(F.col("tokens").isNotNull() == on_bin).alias("tokens_on_bins_only"),
+        F.min(F.col("texts").isNull() | on_place).alias("texts_on_places_only"),
+        F.min(F.coalesce(F.abs(F.col("weight_per_unit") * F.col("std") - F.col("weight")) < 1e-9, F.col("attribute").isNull())).alias("per_unit"),
     )
+    return rounded(out, ["miles_std", "time_std"])
 
 
 @query(
     "q_hash_tokens",
-    f"""WITH {LASSO_SQL}, {V.ZONES_SQL}, train AS (SELECT t.* FROM t, hi WHERE year(pickup_date) <= 1996 AND commission <= q)
-    SELECT count(DISTINCT PULocationID) + count(DISTINCT DOLocationID) + count(DISTINCT p.Zone) + count(DISTINCT d.Zone) AS tokens
-    FROM train LEFT JOIN zones p ON PULocationID = p.LocationID LEFT JOIN zones d ON DOLocationID = d.LocationID""",
+    f"""WITH {LASSO_SQL}, {V.ZONES_SQL}, {TRAIN_SQL},
+    named AS (SELECT PULocationID::VARCHAR AS a, DOLocationID::VARCHAR AS b, p.Zone AS c, d.Zone AS d
+      FROM train LEFT JOIN zones p ON PULocationID = p.LocationID LEFT JOIN zones d ON DOLocationID = d.LocationID)
+    SELECT DISTINCT 'PULocationID_str' AS "column", a AS text FROM named WHERE a IS NOT NULL
+    UNION SELECT 'DOLocationID_str', b FROM named WHERE b IS NOT NULL
+    UNION SELECT 'PU_Zone_str', c FROM named WHERE c IS NOT NULL UNION SELECT 'DO_Zone_str', d FROM named WHERE d IS NOT NULL""",
 )
 def tokens(spark, sf):
     fitted, train, _ = _lasso(spark, sf, bins=64)
-    return model.hash_tokens(fitted, train).agg(F.sum(F.size("tokens")).alias("tokens"))
+    return model.hashed_texts(fitted, train).select("column", "text")
 
 
 def _forest(spark, sf):
