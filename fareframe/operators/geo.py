@@ -81,24 +81,81 @@ def inside(x: Column, y: Column, edges: Column) -> Column:
     return F.aggregate(edges, F.lit(0), lambda acc, e: acc + crosses(e)) % 2 == 1
 
 
+def _band_edges(polygons: DataFrame, key: str, cell: float, ring: str) -> DataFrame:
+    """One row per edge and band of cells that it passes: ``_cy``, the edge ``_e``, its cells ``_c0`` to ``_c1`` there.
+
+    Level edges are no part of a crossing count and are left out.
+    """
+    e = F.col("_e")
+    edges = polygons.select(key, F.explode(ring_edges(F.col(ring))).alias("_e")).where(e["y0"] != e["y1"])
+    low, high = F.least(e["y0"], e["y1"]), F.greatest(e["y0"], e["y1"])
+    bands = edges.select(key, "_e", F.explode(F.sequence(_cell(low, cell), _cell(high, cell))).alias("_cy"))
+
+    def at(y: Column) -> Column:
+        x = e["x0"] + (e["x1"] - e["x0"]) * (y - e["y0"]) / (e["y1"] - e["y0"])
+        return F.greatest(F.least(x, F.greatest(e["x0"], e["x1"])), F.least(e["x0"], e["x1"]))
+
+    # Wider than the rounding of band limits and places: an edge may count as passing one cell more.
+    rise = (F.abs("_cy") + 1) * cell * 1e-12
+    a, b = at(F.greatest(low, F.col("_cy") * cell - rise)), at(F.least(high, (F.col("_cy") + 1) * cell + rise))
+    slack = (F.abs(e["x0"]) + F.abs(e["x1"])) * 1e-12
+    return bands.select(key, "_cy", "_e", _cell(F.least(a, b) - slack, cell).alias("_c0"), _cell(F.greatest(a, b) + slack, cell).alias("_c1"))
+
+
+def cell_cover(polygons: DataFrame, key: str, cell: float, ring: str = "ring") -> DataFrame:
+    """Grid cells that a polygon touches: (key, _cx, _cy, _edges, _turns, _base).
+
+    A point is inside when the edges to its right that span its height are odd in number. In a cell, ``_edges`` are those
+    that pass the cell itself. Edges farther right need no test by place: an edge spans a height when one of its two
+    ends is above it, so their number is odd or even with the number of their ends above the point. Ends at one height
+    cancel in pairs, which leaves nothing of a chain but its ends: ``_turns`` are the heights left within the cell's
+    band, ``_base`` (0 or 1) counts those above it. Cells without edges and turns are wholly inside, cells outside have
+    no row. So a border cell carries its own edges only, never the ring, and each edge is repeated once per cell it
+    passes. ``cell`` should be small enough for the edges of one cell to fit a row.
+    """
+    edges = _band_edges(polygons, key, cell, ring)
+    own = edges.select(key, "_cy", F.explode(F.sequence("_c0", "_c1")).alias("_cx"), F.col("_e").alias("edge"))
+    ends = edges.select(key, "_cy", "_c0", F.explode(F.array(F.col("_e")["y0"], F.col("_e")["y1"])).alias("y"))
+    # Bands of ends and of points come from the same rounded division, so they never disagree.
+    band = _cell(F.col("y"), cell)
+    ends = ends.where(band >= F.col("_cy")).withColumn("y", F.when(band == F.col("_cy"), F.col("y")))
+    # An end counts for the cells left of its edge. Of the edges that share a height an odd number is farther right
+    # from each odd place in their order to the next; a closed ring has an even number of them.
+    times = ends.groupBy(key, "_cy", "y", "_c0").agg((F.count(F.lit(1)) % 2).alias("odd")).where("odd = 1")
+    places = times.groupBy(key, "_cy", "y").agg(F.sort_array(F.collect_list("_c0")).alias("c"))
+    runs = F.transform(F.sequence(F.lit(0), F.size("c") - 2, F.lit(2)), lambda i: F.sequence(F.col("c")[i], F.col("c")[i + 1] - 1))
+    reach = places.select(key, "_cy", "y", F.explode(F.flatten(runs)).alias("_cx"))
+    own = own.select(key, "_cx", "_cy", "edge", F.lit(None).cast("double").alias("turn"), F.lit(0).alias("above"))
+    reach = reach.select(
+        key, "_cx", "_cy", F.lit(None).cast(own.schema["edge"].dataType).alias("edge"), F.col("y").alias("turn"), F.col("y").isNull().cast("int").alias("above")
+    )
+    return own.unionByName(reach).groupBy(key, "_cx", "_cy").agg(
+        F.collect_list("edge").alias("_edges"), F.collect_list("turn").alias("_turns"), (F.sum("above") % 2).cast("int").alias("_base")
+    )
+
+
 def points_in_polygons(
     points: DataFrame, polygons: DataFrame, key: str, cell: float, x: str = "x", y: str = "y", ring: str = "ring"
 ) -> DataFrame:
     """Points with the key of each polygon that holds them; points in none drop out.
 
-    A crowded cell is safe: the polygon side is broadcast when it is checked small, and
-    otherwise the join stays a sort-merge join whose hot partitions AQE splits.
+    Points meet the cells of ``cell_cover``: inside a polygon without any edge test, at its border with the few edges of
+    the cell. A crowded cell is safe: the polygon side is broadcast when it is checked small, and otherwise the join
+    stays a sort-merge join whose hot partitions AQE splits. Points without a place drop out; keys of polygons are unique.
     """
-    shapes = _with_cells(polygons.select(key, F.col(ring).alias("_ring")), "_ring", cell)
+    cover = cell_cover(polygons.select(key, F.col(ring).alias("_ring")), key, cell, "_ring")
     placed = points.withColumns({"_cx": _cell(F.col(x), cell), "_cy": _cell(F.col(y), cell)})
-    hits = placed.join(small_side(shapes), ["_cx", "_cy"])
-    return hits.where(inside(F.col(x), F.col(y), ring_edges(F.col("_ring")))).drop("_cx", "_cy", "_ring")
+    hits = placed.join(small_side(cover), ["_cx", "_cy"])
+    above = F.size(F.filter("_turns", lambda t: t > F.col(y)))
+    odd = (F.col("_base") + above + inside(F.col(x), F.col(y), F.col("_edges")).cast("int")) % 2 == 1
+    plain = (F.size("_edges") == 0) & (F.size("_turns") == 0)
+    return hits.where(F.when(plain, F.col("_base") == 1).otherwise(odd)).drop("_cx", "_cy", "_edges", "_turns", "_base")
 
 
-def _min_integral(e: Column, f: Column, base: Column) -> Column:
-    """Signed integral of the lower of two edges over their common x range, above ``base``."""
-    left = F.greatest(F.least(e["x0"], e["x1"]), F.least(f["x0"], f["x1"]))
-    right = F.least(F.greatest(e["x0"], e["x1"]), F.greatest(f["x0"], f["x1"]))
+def _min_integral(e: Column, f: Column, base: Column, start: Column, stop: Column) -> Column:
+    """Signed integral of the lower of two edges over their common x range from ``start`` to ``stop``, above ``base``."""
+    left = F.greatest(F.least(e["x0"], e["x1"]), F.least(f["x0"], f["x1"]), start)
+    right = F.least(F.greatest(e["x0"], e["x1"]), F.greatest(f["x0"], f["x1"]), stop)
     sign = F.signum(e["x0"] - e["x1"]) * F.signum(f["x0"] - f["x1"])
 
     def height(g: Column, at: Column) -> Column:
@@ -122,7 +179,8 @@ def pair_overlap(a: DataFrame, b: DataFrame, a_key: str, b_key: str, cell: float
     """Exact intersection area of every polygon pair whose bounding boxes share a cell.
 
     The area of a polygon is the signed sum of the strips under its edges; that of an intersection
-    is the signed sum, over edge pairs, of the strip under the lower edge.
+    is the signed sum, over edge pairs, of the strip under the lower edge. Edges meet by columns of cells, so
+    only those above one another do, and no ring is copied.
     """
     left = _with_cells(a.select(F.col(a_key), F.col(ring).alias("_a")), "_a", cell)
     right = _with_cells(b.select(F.col(b_key), F.col(ring).alias("_b")), "_b", cell)
@@ -132,17 +190,18 @@ def pair_overlap(a: DataFrame, b: DataFrame, a_key: str, b_key: str, cell: float
         .select(a_key, b_key)
         .distinct()
     )
-    both = pairs.join(a.select(F.col(a_key), F.col(ring).alias("_a")), a_key).join(
-        small_side(b.select(F.col(b_key), F.col(ring).alias("_b"))), b_key
-    )
-    base = F.array_min(F.transform("_a", lambda p: p["y"]))
-    edges = both.select(a_key, b_key, base.alias("_base"), F.explode(ring_edges(F.col("_a"))).alias("_e"), "_b")
-    strips = F.aggregate(
-        ring_edges(F.col("_b")),
-        F.lit(0.0),
-        lambda acc, f: acc + _min_integral(F.col("_e"), f, F.col("_base")),
-    )
-    summed = edges.select(a_key, b_key, strips.alias("s")).groupBy(a_key, b_key).agg(F.sum("s").alias("s"))
+
+    def columns_of(df: DataFrame, key: str, out: str) -> DataFrame:
+        """One row per edge and column of cells that it passes."""
+        e = F.col(out)
+        edges = df.select(key, F.explode(ring_edges(F.col(ring))).alias(out)).where(e["x0"] != e["x1"])
+        reach = F.sequence(_cell(F.least(e["x0"], e["x1"]), cell), _cell(F.greatest(e["x0"], e["x1"]), cell))
+        return edges.withColumn("_cx", F.explode(reach))
+
+    base = a.select(a_key, F.array_min(F.transform(ring, lambda p: p["y"])).alias("_base"))
+    met = pairs.join(base, a_key).join(columns_of(a, a_key, "_e"), a_key).join(columns_of(b, b_key, "_f"), [b_key, "_cx"])
+    strip = _min_integral(F.col("_e"), F.col("_f"), F.col("_base"), F.col("_cx") * cell, (F.col("_cx") + 1) * cell)
+    summed = met.groupBy(a_key, b_key).agg(F.sum(strip).alias("s"))
     return summed.select(a_key, b_key, F.abs("s").alias("overlap_area"))
 
 

@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -159,3 +160,38 @@ def test_points_in_polygons_with_a_hot_cell(spark):
     got = sorted((r["id"], r["LocationID"]) for r in geo.points_in_polygons(pts, shapes(spark, polys), "LocationID", 2.0).collect())
     want = sorted((r["id"], k) for r in pts.collect() for k, p in polys if inside(r["x"], r["y"], p))
     assert got == want
+
+
+def test_points_on_cell_borders_and_level_edges(spark):
+    """Corners, level edges and points that lie on the grid itself, for several cell sizes."""
+    rng = random.Random(5)
+    polys = [(k, [(rng.randint(-6, 6) / 2, rng.randint(-6, 6) / 2) for _ in range(rng.randint(3, 12))]) for k in range(25)]
+    polys += [(50, [(-3, -3), (3, -3), (3, 3), (1, 3), (1, 1), (-1, 1), (-1, 3), (-3, 3)]), (51, [(0, 0), (1, 1)]), (52, [])]
+    pts = spark.range(900).select("id", ((F.col("id") % 30 - 15) / 4).alias("x"), (F.floor(F.col("id") / 30) / 4 - 3.75).alias("y"))
+    pts = pts.unionByName(spark.createDataFrame([(-1, None, 1.0)], pts.schema))
+    want = sorted((r["id"], k) for r in pts.collect() for k, p in polys if r["x"] is not None and inside(r["x"], r["y"], p))
+    for cell in (0.1, 0.5, 1.0, 7.0):
+        hits = geo.points_in_polygons(pts, shapes(spark, polys), "LocationID", cell)
+        assert sorted((r["id"], r["LocationID"]) for r in hits.collect()) == want
+
+
+def test_a_long_ring_is_never_copied(spark):
+    """100,000 corners around the origin, so that the edge of a point's angle decides."""
+    n = 100_000
+    turn = F.col("id") * (2 * np.pi / n)
+    far = 8 + F.sin(turn * 9) + (F.col("id") * 7919 % 13) / 1000
+    corner = F.struct("id", (far * F.cos(turn)).alias("x"), (far * F.sin(turn)).alias("y"))
+    ring = spark.range(n).agg(F.transform(F.array_sort(F.collect_list(corner)), lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"))).alias("ring"))
+    shape = ring.select(F.lit(1).alias("LocationID"), "ring")
+    cover = geo.cell_cover(shape, "LocationID", 0.05).agg(
+        F.sum(F.size("_edges")), F.max(F.size("_edges")), F.max(F.size("_turns")), F.count_if(F.size("_edges") == 0)
+    ).first()
+    assert cover[0] < 2 * n and cover[1] < 600 and cover[2] < 200 and cover[3] > 10_000
+    pts = spark.range(200_000).select("id", (F.rand(1) * 22 - 11).alias("x"), (F.rand(2) * 22 - 11).alias("y")).toPandas()
+    corners = np.array([(c["x"], c["y"]) for c in ring.first()["ring"]])
+    angle = np.arctan2(pts["y"], pts["x"]) % (2 * np.pi)
+    i = np.minimum((angle / (2 * np.pi / n)).astype(int), n - 1)
+    a, b = corners[i], corners[(i + 1) % n]
+    side = (b[:, 0] - a[:, 0]) * (pts["y"] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (pts["x"] - a[:, 0])
+    hits = geo.points_in_polygons(spark.createDataFrame(pts), shape, "LocationID", 0.05)
+    assert sorted(r["id"] for r in hits.select("id").collect()) == pts["id"][side > 0].tolist()
