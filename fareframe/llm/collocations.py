@@ -219,13 +219,16 @@ def _filter(members: DataFrame, size: int) -> np.ndarray:
     shift = F.col("bit") + 1  # Spark's bitmaps start at 1
     maps = bits.groupBy(F.bitmap_bucket_number(shift).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(shift)).alias("m"))
     out = np.zeros(max((1 << size) // 8, 4096), np.uint8)
-    for r in maps.toLocalIterator():
+    for r in maps.collect():  # MOST_BITS / 8 bytes at most; an iterator would run a job for each partition
         out[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(r.m, np.uint8)[: len(out)]
     return out
 
 
-def _count(texts: DataFrame, members: DataFrame) -> DataFrame:
-    """lang, phrase, length, f, right of phrases of at least ``LEAST`` occurrences, among them all that the members ask for."""
+def _count(texts: DataFrame, members: DataFrame, name: str) -> DataFrame:
+    """lang, phrase, length, f, right of phrases of at least ``LEAST`` occurrences, among them all that the members ask for.
+
+    Written, so that the filter can go.
+    """
     spark = texts.sparkSession
     present = members.groupBy("kind", "length").count().collect()  # kinds x lengths rows
     total = sum(r["count"] for r in present)
@@ -233,7 +236,10 @@ def _count(texts: DataFrame, members: DataFrame) -> DataFrame:
     lengths = {kind: {r.length for r in present if r.kind == kind} for kind in (RIGHT, LEFT, EXACT)}
     sent = spark.sparkContext.broadcast(_filter(members, size))  # 16 MB at most
     found = texts.mapInArrow(_phrases(sent, size, lengths), COUNTED)
-    return found.groupBy("lang", "phrase", "length").agg(F.sum("f").alias("f"), F.max("right").alias("right")).where(F.col("f") >= LEAST)
+    found = found.groupBy("lang", "phrase", "length").agg(F.sum("f").alias("f"), F.max("right").alias("right")).where(F.col("f") >= LEAST)
+    found = written(found, name)
+    sent.destroy()
+    return found
 
 
 def ratio(a: Column, n: Column, left: Column, right: Column) -> Column:
@@ -315,27 +321,38 @@ def _asked(judged: DataFrame, floors: DataFrame) -> DataFrame:
     return out.withColumns({"right": right, "left": hope & short & ~F.col("looked"), "ask": ask}).drop("floor")
 
 
-def _opened(turns: DataFrame, asked: DataFrame, floors: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Words that the next wave opens, and the turns after it (lang, n, turn, upto).
+def _turns(every: DataFrame) -> DataFrame:
+    """lang, n, turn, upto: the languages, and the classes of counts (rarest first) that make up ``FIRST_SHARE`` of each."""
+    langs = every.groupBy("lang").agg(F.sum("f").alias("n"))
+    rows = every.where(F.col("f") >= LEAST).withColumn("class", F.floor(F.log2("f")).cast("int"))
+    classes = rows.groupBy("lang", "class").agg(F.sum("f").alias("size")).join(langs, "lang")
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("lang").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    band = classes.withColumn("before", before).where(F.col("before") <= FIRST_SHARE * F.col("n")).groupBy("lang").agg(F.max("class").alias("upto"))
+    return langs.join(band, "lang", "left").select("lang", "n", F.lit(0).alias("turn"), "upto")
+
+
+def _ready(turns: DataFrame, members: DataFrame, floors: DataFrame) -> DataFrame:
+    """Languages with words to open whose wave would be empty otherwise."""
+    busy = members.where(F.col("kind") == ACTIVE).select("lang")
+    return turns.where(F.col("turn") < 2).join(busy, "lang", "left_anti").join(floors, "lang", "left")
+
+
+def _opened(ready: DataFrame, words: DataFrame) -> DataFrame:
+    """The words that the next wave opens, as its members.
 
     Best bounds first: whatever is open below a word that was opened is rarer than any word that was not, so words wait
     until a language has nothing else to do. In the first turn they are whole classes of counts, rarest first, up to
     ``FIRST_SHARE`` of the language; in the second all others whose bound reaches the floor.
     """
-    busy = asked.where(F.col("right") | F.col("left") | (F.size("ask") > 0)).select("lang").distinct()
-    ready = turns.where(F.col("turn") < 2).join(busy, "lang", "left_anti").join(floors, "lang", "left")
     rows = words.drop("n").join(ready, "lang").withColumn("class", F.floor(F.log2("f")).cast("int"))
-    classes = rows.where("turn = 0").groupBy("lang", "class", "n").agg(F.sum("f").alias("size"))
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("lang").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    band = classes.withColumn("before", before).where(F.col("before") <= FIRST_SHARE * F.col("n")).groupBy("lang").agg(F.max("class").alias("to"))
-    rows = rows.join(band, "lang", "left")
-    now = F.when(F.col("turn") == 0, F.col("class") <= F.col("to")).otherwise(F.col("class") > F.col("upto"))
-    opened = rows.where(now & (_bound(F.col("n"), F.col("f")) >= F.coalesce("floor", F.lit(0)))).select("lang", "phrase", F.lit(1).alias("length"))
-    ready = ready.select("lang", F.lit(1).alias("on")).join(band, "lang", "left")
-    after = turns.join(ready, "lang", "left").select(
-        "lang", "n", (F.col("turn") + F.coalesce("on", F.lit(0))).alias("turn"), F.coalesce("upto", "to").alias("upto")
-    )
-    return opened, after
+    now = F.when(F.col("turn") == 0, F.col("class") <= F.col("upto")).otherwise(F.col("class") > F.col("upto"))
+    opened = rows.where(now & (_bound(F.col("n"), F.col("f")) >= F.coalesce("floor", F.lit(0))))
+    return _with_active(opened.select(F.lit(RIGHT).alias("kind"), "lang", "phrase", F.lit(1).alias("length")))
+
+
+def _after(turns: DataFrame, ready: DataFrame) -> DataFrame:
+    on = turns.join(ready.select("lang", F.lit(1).alias("on")), "lang", "left")
+    return on.select("lang", "n", (F.col("turn") + F.coalesce("on", F.lit(0))).alias("turn"), "upto")
 
 
 def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
@@ -364,28 +381,30 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     texts = docs.where("text is not null").select(F.coalesce(F.col("lang"), F.lit(UNKNOWN)).alias("lang"), "text")
     single = texts.mapInArrow(_single_words, COUNTED)
     every = written(single.groupBy("lang", "phrase").agg(F.sum("f").alias("f")), "phrases-words")
-    turns = every.groupBy("lang").agg(F.sum("f").alias("n")).withColumns({"turn": F.lit(0), "upto": F.lit(None).cast("int")})
-    turns = written(turns, "phrases-turns")
+    turns = written(_turns(every), "phrases-turns")
     words = written(every.where(F.col("f") >= LEAST).join(turns.select("lang", "n"), "lang"), "phrases-frequent")
     kinds = "lang string, phrase string, length int, f long, n long, reached boolean, grown boolean, looked boolean"
     best = "best struct<score: bigint, k: int, l: bigint, r: bigint>, missing array<string>, state string"
     nodes = docs.sparkSession.createDataFrame([], f"{kinds}, {best}")
-    wave = 0
+    frequent = words.select(F.lit(FREQUENT).alias("kind"), "lang", "phrase", F.lit(1).alias("length"))
+    wave, waiting = 0, not turns.isEmpty()
     while True:
         judged = written(_judged(nodes, words), f"phrases-judged-{wave}")
         floors = written(_floors(judged, top), f"phrases-floors-{wave}")
         asked = written(_asked(judged, floors), f"phrases-asked-{wave}")
-        opened, after = _opened(turns, asked, floors, words)
-        opened, after = written(opened, f"phrases-opened-{wave}"), written(after, f"phrases-turns-{wave}")
-        members = _members(asked, opened)
+        members = written(_members(asked), f"phrases-members-{wave}")
+        if waiting:
+            ready = written(_ready(turns, members, floors), f"phrases-ready-{wave}")
+            if not ready.isEmpty():
+                members = members.unionByName(written(_opened(ready, words), f"phrases-opened-{wave}"))
+                turns = written(_after(turns, ready), f"phrases-turns-{wave}")
+                waiting = not turns.where("turn < 2").isEmpty()
         if members.isEmpty():
-            if after.where("turn < 2").isEmpty():
-                break
-            turns = after
-            continue
-        wave, turns = wave + 1, after
-        frequent = words.select(F.lit(FREQUENT).alias("kind"), "lang", "phrase", F.lit(1).alias("length"))
-        found = written(_count(texts, members.unionByName(frequent)), f"phrases-found-{wave}")
+            if waiting:
+                continue
+            break
+        wave += 1
+        found = _count(texts, members.unionByName(frequent), f"phrases-found-{wave}")
         nodes = written(_next(asked, found, turns), f"phrases-nodes-{wave}")
     final = judged.where("state = 'kept'").select("lang", "phrase", F.col("f").alias("a"), "best.l", "best.r", "n", "best.score")
     final = _best(final, [F.col("score").desc(), F.col("a").desc(), F.col("phrase")], top)
@@ -402,11 +421,16 @@ def _next(asked: DataFrame, found: DataFrame, turns: DataFrame) -> DataFrame:
     return both.groupBy("lang", "phrase", "length").agg(*flags, *[F.first(c, ignorenulls=True).alias(c) for c in ("best", "missing", "state")]).select(*NODE)
 
 
-def _members(asked: DataFrame, opened: DataFrame) -> DataFrame:
-    """kind, lang, phrase, length of what a wave is about."""
+def _members(asked: DataFrame) -> DataFrame:
+    """kind, lang, phrase, length of what a wave is about, less the words that it opens."""
     kinds = F.array_compact(F.array(F.when(F.col("right"), F.lit(RIGHT)), F.when(F.col("left"), F.lit(LEFT))))
     nodes = asked.select(F.explode(kinds).alias("kind"), "lang", "phrase", "length")
     parts = asked.select(F.lit(EXACT).alias("kind"), "lang", F.explode("ask").alias("phrase"))
-    parts = parts.withColumn("length", F.size(F.split("phrase", " "))).distinct()
-    out = nodes.unionByName(parts).unionByName(opened.select(F.lit(RIGHT).alias("kind"), "lang", "phrase", "length"))
-    return out.unionByName(out.select(F.lit(ACTIVE).alias("kind"), "lang", F.lit("").alias("phrase"), F.lit(0).alias("length")).distinct())
+    return _with_active(nodes.unionByName(parts.withColumn("length", F.size(F.split("phrase", " ")))))
+
+
+def _with_active(members: DataFrame) -> DataFrame:
+    """The different members, with one of kind ``ACTIVE`` for each of their languages."""
+    active = F.struct(F.lit(ACTIVE).alias("kind"), F.lit("").alias("phrase"), F.lit(0).alias("length"))
+    both = members.select("lang", F.explode(F.array(F.struct("kind", "phrase", "length"), active)).alias("m"))
+    return both.select("m.kind", "lang", "m.phrase", "m.length").distinct()

@@ -227,3 +227,20 @@ def test_a_text_with_very_many_matches(spark):
     text = "token=abcdef " * 40_000
     got = secret_scan.find(brute.table(spark, [(1, text, *[None] * 10)])).collect()[0].spans
     assert len(got) == 40_000 and got[-1].end == len(text) - 1
+
+
+def test_the_filter_takes_a_few_jobs_whatever_the_partitions(spark):
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    members = spark.createDataFrame([(k, "en", f"w{i} x", 2) for i in range(300) for k in (1, 2)], "kind int, lang string, phrase string, length int")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("one filter", "")
+        bits = collocations._filter(members, 20)
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert 0 < np.unpackbits(bits).sum() <= 600
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("one filter")) < 8
