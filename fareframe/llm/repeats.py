@@ -34,6 +34,8 @@ from fareframe.llm.scratch import written
 #: Entries with the same key that one task compares at once; keys with more are dealt out window by window.
 GROUP_ROWS = 20_000
 LONE, COPIED, DECIDED = 0, 1, 2
+#: Added to the state of an entry that was scanned before, with all that were there then.
+OLD = 4
 _AT = 16  # bits for the number of windows in ``at``
 
 
@@ -122,18 +124,20 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries in the order of (key, span): marks repeats, and one entry of each span where a key has several.
 
     kind 0: all its windows are repeats. kind 1: the entry of a span that occurs once, beside other spans of its key.
-    kind 2: the same for a span that occurs more often, which is a repeat already. Looks one row ahead and remembers two
-    facts about the rows before, whatever the length of a group.
+    kind 2: the same for a span that occurs more often, which is a repeat already. ``fresh`` is false for
+    entries that were scanned before; one that copies in its own batch made a repeat isn't told again. Looks one row ahead
+    and remembers two facts about the rows before, whatever the length of a group.
     """
     held, seen_before, other_before = None, False, False
-    names = ["kind", "key", "row", "at"]
+    names = ["kind", "key", "row", "at", "fresh"]
 
-    def out(kind: int, key: np.ndarray, row: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(row), pa.array(at)], names)
+    def out(kind: int, key: np.ndarray, row: np.ndarray, at: np.ndarray, state: np.ndarray) -> pa.RecordBatch:
+        kinds = pa.array(np.full(len(key), kind, np.int32))
+        return pa.RecordBatch.from_arrays([kinds, pa.array(key), pa.array(row), pa.array(at), pa.array(state < OLD)], names)
 
     def decide(cols: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
         nonlocal held, seen_before, other_before
-        key, span, row, at, copied = cols
+        key, span, row, at, state = cols
         n = len(key)
         same_key = np.append(key[1:] == key[:-1], False)
         same = np.append((key[1:] == key[:-1]) & (span[1:] == span[:-1]), False)  # as the next row
@@ -146,11 +150,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = n if last else n - 1
         if not last:
             held = [c[-1:] for c in cols]
-        repeat = (before | same | (copied == COPIED))[:done]
+        twice, copied = (before | same)[:done], (state % OLD == COPIED)[:done]
+        repeat = twice | copied
         border = (~same & (other | same_key))[:done]
-        yield out(0, key[:done][repeat], row[:done][repeat], at[:done][repeat])
-        for kind, pick in ((1, border & ~repeat), (2, border & repeat)):
-            yield out(kind, key[:done][pick], row[:done][pick], at[:done][pick])
+        for kind, pick in ((0, twice | copied & (state[:done] < OLD)), (1, border & ~repeat), (2, border & repeat)):
+            yield out(kind, *(x[:done][pick] for x in (key, row, at, state)))
         if not last:
             seen_before, other_before = bool(before[-1]), bool(other[-1])
 
@@ -159,7 +163,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
             known = cols[4] == DECIDED
             if known.any():
-                yield out(0, cols[1][known], cols[2][known], cols[3][known])
+                yield out(0, *(cols[i][known] for i in (0, 2, 3, 4)))
                 cols = [c[~known] for c in cols]
                 if not len(cols[0]):
                     continue
@@ -264,10 +268,25 @@ def _parts(unit: Unit):
     return run
 
 
+def scanned(rows: DataFrame, name: str) -> DataFrame:
+    """What ``_scan`` tells of entries, given in any order."""
+    return written(dealt(rows).mapInArrow(_scan, "kind int, key long, row long, at long, fresh boolean"), f"{name}-scan")
+
+
 def scan(rows: DataFrame, docs: DataFrame, unit: Unit, name: str) -> list[DataFrame]:
     """(row, at) of repeated windows among entries, given in any order; ``docs`` holds their texts (``identified``)."""
-    found = written(dealt(rows).mapInArrow(_scan, "kind int, key long, row long, at long"), f"{name}-scan")
+    found = scanned(rows, name)
+    return settled(found.where("kind = 0"), found.where("kind > 0"), docs, unit, name)
+
+
+def touched(found: DataFrame) -> DataFrame:
+    """The border entries of ``scanned`` rows whose key has a fresh one; the others were compared when the last came."""
     border = found.where("kind > 0")
+    return border.join(border.where("fresh").select("key").distinct(), "key", "left_semi").select(found.columns)
+
+
+def settled(whole: DataFrame, border: DataFrame, docs: DataFrame, unit: Unit, name: str) -> list[DataFrame]:
+    """(row, at) of entries that are repeats as a whole and of repeated windows among border entries, each given once."""
     asked = border.groupBy("row").agg(F.collect_list(F.struct("key", "at", "kind")).alias("asked"))
     texts = docs.select("row", "text")
     schema = "key long, row long, at long, single boolean, part binary"
@@ -281,7 +300,7 @@ def scan(rows: DataFrame, docs: DataFrame, unit: Unit, name: str) -> list[DataFr
     twice = many.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tag")
     many = many.where("single").join(twice, "tag", "left_semi")
     many = many.select("row", F.shiftleft(F.col("start"), _AT).bitwiseOR(F.lit(1).cast("long")).alias("at"))
-    return [found.where("kind = 0").select("row", "at"), few, many]
+    return [whole.select("row", "at"), few, many]
 
 
 def covered(at: np.ndarray, n: int, width: int) -> np.ndarray:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,13 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fareframe.llm.arrays import text_chunks
-from fareframe.llm.repeats import DECIDED, Unit, covered, dealt, entries, identified, scan, with_repeats
+from fareframe.llm.repeats import DECIDED, OLD, Unit, covered, dealt, entries, identified, scanned, settled, touched, with_repeats
 from fareframe.llm.scratch import ship, written
 
 LENGTH = 200
 UNIT = Unit(by_word=False, width=LENGTH, gram=64)
 #: Batches into which one corpus is cut. Each batch adds a level; more batches need less space at once, but read more.
-BATCHES = 2
+#: From three on, levels are merged; the fourth is scanned with levels of two sizes.
+BATCHES = 4
 
 
 class SuffixLevels:
@@ -31,17 +33,21 @@ class SuffixLevels:
         self.levels: list[tuple[int, DataFrame]] = []
 
     def add(self, batch: DataFrame, corpus: DataFrame, last: bool = False) -> list[DataFrame]:
-        """Repeated windows among the batch and the levels. ``corpus`` holds all texts so far, the batch's included.
-
-        With ``last`` the batch is scanned but not kept.
+        """Repeated windows that the batch brings, its own and the levels'. ``corpus`` holds all texts so far, the
+        batch's included. With ``last`` the batch is scanned but not kept.
         """
+        found = self.index(batch, last)
+        return settled(found.where("kind = 0"), touched(found), corpus, self.unit, self.name)
+
+    def index(self, batch: DataFrame, last: bool = False) -> DataFrame:
+        """The merge-scan of the batch and all levels (``scanned``), after which the batch is a level, unless ``last``."""
         new = entries(batch, self.unit)
         if not last:
             new = written(dealt(new), self.name)
         together = new
         for _, level in self.levels:
-            together = together.unionByName(level)
-        found = scan(together, corpus, self.unit, self.name)
+            together = together.unionByName(level.withColumn("state", F.col("state") + OLD))
+        found = scanned(together, self.name)
         if not last:
             self.levels.append((1, new.where(F.col("state") != DECIDED)))
             self._merge()
@@ -87,14 +93,20 @@ def drop_repeated_bytes(docs: DataFrame, unit: Unit = UNIT, batches: int = BATCH
     are copies of one another and go as such; rows without doc_id take part. Other columns are ignored. An empty table
     gives an empty result.
     """
+    if batches < 1:
+        raise ValueError("a corpus makes one batch at least")
     ship(docs.sparkSession)
     corpus = identified(docs)
     family = SuffixLevels(unit)
-    found: list[DataFrame] = []
+    whole, border = [], []
     for b in range(batches):
         batch = corpus.where(F.pmod("row", F.lit(batches)) == b) if batches > 1 else corpus
-        so_far = corpus.where(F.pmod("row", F.lit(batches)) <= b)
-        found += family.add(batch, so_far, last=b == batches - 1)
+        found = family.index(batch, last=b == batches - 1)
+        whole.append(found.where("kind = 0").select("row", "at"))
+        border.append(touched(found) if b else found.where("kind > 0"))
+    # An entry may stand at the border in several scans: texts are fetched, and windows compared, once for all.
+    once = reduce(DataFrame.unionByName, border).groupBy("key", "row", "at").agg(F.max("kind").alias("kind"))
+    found = settled(reduce(DataFrame.unionByName, whole), once, corpus, unit, family.name)
     rows = with_repeats(corpus, found).select("doc_id", "text", "at")
     return rows.mapInArrow(_strip(unit.width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 

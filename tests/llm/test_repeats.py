@@ -103,3 +103,36 @@ def test_given_documents_and_digests(spark):
 
 def test_empty_tables(spark):
     assert suffix_index.digests(table(spark, [])).count() == substrings.digests(table(spark, [])).count() == 0
+
+
+def test_the_default_merges_levels_and_tells_what_a_batch_brings(spark, monkeypatch):
+    merged, tables = [], []
+    plain, settle = suffix_index.SuffixLevels._merge, suffix_index.settled
+
+    def merge(self):
+        plain(self)
+        merged.append([n for n, _ in self.levels])
+
+    def kept(whole, border, *rest):
+        tables.append(border)
+        return settle(whole, border, *rest)
+
+    monkeypatch.setattr(suffix_index.SuffixLevels, "_merge", merge)
+    monkeypatch.setattr(suffix_index, "settled", kept)
+    df = table(spark, rows_of(passages(random.Random(9))))
+    check_bytes(df, suffix_index.drop_repeated_bytes(df))
+    assert [2] in merged and [2, 1] in merged
+    assert len(tables) == 1 and tables[0].groupBy("key", "row", "at").count().where("count > 1").isEmpty()
+    with pytest.raises(ValueError):
+        suffix_index.drop_repeated_bytes(df, batches=0)
+
+
+def test_added_batches_bring_all_repeats(spark):
+    df = table(spark, rows_of(passages(random.Random(10), 40)))
+    corpus = repeats.identified(df)
+    family, found = suffix_index.SuffixLevels(), []
+    for b in range(4):
+        found += family.add(corpus.where(f"pmod(row, 4) = {b}"), corpus.where(f"pmod(row, 4) <= {b}"))
+    rows = repeats.with_repeats(corpus, found).select("doc_id", "text", "at")
+    got = rows.mapInArrow(suffix_index._strip(200), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    check_bytes(df, got)
