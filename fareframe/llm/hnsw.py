@@ -8,6 +8,16 @@ DEGREE = 16  # links a node chooses; the base layer keeps twice as many
 BUILD_BEAM = 64
 EXPAND = 4  # nodes a query opens per step
 QUERIES = 256  # searched in step
+PIECE_BYTES = 1 << 20  # of vectors gathered at a time
+
+
+def _dots(x: np.ndarray, a: np.ndarray, q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of the rows ``a`` of ``x`` with the rows ``b`` of ``q``, gathered in pieces of bounded bytes."""
+    out = np.empty(len(a), np.float32)
+    step = max(1, PIECE_BYTES // (x.shape[1] * 4))
+    for lo in range(0, len(a), step):
+        np.einsum("ij,ij->i", x.take(a[lo : lo + step], axis=0), q.take(b[lo : lo + step], axis=0), out=out[lo : lo + step])
+    return out
 
 
 def search(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -17,23 +27,23 @@ def search(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, b
     in its beam are open. Queries that are done drop out of the step.
     """
     pad = len(x) - 1
-    rows = np.arange(len(q))
-    seen = np.zeros((len(q), len(x)), bool)
-    seen[:, pad] = True
+    seen = np.zeros(len(q) * len(x), bool)  # a run of len(x) for each query
+    seen[pad :: len(x)] = True
     ids = np.full((len(q), beam), pad)
     sims = np.full((len(q), beam), -np.inf, np.float32)
     opened = np.ones((len(q), beam), bool)
     nodes = entry
-    live = rows
+    live = np.arange(len(q))
     while len(live):
         nodes = np.sort(nodes, axis=1)
-        new = ~seen[live[:, None], nodes]
+        place = nodes + (live * len(x))[:, None]
+        new = ~seen.take(place)
         new[:, 1:] &= nodes[:, 1:] != nodes[:, :-1]
-        r, c = np.nonzero(new)
-        found = nodes[r, c]
-        seen[live[r], found] = True
-        s = np.full(nodes.shape, -np.inf, np.float32)
-        s[r, c] = np.einsum("ij,ij->i", x[found], q[live[r]])
+        at = np.flatnonzero(new)
+        seen[place.take(at)] = True
+        s = np.full(nodes.size, -np.inf, np.float32)
+        s[at] = _dots(x, nodes.take(at), q, live.take(at // nodes.shape[1]))
+        s = s.reshape(nodes.shape)
         all_s = np.concatenate([sims[live], s], axis=1)
         all_i = np.concatenate([ids[live], nodes], axis=1)
         all_o = np.concatenate([opened[live], ~new], axis=1)
@@ -56,6 +66,11 @@ def search(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, b
 def _choose(x: np.ndarray, node: np.ndarray, cand: np.ndarray, keep: int) -> np.ndarray:
     """Up to ``keep`` of each node's candidates (rows of ids, padded): first those that are nearer to the node than to
     any chosen so far, so that links lead into all directions, then the nearest others."""
+    step = max(1, 8 * PIECE_BYTES // (cand.shape[1] * x.shape[1] * 4))  # the candidates' vectors are gathered
+    return np.concatenate([_chosen(x, node[lo : lo + step], cand[lo : lo + step], keep) for lo in range(0, max(1, len(node)), step)])
+
+
+def _chosen(x: np.ndarray, node: np.ndarray, cand: np.ndarray, keep: int) -> np.ndarray:
     pad = len(x) - 1
     sims = np.einsum("bd,bcd->bc", x[node], x[cand])
     sims[(cand == pad) | (cand == node[:, None])] = -np.inf
